@@ -2,102 +2,83 @@
 
 A text is the multiset of its paragraphs (the pieces between line feeds). Each
 paragraph hashes to eight 32-bit numbers; a text's *strong* vector is their sum
-modulo 2^32, lane by lane, with the number of paragraphs. Each clause of a
-paragraph (a piece up to ``. , ; : ! ?`` and white space) hashes to 120 bits; the
-*wide* vector counts the set bits modulo 2^14, lane by lane, four lanes to a
-number. All of it is addition, so the vector of a union is the sum of the
-vectors: paragraphs can come in any order, and be put in or taken out later
-(:func:`merged`, :func:`removed`) without the rest of the text.
+modulo 2^32, lane by lane. Each clause of a paragraph (a piece up to
+``. , ; : ! ?`` and white space) hashes to 120 bits; the *wide* vector counts the
+set bits modulo 2^20, lane by lane, three lanes to a number. All of it is
+addition, so the vector of a union is the sum of the vectors: paragraphs can come
+in any order, and be put in or taken out later (:func:`merged`, :func:`removed`)
+without the rest of the text.
 
 Read as random signs, the wide lanes estimate the squared distance of two
 multisets; :func:`likeness` is one less that distance over the sum of both norms.
 
+The sums run as ordinary aggregates over exploded clauses, so they stay in
+generated code, and they group by the ranges that the rows are sorted in, so they
+need no exchange of their own.
+
 Defined cases: a null text is the empty text; an empty text has one empty
-paragraph and no clause; two texts without a clause are alike (1.0) if their
-strong vectors are equal, else 0.0. Rows with equal ids follow each other by
-text; a null id stands before all others. Columns besides the two named ones
-take no part.
+paragraph and one empty clause. Rows with equal ids follow each other by text; a
+null id stands before all others. Past a million clauses in one text the wide
+lanes carry into each other; equal texts keep equal fingerprints. Columns besides
+the two named ones take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import table
 
 SEEDS = 4
-LANES = 15
-_ONES = sum(1 << (15 * k) for k in range(4))
-_KEEP = sum(0x3FFF << (15 * k) for k in range(4))
-_MOD = 0x3FFF
+BITS, LANES = 20, 3
+_ONES = sum(1 << (BITS * k) for k in range(LANES))
+_MASK = (1 << BITS) - 1
 _LOW = 0xFFFFFFFF
-CLAUSE = r"\n|(?<=[.,;:!?])\s+"
+CLAUSE = r"(?<=[.,;:!?])\s+"
 #: Ranges of ids that one task sorts: as many as give each about so many rows, within bounds.
-ROWS_A_RANGE, MOST_RANGES = 4000, 1024
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
-
+ROWS_A_RANGE, MOST_RANGES = 2000, 1024
 
-def _hashes(pieces: Column, seed: int) -> Column:
-    return F.transform(pieces, lambda p: F.xxhash64(p, F.lit(seed)))
 
+def vectors(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+    """``keys`` with ``strong`` and ``wide`` arrays and the numbers of ``paragraphs`` and ``clauses``.
 
-def _strong_lane(hashes: Column, half: int) -> Column:
-    """The sum modulo 2^32 of one half of each paragraph's hash."""
-    return F.aggregate(
-        hashes,
-        F.lit(0).cast("long"),
-        lambda a, h: (a + F.shiftrightunsigned(h, half).bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW)),
+    ``keys`` must tell rows apart; rows of equal keys are summed as one text.
+    """
+    head = (F.col("_nth") == 0).cast("long")
+    strong = [
+        F.sum(head * F.shiftrightunsigned(F.col(f"_p{s}"), half).bitwiseAND(F.lit(_LOW))).alias(f"s{s}_{half}")
+        for s in range(SEEDS)
+        for half in (0, 32)
+    ]
+    wide = [
+        F.sum(F.shiftrightunsigned(F.col(f"_c{s}"), i).bitwiseAND(F.lit(_ONES))).alias(f"w{s}_{i}")
+        for s in range(2)
+        for i in range(BITS)
+    ]
+    pieces = (
+        df.select(*keys, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_p"))
+        .select(*keys, *[F.xxhash64("_p", F.lit(s)).alias(f"_p{s}") for s in range(SEEDS)], F.posexplode(F.split("_p", CLAUSE)).alias("_nth", "_c"))
+        .select(*keys, *[f"_p{s}" for s in range(SEEDS)], "_nth", *[F.xxhash64("_c", F.lit(SEEDS + s)).alias(f"_c{s}") for s in range(2)])
     )
-
-
-def _wide_lanes(hashes: Column, bit: int) -> Column:
-    """Counts modulo 2^14 of four bits of each clause's hash, fifteen bits apart."""
-    return F.aggregate(
-        hashes,
-        F.lit(0).cast("long"),
-        lambda a, h: (a + F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_KEEP)),
+    summed = pieces.groupBy(*keys).agg(*strong, *wide, F.sum(head).alias("paragraphs"), F.count("*").alias("clauses"))
+    return summed.select(
+        *keys,
+        F.array(*[F.col(f"s{s}_{half}").bitwiseAND(F.lit(_LOW)) for s in range(SEEDS) for half in (0, 32)]).alias("strong"),
+        F.array(*[F.col(f"w{s}_{i}") for s in range(2) for i in range(BITS)]).alias("wide"),
+        "paragraphs",
+        "clauses",
     )
 
 
-def vector(text: Column) -> Column:
-    """struct(strong array<long>, wide array<long>, paragraphs long, clauses long) of a text."""
-    text = F.coalesce(text, F.lit(""))
-
-    def summed(h: Column) -> Column:
-        return F.struct(
-            F.array(*[_strong_lane(h[f"p{seed}"], half) for seed in range(SEEDS) for half in (0, 32)]).alias("strong"),
-            F.array(*[_wide_lanes(h[f"c{seed}"], i) for seed in range(2) for i in range(LANES)]).alias("wide"),
-            F.size(h["p0"]).cast("long").alias("paragraphs"),
-            F.size(h["c0"]).cast("long").alias("clauses"),
-        )
-
-    def hashed(pieces: Column) -> Column:
-        return F.struct(
-            *[_hashes(pieces["paragraphs"], seed).alias(f"p{seed}") for seed in range(SEEDS)],
-            *[_hashes(pieces["clauses"], SEEDS + seed).alias(f"c{seed}") for seed in range(2)],
-        )
-
-    pieces = F.struct(
-        F.split(text, "\n").alias("paragraphs"),
-        F.filter(F.split(text, CLAUSE), lambda c: c != F.lit("")).alias("clauses"),
-    )
-    return bound(pieces, lambda x: bound(hashed(x), summed))
-
-
 def _combined(a: Column, b: Column, sign: int) -> Column:
+    guards = F.lit(1 << (BITS * LANES))
+
     def strong(x: Column, y: Column) -> Column:
         return (x + F.lit(sign) * y).bitwiseAND(F.lit(_LOW))
 
     def wide(x: Column, y: Column) -> Column:
-        guards = F.lit(sum(1 << (15 * k + 14) for k in range(4)))
-        return (x + y if sign > 0 else x.bitwiseOR(guards) - y).bitwiseAND(F.lit(_KEEP))
+        return (x + F.lit(sign) * y + guards) % guards
 
     return F.struct(
         F.zip_with(a["strong"], b["strong"], strong).alias("strong"),
@@ -108,7 +89,7 @@ def _combined(a: Column, b: Column, sign: int) -> Column:
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The vector of the paragraphs of both."""
+    """The vector (a struct of :func:`vectors`' columns) of the paragraphs of both."""
     return _combined(a, b, 1)
 
 
@@ -124,105 +105,86 @@ def digest(v: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From 0 (nothing in common) to 1 (equal multisets), estimated from 120 lanes."""
+    """From 0 (nothing in common) to 1 (equal multisets), estimated from 120 lanes; arguments as in :func:`merged`."""
+    zero = F.lit(0.0)
 
-    def lanes(v: Column) -> Column:
-        return F.flatten(
-            F.transform(v["wide"], lambda p: F.array(*[F.shiftrightunsigned(p, 15 * k).bitwiseAND(F.lit(_MOD)) for k in range(4)]))
-        )
+    def lanes(p: Column, k: int) -> Column:
+        return F.shiftrightunsigned(p, BITS * k).bitwiseAND(F.lit(_MASK))
 
-    def centred(x: Column) -> Column:
-        # a difference modulo 2^14, nearest to zero
-        return F.pmod(x + F.lit(8192), F.lit(16384)) - F.lit(8192)
+    def squared(x: Column) -> Column:
+        return (x * x).cast("double")
 
-    def squared(sum_: Column, x: Column) -> Column:
-        return sum_ + (x * x).cast("double")
+    def norm(v: Column) -> Column:
+        def add(s: Column, p: Column) -> Column:
+            return s + sum((squared(F.lit(2) * lanes(p, k) - v["clauses"]) for k in range(LANES)), zero)
 
-    def norm(of: Column, n: Column) -> Column:
-        half = (n / F.lit(2)).cast("long")
-        return F.aggregate(of, F.lit(0.0), lambda s, c: squared(s, F.lit(2) * (centred(c - half) + half) - n))
+        return F.aggregate(v["wide"], zero, add)
 
-    def compared(x: Column) -> Column:
-        gap = F.aggregate(
-            F.zip_with(x["a"], x["b"], lambda p, q: F.lit(2) * centred(p - q) - (a["clauses"] - b["clauses"])), F.lit(0.0), squared
-        )
-        both = norm(x["a"], a["clauses"]) + norm(x["b"], b["clauses"])
-        return F.when(both == F.lit(0.0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - gap / both))
+    def gap(p: Column, q: Column) -> Column:
+        d = a["clauses"] - b["clauses"]
+        return sum((squared(F.lit(2) * (lanes(p, k) - lanes(q, k)) - d) for k in range(LANES)), zero)
 
+    apart = F.aggregate(F.zip_with(a["wide"], b["wide"], gap), zero, lambda s, x: s + x)
     same = (a["strong"] == b["strong"]) & (a["wide"] == b["wide"])
-    return F.when(same, F.lit(1.0)).otherwise(bound(F.struct(lanes(a).alias("a"), lanes(b).alias("b")), compared))
+    return F.when(same, F.lit(1.0)).otherwise(F.greatest(zero, F.lit(1.0) - apart / F.greatest(norm(a) + norm(b), F.lit(1.0))))
 
 
-def with_next(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Add ``next_<column>``: the columns of the row with the next larger ``key``; the last row gets the first's.
+def ranged(df: DataFrame, key: str) -> DataFrame:
+    """Rows with the range of ``key`` they sort in; the first rows of a range are also ``_guest`` in the range before.
 
-    No task sorts the whole table: rows go to ranges of the key, whose bounds are
-    keys of the table, and the first row of each range also goes, as a guest, to
-    the range before.
+    So the row after any row stands in its own range, and no task sorts the whole
+    table. The bounds of the ranges are keys of the table; the last range's guest
+    is the table's first row. Adds ``_range``, ``_guest`` and ``_order``.
     """
-    from pyspark.sql import Window
-
-    least = -(1 << 63)
-    order = F.coalesce(F.col(key).cast("long"), F.lit(least))
+    order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    keyed = df.withColumn("_order", order)
     quantiles = [k / MOST_RANGES for k in range(MOST_RANGES)]
-    n, bounds = df.select(order.alias("k")).agg(
-        F.count("*"), F.percentile_approx("k", quantiles, 4 * MOST_RANGES)
-    ).first()
-    if not n:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    bounds = sorted(set(bounds))
+    n, first, found = keyed.agg(F.count("*"), F.min("_order"), F.percentile_approx("_order", quantiles, 4 * MOST_RANGES)).first()
     ranges = max(1, min(MOST_RANGES, n // ROWS_A_RANGE))
-    first = df.select(F.min(order)).first()[0]
-    bounds = sorted({first, *bounds[:: max(1, len(bounds) // ranges)]})
-    held = F.array(*[F.lit(b).cast("long") for b in bounds])
-    m = len(bounds)
-    own = F.size(F.filter(held, lambda b: b <= F.col("_order"))) - 1
-    home = df.withColumn("_order", order).withColumn("_range", own)
-    guest = F.struct(((F.col("_range") + m - 1) % m).alias("range"), F.lit(True).alias("guest"))
-    place = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"))
-    placed = home.withColumn(
-        "_at", F.explode(F.when(held[F.col("_range")] == F.col("_order"), F.array(place, guest)).otherwise(F.array(place)))
-    )
-    w = Window.partitionBy("_at.range").orderBy("_at.guest", "_order", *columns[:1])
-    return (
-        placed.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-        .filter(~F.col("_at.guest"))
-        .drop("_order", "_range", "_at")
-    )
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, vector, fingerprint) of every row."""
-    return (
-        df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .withColumn("vector", vector(F.col("text")))
-        .withColumn("fingerprint", digest(F.col("vector")))
-    )
+    found = sorted(set(found or []))
+    bounds = sorted({first or 0, *found[:: max(1, len(found) // ranges)]})
+    held, m = F.array(*[F.lit(b).cast("long") for b in bounds]), len(bounds)
+    keyed = keyed.withColumn("_own", F.size(F.filter(held, lambda b: b <= F.col("_order"))) - 1)
+    place = F.struct(F.col("_own").alias("range"), F.lit(False).alias("guest"))
+    guest = F.struct(((F.col("_own") + m - 1) % m).alias("range"), F.lit(True).alias("guest"))
+    at = F.when(F.get(held, F.col("_own")) == F.col("_order"), F.array(place, guest)).otherwise(F.array(place))
+    return keyed.withColumn("_at", F.explode(at)).withColumns({"_range": F.col("_at.range"), "_guest": F.col("_at.guest")}).drop("_own", "_at")
 
 
 def op4_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint beside those of its half-replaced text and of the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("vector", vector(F.col("text")))
-    n = F.char_length("text").cast("long")
-    half = F.floor(F.col("n_chars") / F.lit(2)).cast("int")
-    edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
-        F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half),
-    )
-    return (
-        with_next(docs, "doc_id", "text", "vector")
+    w = Window.partitionBy("_range").orderBy("_guest", "_order", "text")
+    n, half = F.char_length("text"), F.floor(F.col("n_chars") / F.lit(2)).cast("int")
+    both = (
+        ranged(docs, "doc_id")
+        .withColumns({"next_text": F.lead("text", 1, "").over(w), "_row": F.row_number().over(w)})
         .withColumn("n_chars", n)
-        .withColumn("edited", edited)
-        .withColumn("edited_vector", vector(F.col("edited")))
+        .withColumn(
+            "edited",
+            F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)),
+        )
         .select(
-            F.col("doc_id"),
-            F.col("n_chars"),
-            F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-            digest(F.col("vector")).alias("fingerprint"),
-            digest(F.col("edited_vector")).alias("edited_fingerprint"),
-            likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
-            likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+            "_range", "_row", "_guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+            F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("_t"),
+        )
+        .withColumns({"_which": F.col("_t.which"), "text": F.col("_t.text")})
+    )
+    kept = ("_range", "_row", "_which", "_guest", "doc_id", "n_chars", "edited_sha256")
+    follow = Window.partitionBy("_range").orderBy("_row", "_which")
+    v = F.struct("strong", "wide", "paragraphs", "clauses")
+    return (
+        vectors(both, *kept)
+        .withColumn("own", v)
+        .withColumns({"edited": F.lead("own", 1).over(follow), "next": F.lead("own", 2).over(follow)})
+        .filter(~F.col("_guest") & (F.col("_which") == 0))
+        .select(
+            "doc_id",
+            F.col("n_chars").cast("long").alias("n_chars"),
+            "edited_sha256",
+            digest(F.col("own")).alias("fingerprint"),
+            digest(F.col("edited")).alias("edited_fingerprint"),
+            likeness(F.col("own"), F.col("edited")).alias("near_edited"),
+            likeness(F.col("own"), F.col("next")).alias("near_next"),
         )
     )
-
