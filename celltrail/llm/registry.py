@@ -5,8 +5,10 @@ from __future__ import annotations
 from .best_fit_packing import op2_best_fit_packing
 from .language_id import op3_language_id
 from .multiset_fingerprint import op4_multiset_fingerprint
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
