@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .best_fit_packing import op2_best_fit_packing
 from .language_id import op3_language_id
+from .license_scan import op9_license_scan
+from .license_scan import oracle_sql as license_sql
 from .multiset_fingerprint import op4_multiset_fingerprint
 from .toxicity import op1_toxicity
 
@@ -11,7 +13,10 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op9_license_scan": op9_license_scan,
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_license_scan": license_sql(),
+}
