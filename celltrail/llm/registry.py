@@ -7,6 +7,7 @@ from .language_id import op3_language_id
 from .license_scan import op9_license_scan
 from .license_scan import oracle_sql as license_sql
 from .multiset_fingerprint import op4_multiset_fingerprint
+from .ngram_jaccard import op7_ngram_jaccard
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op9_license_scan": op9_license_scan,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
 }
 
