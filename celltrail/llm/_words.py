@@ -43,11 +43,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums from which :func:`span_hash` gets the hash of any span of ``data``."""
+def prefix_sums(data: np.ndarray, seed: int = _SEED) -> np.ndarray:
+    """Sums from which :func:`span_hash` gets the hash of any span of ``data``; another seed, another hash."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U)
-    np.cumsum(_letters(_SEED)[data] * up[: len(data)], out=out[1:])
+    np.cumsum(_letters(seed)[data] * up[: len(data)], out=out[1:])
     return out
 
 

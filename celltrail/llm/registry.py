@@ -8,6 +8,7 @@ from .license_scan import op9_license_scan
 from .license_scan import oracle_sql as license_sql
 from .multiset_fingerprint import op4_multiset_fingerprint
 from .ngram_jaccard import op7_ngram_jaccard
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op9_license_scan": op9_license_scan,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
 }
 
