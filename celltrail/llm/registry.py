@@ -9,6 +9,8 @@ from .license_scan import oracle_sql as license_sql
 from .multiset_fingerprint import op4_multiset_fingerprint
 from .ngram_jaccard import op7_ngram_jaccard
 from .suffix_dedup import op5_suffix_dedup
+from .topk_search import ORACLE_SQL as TOPK_SQL
+from .topk_search import op10_topk_search
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -18,9 +20,11 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op10_topk_search": op10_topk_search,
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_license_scan": license_sql(),
+    "op10_topk_search": TOPK_SQL,
 }
