@@ -321,7 +321,8 @@ def packed(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = cuts.join(by_part.select("part", "length", "before"), ["part", "length"]).select(
+    # the counts grow with the partitions: both sides are dealt out
+    ranked = cuts.join(by_part.select("part", "length", "before").hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank")
     )
     return ranked.mapInArrow(
@@ -334,3 +335,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def stage_best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences."""
+    import public_tokenizers
+
+    return packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
