@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .best_fit_packing import op2_best_fit_packing
+from .html_extraction import op6_html_extraction
 from .language_id import op3_language_id
 from .license_scan import op9_license_scan
 from .license_scan import oracle_sql as license_sql
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op10_topk_search": op10_topk_search,
+    "op6_html_extraction": op6_html_extraction,
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
 }
 
