@@ -9,6 +9,7 @@ from .license_scan import op9_license_scan
 from .license_scan import oracle_sql as license_sql
 from .multiset_fingerprint import op4_multiset_fingerprint
 from .ngram_jaccard import op7_ngram_jaccard
+from .sentencepiece_fst import op8_sentencepiece_fst
 from .suffix_dedup import op5_suffix_dedup
 from .topk_search import ORACLE_SQL as TOPK_SQL
 from .topk_search import op10_topk_search
@@ -23,6 +24,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op10_topk_search": op10_topk_search,
     "op6_html_extraction": op6_html_extraction,
+    "op8_sentencepiece_fst": op8_sentencepiece_fst,
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
 }
 
