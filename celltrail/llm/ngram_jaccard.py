@@ -46,6 +46,8 @@ BLOCK = 1024
 #: Bytes that one matrix of a cell takes.
 CELL_BYTES = 1 << 26
 LEAST_SLOTS, MOST_SLOTS, ROWS, STRIPES = 18, 23, 2, 32
+#: Bits of the filter of clustered ids, as a power of two.
+MOST_BITS = 27
 
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
@@ -194,7 +196,7 @@ def prefixes(df: DataFrame, s: Similarity, frequent: Frequent) -> DataFrame:
 
 
 def keys(classes: DataFrame, s: Similarity) -> DataFrame:
-    """(key, node, n, free): index keys of each class; ``free``: frequent shingles that its prefix has."""
+    """(key, node, size): index keys of each class; ``size``: how many shingles it has, times 2^32, and how many frequent ones in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,11 +220,11 @@ def keys(classes: DataFrame, s: Similarity) -> DataFrame:
             if out:
                 who = np.concatenate(whose)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(node[who]), pa.array(n[who].astype(np.int32)), pa.array(free[who].astype(np.int32))],
-                    names=["key", "node", "n", "free"],
+                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(node[who]), pa.array((n << 32 | free)[who])],
+                    names=["key", "node", "size"],
                 )
 
-    return classes.select("node", "n", "rare", "often").mapInArrow(run, "key long, node long, n int, free int")
+    return classes.select("node", "n", "rare", "often").mapInArrow(run, "key long, node long, size long")
 
 
 @lru_cache(maxsize=FEW + 1)
@@ -231,7 +233,7 @@ def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(index: DataFrame, s: Similarity) -> DataFrame:
-    """(a, b, short, sure): classes of one key; ``short``: common shingles still missing when the key is one of them."""
+    """(a, b): pairs of classes that share as many keys as similar ones must, or a key of many classes."""
 
     def paired(node: np.ndarray, n: np.ndarray, free: np.ndarray, at: np.ndarray, m: int):
         """All pairs of the groups of ``m`` that begin at ``at``."""
@@ -241,7 +243,7 @@ def candidates(index: DataFrame, s: Similarity) -> DataFrame:
         i, j = i[fit], j[fit]
         _, k = s.prefix(np.minimum(n[i], n[j]))
         need = k - np.minimum(free[i], free[j])
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), need, np.zeros(len(i), bool)
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.maximum(need, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64) for _ in range(4)]
@@ -249,7 +251,7 @@ def candidates(index: DataFrame, s: Similarity) -> DataFrame:
 
         def link(a: np.ndarray, b: int):
             a = a[a != b]
-            return np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64), np.ones(len(a), bool)
+            return np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)
 
         def emit(columns, last: bool):
             nonlocal hot
@@ -284,11 +286,12 @@ def candidates(index: DataFrame, s: Similarity) -> DataFrame:
             return out, [key[begin:], node[begin:], n[begin:], free[begin:]]
 
         def batch_of(out):
-            a, b, need, sure = (np.concatenate([o[q] for o in out]) for q in range(4))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32)), pa.array(sure)], names=["a", "b", "need", "sure"])
+            a, b, need = (np.concatenate([o[q] for o in out]) for q in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
 
         for batch in batches:
-            columns = [np.concatenate([k, batch.column(q).to_numpy().astype(np.int64)]) for q, k in enumerate(kept)]
+            key, node, size = (batch.column(q).to_numpy() for q in range(3))
+            columns = [np.concatenate([k, x]) for k, x in zip(kept, (key, node, size >> 32, size & 0xFFFFFFFF), strict=True)]
             out, kept = emit(columns, False)
             if out:
                 yield batch_of(out)
@@ -296,12 +299,44 @@ def candidates(index: DataFrame, s: Similarity) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    found = (
-        index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, need int, sure boolean")
-    )
-    return found.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"), F.max("sure").alias("sure")).filter(
-        "sure OR common >= need"
-    ).select("a", "b")
+    found = index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, need int")
+    counted = found.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"))
+    return counted.filter("common >= need").select("a", "b")
+
+
+class Among:
+    """A Bloom filter of ids, of a size that follows their number up to a bound: it lets others pass at times, and never stops one."""
+
+    def __init__(self, bits: int, marks: np.ndarray):
+        self.bits, self.marks = bits, marks
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+        h = mix(ids.view(U) + U(0x51ED270B))
+        return [(h >> U(64 - bits)).astype(np.int64), (h & U((1 << bits) - 1)).astype(np.int64)]
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        a, b = self.places(ids, self.bits)
+        return (self.marks[a] & self.marks[b]).astype(bool)
+
+
+def among(nodes: DataFrame) -> Among:
+    """The filter of a table's ids (its first column)."""
+    bits = min(MOST_BITS, max(16, int(nodes.count()).bit_length() + 4))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            for place in Among.places(batch.column(0).to_numpy(), bits):
+                marks[place] = 1
+        if marks.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["marks"])
+
+    marks = np.zeros(1 << bits, np.uint8)
+    tasks = nodes.coalesce(8)
+    for row in tasks.mapInArrow(mark, "marks binary").collect():
+        marks |= np.unpackbits(np.frombuffer(row["marks"], np.uint8))
+    return Among(bits, marks)
 
 
 def cell_links(sets: list[np.ndarray], s: Similarity, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -352,15 +387,13 @@ def verified(clusters: DataFrame, docs: DataFrame, s: Similarity) -> DataFrame:
         )
     )
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    inside = docs.sparkSession.sparkContext.broadcast(among(clusters.select("node")))  # bounded: see MOST_BITS
+
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, who, value in _stepped(batch.column(1), s.words):
-                cut = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=hi - lo))]).astype(np.int32) * 8
-                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(value.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), raw], names=["node", "shingles"])
+            yield batch.filter(pa.array(inside.value(batch.column(0).to_numpy())))
 
-    own = docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    held = own.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    held = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(those, "doc_id long, text string")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, node, side, own, found = None, [], [], True, []
@@ -379,22 +412,25 @@ def verified(clusters: DataFrame, docs: DataFrame, s: Similarity) -> DataFrame:
             return None
 
         for batch in batches:
-            for c, v, z, o, raw in zip(*(batch.column(q).to_pylist() for q in range(5)), strict=True):
+            sets: list[np.ndarray] = []
+            for lo, hi, who, value in _stepped(batch.column(4), s.words):
+                sets += np.split(value, np.cumsum(np.bincount(who, minlength=hi - lo))[:-1])
+            for c, v, z, o, x in zip(*(batch.column(q).to_pylist() for q in range(4)), sets, strict=True):
                 if c != cell:
                     if (done := close()) is not None:
                         yield done
                     cell, node, side, own, found = c, [], [], o, []
-                node.append(v)
+                node.append(v)  # rows of one id are entries of one node
                 side.append(z)
-                found.append(np.frombuffer(raw, U))
+                found.append(x)
         if (done := close()) is not None:
             yield done
 
     return (
-        placed.join(held, "node")
-        .select("cell", "node", "side", "own", "shingles")
+        placed.join(held.withColumnRenamed("doc_id", "node"), "node")
+        .select("cell", "node", "side", "own", "text")
         .repartition("cell")
-        .sortWithinPartitions("cell")
+        .sortWithinPartitions("cell", "node")
         .mapInArrow(link, "a long, b long")
     )
 
