@@ -58,9 +58,11 @@ def components(links: DataFrame) -> DataFrame:
     nothing but its least. Rounds are written out, so a lost executor costs no more
     than a round.
     """
+    # written first: each round reads its links several times
     now = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     while True:
-        now = stored(_starred(now.mapInArrow(_contracted, "a long, b long")), "links")
+        now = stored(now.mapInArrow(_contracted, "a long, b long"), "contracted-links")
+        now = stored(_starred(now), "links")
         # done when no node is linked with two nodes, and none that others are linked with is linked itself
         twice = now.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
         chain = now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1)
