@@ -40,7 +40,7 @@ from ._words import mix, prefix_sums, span_hash, spans
 
 U = np.uint64
 #: Keys of at most so many classes give all pairs.
-FEW = 64
+FEW = 128
 #: Classes in a block of a large cluster.
 BLOCK = 1024
 #: Bytes that one matrix of a cell takes.
@@ -67,6 +67,16 @@ class Similarity:
         k = np.minimum(2 + n // 50, overlap)
         return n - overlap + k, k
 
+    def shared(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """How many shingles of both prefixes two similar sets have in common at least.
+
+        What they share outside stands behind the prefix that ends first, so it is no
+        more than what is left of one of them.
+        """
+        overlap = -(-self.over * (n + m) // (self.over + self.under))
+        (p, k), (q, j) = self.prefix(n), self.prefix(m)
+        return np.maximum(np.minimum(k, j), overlap - np.maximum(n - p, m - q))
+
     def linked(self, common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return self.under * common >= self.over * (n + m - common)
 
@@ -111,7 +121,7 @@ class Frequent:
         self.counts = counts
         self.bits = int(counts.shape[1]).bit_length() - 1
         mean = counts[0].sum() / counts.shape[1]
-        self.least = mean + max(FEW, 4 * math.sqrt(mean))
+        self.least = mean + max(FEW // 2, 4 * math.sqrt(mean))
 
     @staticmethod
     def slots(value: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -241,8 +251,7 @@ def candidates(index: DataFrame, s: Similarity) -> DataFrame:
         i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
         fit = s.sizes_fit(n[i], n[j]) & (node[i] != node[j])
         i, j = i[fit], j[fit]
-        _, k = s.prefix(np.minimum(n[i], n[j]))
-        need = k - np.minimum(free[i], free[j])
+        need = s.shared(n[i], n[j]) - np.minimum(free[i], free[j])
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.maximum(need, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
