@@ -85,7 +85,7 @@ def zone_column(raw: Column) -> Column:
     offset = F.when((hours == 0) & (minutes == 0), F.lit("UTC")).otherwise(
         F.concat(F.lit("UTC"), sign, hours.cast("string"), F.when(minutes > 0, F.concat(F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"))).otherwise(F.lit("")))
     )
-    known = F.array_contains(F.array(*[F.lit(z) for z in sorted(available_timezones())]), text)
+    known = F.array_contains(F.split(F.lit(",".join(sorted(available_timezones()))), ","), text)
     return F.coalesce(lookup(upper, ZONES), F.when((sign != "") & (hours <= 18), offset), F.when(known, text))
 
 

@@ -134,11 +134,14 @@ _VALUES = "v AS (SELECT src_row, 'msisdn' AS col, msisdn_raw AS r FROM c UNION A
 _LUHN15 = "substr(d, 15, 1) = CAST(" + _DUE.replace("substr(d,", "substr(rpad(d, 15, '0'),") + " AS VARCHAR)"
 
 
+_TYPE = f"""CASE WHEN upper(trim(r)) IN {_TOKENS} THEN NULL WHEN n = 15 AND known THEN 'IMSI' WHEN n = 15 AND luhn THEN 'IMEI'
+ WHEN n = 15 AND left(d, 3) BETWEEN '200' AND '750' THEN 'IMSI' WHEN n = 16 THEN 'IMEI' WHEN n BETWEEN 18 AND 22 AND d LIKE '89%' THEN 'ICCID'
+ WHEN r LIKE '+%' OR n = 10 OR (n = 11 AND d LIKE '1%') THEN 'MSISDN' WHEN regexp_matches(r, '^[0-9a-fA-F:]{{6,39}}$') THEN 'IP_ADDRESS' END"""
+
+
 @query(f"""WITH {_ROWS}, {_VALUES}, w AS (SELECT *, regexp_replace(r, '[^0-9]', '', 'g') AS d FROM v),
 x AS (SELECT *, length(d) AS n, {_OPERATOR} IS NOT NULL AS known, {_LUHN15} AS luhn FROM w)
-SELECT src_row, col, CASE WHEN upper(trim(r)) IN {_TOKENS} THEN NULL WHEN n = 15 AND known THEN 'IMSI' WHEN n = 15 AND luhn THEN 'IMEI'
- WHEN n = 15 AND left(d, 3) BETWEEN '200' AND '750' THEN 'IMSI' WHEN n = 16 THEN 'IMEI' WHEN n BETWEEN 18 AND 22 AND d LIKE '89%' THEN 'ICCID'
- WHEN r LIKE '+%' OR n = 10 OR (n = 11 AND d LIKE '1%') THEN 'MSISDN' WHEN regexp_matches(r, '^[0-9a-fA-F:]{{6,39}}$') THEN 'IP_ADDRESS' END AS type,
+SELECT src_row, col, {_TYPE} AS type,
  CASE WHEN upper(trim(r)) IN {_TOKENS} THEN NULL WHEN n = 15 AND known AND NOT luhn THEN 0.9e0 WHEN n = 15 AND known THEN 0.6e0 WHEN n = 15 AND luhn THEN 0.85e0
  WHEN n = 15 AND left(d, 3) BETWEEN '200' AND '750' THEN 0.5e0 WHEN n = 16 THEN 0.5e0 WHEN n BETWEEN 18 AND 22 AND d LIKE '89%' THEN 0.8e0
  WHEN r LIKE '+%' OR n = 10 OR (n = 11 AND d LIKE '1%') THEN 0.75e0 WHEN regexp_matches(r, '^[0-9a-fA-F:]{{6,39}}$') THEN 0.6e0 END AS confidence FROM x""")
@@ -520,7 +523,13 @@ def format_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.headers_scored(_header_lists(spark))
 
 
-@query("SELECT 'fixture' AS file, 'fixture.rows' AS best, 'NEEDS_CONFIRMATION' AS decision, 0.6625e0 AS confidence")
+_FIRST_ROWS = "c AS (SELECT * FROM (" + CARRIER_ROWS.replace("{events}", "events") + ") ORDER BY src_row LIMIT 50)"
+
+
+@query(f"""WITH {_FIRST_ROWS}, {_VALUES}, w AS (SELECT *, regexp_replace(r, '[^0-9]', '', 'g') AS d FROM v), x AS (SELECT *, length(d) AS n, {_OPERATOR} IS NOT NULL AS known, {_LUHN15} AS luhn FROM w),
+y AS (SELECT col, avg(CASE WHEN {_TYPE} = upper(col) THEN 1e0 ELSE 0e0 END) FILTER (upper(trim(r)) NOT IN {_TOKENS}) AS share FROM x WHERE col IN ('msisdn', 'imsi', 'imei') GROUP BY 1),
+{_TIME}, z AS (SELECT (0.35e0 + 0.15e0 + 0.1e0 * 0.2e0 + 0.25e0 * (SELECT avg(CASE WHEN share >= 0.8 THEN 1e0 ELSE 0e0 END) FROM y) + 0.1e0 * (SELECT avg(CASE WHEN utc IS NULL THEN 0e0 ELSE 1e0 END) FROM t)) / 0.95e0 AS s)
+SELECT 'fixture' AS file, 'fixture.rows' AS best, 'NEEDS_CONFIRMATION' AS decision, round(s, 4) AS confidence FROM z""")
 def format_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     _utc(spark)
     rows = source_rows(spark, sf_dir).orderBy("row")
@@ -605,11 +614,12 @@ _RING = [(-104.95, 39.05), (-104.75, 39.08), (-104.70, 39.30), (-104.88, 39.22),
 def _inside_sql() -> str:
     terms = []
     for (ax, ay), (bx, by) in zip(_RING, [*_RING[1:], _RING[0]], strict=True):
-        terms.append(f"CASE WHEN ({ay} > lat) <> ({by} > lat) AND lon < ({bx} - ({ax})) * (lat - {ay}) / ({by} - {ay}) + ({ax}) THEN 1 ELSE 0 END")
+        ax, ay, bx, by = (f"({v!r}e0)" for v in (ax, ay, bx, by))
+        terms.append(f"CASE WHEN ({ay} > lat) <> ({by} > lat) AND lon < ({bx} - {ax}) * (lat - {ay}) / ({by} - {ay}) + {ax} THEN 1 ELSE 0 END")
     return "(" + " + ".join(terms) + ") % 2 = 1"
 
 
-@query(f"WITH {_P} SELECT event_id, {_inside_sql().replace('39.', '39.').replace(' > lat', 'e0 > lat')} AS inside FROM p")
+@query(f"WITH {_P} SELECT event_id, {_inside_sql()} AS inside FROM p")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _RING])
     return _points(spark, sf_dir).select("event_id", geodesy.in_polygon(F.col("lat"), F.col("lon"), ring).alias("inside"))
@@ -696,10 +706,11 @@ def method_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.latest(table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), version.alias("version")))
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_linenumber FROM lineitem) SELECT CASE WHEN l_linenumber = 7 THEN 'NO_HASH_RECORDED' WHEN l_linenumber = 6 THEN 'SOURCE_UNAVAILABLE' WHEN l_linenumber = 5 THEN 'HASH_MISMATCH' ELSE 'VERIFIED' END AS result, count(*) AS n FROM v GROUP BY 1""")
+@query("""WITH v AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT CASE WHEN l_linenumber = 7 THEN 'NO_HASH_RECORDED' WHEN l_linenumber = 6 THEN 'SOURCE_UNAVAILABLE' WHEN l_linenumber = 5 THEN 'HASH_MISMATCH' ELSE 'VERIFIED' END AS result, count(*) AS n FROM v GROUP BY 1""")
 def row_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_file_id"), F.col("l_linenumber").alias("row"), raw.alias("raw"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = lines.select(F.col("l_orderkey").cast("string").alias("source_file_id"), F.col("l_linenumber").alias("row"), raw.alias("raw"))
     h = F.when(F.col("row") == 5, F.lit("x")).when(F.col("row") != 7, F.sha2("raw", 256))
     events = rows.select("source_file_id", "row", F.col("raw").alias("event_id"), h.alias("row_hash"))
     return evidence.verified_rows(events, rows.filter("row <> 6")).groupBy("result").agg(F.count("*").alias("n"))
@@ -711,8 +722,7 @@ def row_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, s_suppkey || ',' || s_name || ',' || CASE s_suppkey % 4 WHEN 0 THEN '''-' || s_nationkey WHEN 1 THEN '\"a \"\"b\"\", c\"' WHEN 2 THEN '''=1+1' ELSE '' END AS line FROM supplier")
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey") % 4
-    odd = F.when(k == 0, -F.col("s_nationkey")).cast("string")
-    odd = F.when(k == 0, F.concat(F.lit("-"), F.col("s_nationkey").cast("string"))).when(k == 1, F.lit('a "b", c')).when(k == 2, F.lit("=1+1")).otherwise(F.coalesce(odd, F.lit(None)))
+    odd = F.when(k == 0, F.concat(F.lit("-"), F.col("s_nationkey").cast("string"))).when(k == 1, F.lit('a "b", c')).when(k == 2, F.lit("=1+1"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", export.csv_lines(None, {"id": F.col("s_suppkey"), "name": F.col("s_name"), "odd": odd}).alias("line"))
 
 
