@@ -4,11 +4,11 @@ Three transducers are compiled from a model file: the normaliser (spaces to the
 space mark, a mark in front), the lexicon (a trie of pieces, closed, whose arcs end
 in a piece's id) and the byte fallback (a character that no piece begins with to the
 ids of its bytes). An input is a chain of characters; composed with the three it is
-a lattice whose arcs are pieces, and its encoding is the lattice's shortest path in
+a path graph whose arcs are pieces, and its encoding is that graph's shortest path in
 the tropical semiring.
 
 A unigram model's arcs weigh what its scores say. A merge model (BPE) orders merges, and
-no weight of single pieces gives its encodings. Its lattice has a state for each arc:
+no weight of single pieces gives its encodings. Its graph has a state for each arc:
 going on from one piece to the next weighs nothing if merging the characters of both
 leaves just these two pieces, and infinity otherwise. The merge encoding is the one
 path without an infinite step, as merges of a whole text do in each pair of
@@ -256,7 +256,7 @@ class Transducer:
         return [i for _, _, ids in path for i in ids]
 
     def shortest(self, word: str) -> list[int]:
-        """Ids along the shortest path of the lattice of ``word``."""
+        """Ids along the shortest path of the graph of ``word``."""
         if self.model.merges:
             return self.only(word)
         n = len(word)
