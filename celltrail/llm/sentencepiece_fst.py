@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from ._common import prepare, steps, table
 
 MARK = "▁"
-#: Words and pairs of pieces that a Python worker remembers, at most.
-REMEMBERED = 300_000
+#: Words, and pairs of pieces, that a Python worker remembers, at most.
+REMEMBERED, REMEMBERED_PAIRS = 600_000, 400_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -197,7 +197,7 @@ class Transducer:
         known = self.pairs.get(key)
         if known is not None:
             return known
-        if len(self.pairs) > REMEMBERED:
+        if len(self.pairs) > REMEMBERED_PAIRS:
             self.pairs.clear()
         ids, pieces, place, halves = self.model.ids, self.model.pieces, self.place, self.halves
         x, y, limit, known = a, b, math.inf, True
