@@ -10,9 +10,9 @@ character; a text's features are its length-normalised log-likelihood ratio and
 strongest words' ratios. A logistic curve fitted on the labelled rows, scored by
 models that left them out (two folds), turns these into a score from 0 to 1.
 
-Counts run over all labelled rows given, summed by executors; n-grams are hashed
-into :data:`SLOTS` counters an order, so what is collected and sent to executors
-has one size whatever the corpus. The curve is fitted on about :data:`CURVE_ROWS`
+Counts run over all labelled rows given. Grams are counted exactly, each under its
+own bytes, in a grouped table; the table of distinct grams is collected and sent to
+executors, and grows with the labelled rows (see :class:`Counts`). The curve is fitted on about :data:`CURVE_ROWS`
 rows. Every word of every whole text is scored.
 
 Defined cases: a null or empty text, or one without a word, has no ratio and gets
@@ -32,15 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc_bucket, prepare, steps, table, utf8
-from ._words import distinct, mix, prefix_sums, ranges, span_hash, spans
+from ._words import distinct, prefix_sums, ranges, span_hash, spans
 
 U = np.uint64
 ORDER, SHARED = 6, 2
-SLOTS = 1 << 17
 DISCOUNT = 0.75
 CURVE_ROWS = 6000
-#: Pieces that the counters are cut into to be summed.
-STRIPES = 32
+#: Distinct grams that a task holds before it hands their counts on.
+HELD = 1 << 20
 #: Shares of a toxic text's words that are taken to be toxic expressions; the others are ordinary.
 SHARES = (0.01, 0.05)
 #: How many of a text's strongest words are averaged.
@@ -49,6 +48,7 @@ THRESHOLD = 0.7
 #: A word's bytes beyond these are scored as a word of their own.
 LONGEST = 48
 
+KINDS = [f"n{k}" for k in range(4)]
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -88,95 +88,117 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(letters, length, code, text)
 
 
-def grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word of every predicted character (the end counts as one) and, for each order, the slots of gram and context.
+def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The word of every predicted character (the end counts as one) and its gram of the highest order.
 
-    An order's gram is the character with ``order - 1`` before it; before the start
-    mark stand zeros, so the highest order sees the whole beginning of a word.
+    A gram is the character with ``ORDER - 1`` before it, its bytes as one number;
+    before the start mark stand zeros, so the highest order sees the whole beginning
+    of a word. The last bytes are the grams of the lower orders.
     """
     n, width = words.letters.shape
     row, column = np.nonzero(np.arange(1, width) <= (words.length[:, None] + 1))
     letters = np.concatenate([np.zeros((n, ORDER), np.uint8), words.letters], axis=1).ravel()
     at = row * (width + ORDER) + column + 1 + ORDER
-    last = letters[at].astype(U)
-    gram, context = np.empty((ORDER, len(row)), np.int32), np.empty((ORDER, len(row)), np.int32)
-    before = np.zeros(len(row), U)
-    for k in range(ORDER):
-        if k:
-            before = before * U(0x100000001B3) + letters[at - k].astype(U) + U(1)
-        context[k] = mix(before + U(k)) & U(SLOTS - 1)
-        gram[k] = mix((before * U(257) + last + U(1)) * U(0x9E3779B97F4A7C15) + U(k)) & U(SLOTS - 1)
-    return row, gram, context
+    gram = np.zeros(len(row), U)
+    for k in reversed(range(ORDER)):
+        gram = gram << U(8) | letters[at - k].astype(U)
+    return row, gram
+
+
+def _last(gram: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` characters."""
+    return gram & U((1 << 8 * n) - 1)
+
+
+def counted(words: Words, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams and how often each stands in the texts of each kind; ``kind`` of a text: 2 * fold + class."""
+    row, gram = grams(words)
+    own, where = np.unique(gram, return_inverse=True)
+    seen = np.zeros((4, len(own)), np.int64)
+    for y in np.unique(kind):
+        weight = np.bincount(words.code[kind[words.text] == y], minlength=len(words.length))[row]
+        seen[y] = np.bincount(where, weight, len(own)).astype(np.int64)
+    return own, seen
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several parts as one."""
+    gram, seen = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    return gram[first], np.add.reduceat(seen[:, order], first, axis=1)
+
+
+@dataclass
+class Level:
+    """The distinct grams of an order, and of each how often it was seen, its context and the gram without its first character."""
+
+    gram: np.ndarray
+    seen: np.ndarray  # (4, grams)
+    context: np.ndarray  # distinct
+    where: np.ndarray  # of each gram, its context's place
+    lower: np.ndarray  # of each gram, its place in the level below
 
 
 class Counts:
-    """Hashed counts: occurrences by class and fold, and of each gram its context and the gram without its first character."""
-
-    def __init__(self):
-        self.seen = np.zeros((4, ORDER, SLOTS), np.float32)
-        self.context = np.full((ORDER, SLOTS), -1, np.int32)
-        self.lower = np.full((ORDER, SLOTS), -1, np.int32)
-
-    def add(self, words: Words, kind: np.ndarray) -> None:
-        """``kind`` of each text: 2 * fold + class."""
-        row, gram, context = grams(words)
-        for k in range(ORDER):
-            self.context[k][gram[k]] = context[k]
-            if k:
-                self.lower[k][gram[k]] = gram[k - 1]
-        for y in np.unique(kind):
-            weight = np.bincount(words.code[kind[words.text] == y], minlength=len(words.length))[row]
-            use = np.flatnonzero(weight)
-            for k in range(ORDER):
-                self.seen[y, k] += np.bincount(gram[k][use], weight[use], SLOTS).astype(np.float32)
-
-    def striped(self) -> Iterator[tuple[int, bytes, bytes]]:
-        step = SLOTS // STRIPES
-        for i in range(STRIPES):
-            cut = slice(i * step, (i + 1) * step)
-            yield i, self.seen[:, :, cut].tobytes(), np.stack([self.context[:, cut], self.lower[:, cut]]).tobytes()
-
-    def put(self, stripe: int, seen: bytes, links: bytes) -> None:
-        step = SLOTS // STRIPES
-        cut = slice(stripe * step, (stripe + 1) * step)
-        self.seen[:, :, cut] = np.frombuffer(seen, np.float32).reshape(4, ORDER, step)
-        self.context[:, cut], self.lower[:, cut] = np.frombuffer(links, np.int32).reshape(2, ORDER, step)
+    """Exact counts of every distinct gram by class and fold, as levels from the lowest order to the highest."""
+
+    def __init__(self, gram: np.ndarray, seen: np.ndarray):
+        order = np.argsort(gram)
+        gram, seen, levels = gram[order], seen[:, order], []
+        for k in reversed(range(ORDER)):
+            context, where = np.unique(gram >> U(8), return_inverse=True)
+            below, lower = np.unique(_last(gram, k), return_inverse=True)
+            levels.append(Level(gram, seen, context, where, lower))
+            gram, seen = below, np.stack([np.bincount(lower, s, len(below)) for s in seen])
+        self.levels = levels[::-1]
 
 
 class Model:
     """Interpolated Kneser-Ney probabilities of both classes from the folds given."""
 
     def __init__(self, counts: Counts, folds: tuple[int, ...]):
-        own = [sum(counts.seen[2 * f + y] for f in folds) for y in (0, 1)]
-        both = own[0] + own[1]
-        self.gain = np.empty((2, ORDER, SLOTS), np.float32)
-        self.rest = np.empty((2, ORDER, SLOTS), np.float32)
-        for y in (0, 1):
-            for k in range(ORDER):
-                seen = both if k < SHARED else own[y]
-                c = seen[k]
+        self.keys, self.gain, self.rest = [], [], []
+        for k, level in enumerate(counts.levels):
+            gain, rest = np.zeros((2, len(level.gram)), np.float32), np.ones((2, len(level.context)), np.float32)
+            for y in (0, 1):
+                kinds = [2 * f + z for f in folds for z in ((0, 1) if k < SHARED else (y,))]
                 if k + 1 < ORDER:  # how many different characters stand before it
-                    above = (seen[k + 1] > 0) & (counts.lower[k + 1] >= 0)
-                    c = np.bincount(counts.lower[k + 1][above], minlength=SLOTS).astype(np.float32)
-                has = (c > 0) & (counts.context[k] >= 0)
-                where = counts.context[k][has]
-                total = np.bincount(where, c[has], SLOTS).astype(np.float32)
-                kinds = np.bincount(where, minlength=SLOTS).astype(np.float32)
-                self.rest[y, k] = np.where(total > 0, np.minimum(1.0, DISCOUNT * kinds / np.maximum(total, 1)), 1.0)
-                self.gain[y, k] = 0
-                self.gain[y, k][has] = np.maximum(c[has] - DISCOUNT, 0) / np.maximum(total[where], 1)
-        self.learned = [bool(o[0].any()) for o in own]
+                    above = counts.levels[k + 1]
+                    c = np.bincount(above.lower[above.seen[kinds].sum(0) > 0], minlength=len(level.gram))
+                else:
+                    c = level.seen[kinds].sum(0)
+                has = c > 0
+                where = level.where[has]
+                total = np.bincount(where, c[has], len(level.context))
+                kinds_of = np.bincount(where, minlength=len(level.context))
+                rest[y] = np.where(total > 0, np.minimum(1.0, DISCOUNT * kinds_of / np.maximum(total, 1)), 1.0)
+                gain[y][has] = (c[has] - DISCOUNT) / total[where]
+            self.keys.append((level.gram, level.context))
+            self.gain.append(gain)
+            self.rest.append(rest)
+        top = counts.levels[-1].seen
+        self.learned = [bool(any(top[2 * f + y].any() for f in folds)) for y in (0, 1)]
 
     def ratios(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct word's log-likelihood ratio, toxic over ordinary, and the characters it was made of."""
-        row, gram, context = grams(words)
-        logs = []
-        for y in (0, 1):
-            p = np.full(len(row), 1 / 256, np.float32)
-            for k in range(ORDER):
-                p = self.gain[y, k][gram[k]] + self.rest[y, k][context[k]] * p
-            logs.append(np.log(np.minimum(p, 1.0)))
-        return np.bincount(row, logs[1] - logs[0], len(words.length)), words.length + 1
+        row, gram = grams(words)
+        own, where = np.unique(gram, return_inverse=True)
+        p = np.full((2, len(own)), 1 / 256, np.float32)
+        for k, (known, contexts) in enumerate(self.keys):
+            g = _last(own, k + 1)
+            p = _found(known, self.gain[k], g, 0) + _found(contexts, self.rest[k], g >> U(8), 1) * p
+        logs = np.log(np.minimum(p, 1.0))
+        return np.bincount(row, (logs[1] - logs[0])[where], len(words.length)), words.length + 1
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """The values of both classes at ``wanted``, ``default`` where ``keys``, in order, lack it."""
+    if not len(keys):
+        return np.full((2, len(wanted)), default, np.float32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[:, at], np.float32(default))
 
 
 def features(words: Words, ratio: np.ndarray, size: np.ndarray, texts: int) -> np.ndarray:
@@ -239,9 +261,10 @@ def _stepped(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield lo, hi, words_of(data[a:b], offsets[lo : hi + 1] - a)
 
 
-def _piece(stripe: int, seen: bytes, links: bytes) -> pa.RecordBatch:
-    columns = [pa.array([stripe], pa.int32()), pa.array([seen], pa.binary()), pa.array([links], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["stripe", "seen", "links"])
+def _pieces(gram: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(gram), 1 << 16):
+        cut = slice(lo, lo + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (gram.view(np.int64), *seen)], names=["gram", *KINDS])
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> tuple[Model, object]:
@@ -254,47 +277,38 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, used = Counts(), False
+        held, size = [], 0
         for batch in batches:
             kind = 2 * batch.column("fold").to_numpy() + (batch.column("toxic").to_numpy() == 1)
             for lo, hi, words in _stepped(batch.column("text")):
                 if len(words.code):
-                    counts.add(words, kind[lo:hi])
-                    used = True
-        if used:
-            for row in counts.striped():
-                yield _piece(*row)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                seen, links = np.frombuffer(row["seen"], np.float32), np.frombuffer(row["links"], np.int32)
-                if old := held.get(row["stripe"]):
-                    old[0] += seen
-                    np.maximum(old[1], links, out=old[1])
-                else:
-                    held[row["stripe"]] = [seen.copy(), links.copy()]
-        for stripe, (seen, links) in held.items():
-            yield _piece(stripe, seen.tobytes(), links.tobytes())
+                    held.append(counted(words, kind[lo:hi]))
+                    size += len(held[-1][0])
+                if size > HELD:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from _pieces(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from _pieces(*summed(held))
 
-    shape = "stripe int, seen binary, links binary"
     wide = 2 * spark.sparkContext.defaultParallelism
-    parts = rows.coalesce(wide).mapInArrow(count, shape)
-    counts, examples = Counts(), 0
-    for row in parts.repartition(STRIPES, "stripe").mapInArrow(total, shape).collect():  # one size, whatever the corpus
-        counts.put(row["stripe"], row["seen"], row["links"])
+    parts = rows.coalesce(wide).mapInArrow(count, "gram long, " + ", ".join(f"{n} long" for n in KINDS))
+    found = parts.groupBy("gram").agg(*[F.sum(n).alias(n) for n in KINDS]).toArrow()  # grows with the distinct grams
+    counts = Counts(found.column("gram").to_numpy().view(U), np.stack([found.column(n).to_numpy() for n in KINDS]))
     model = Model(counts, (0, 1))
     if not all(model.learned):
         return model, Constant(float(model.learned[1]))
 
-    halves = [Model(counts, (1,)), Model(counts, (0,))]  # by the fold of the row to score: it left that fold out
+    # by the fold of the row to score: it left that fold out
+    shared = spark.sparkContext.broadcast([Model(counts, (1,)), Model(counts, (0,))])
 
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fold = batch.column("fold").to_numpy()
             for lo, hi, words in _stepped(batch.column("text")):
-                x = [features(words, *half.ratios(words), hi - lo) for half in halves]
+                x = [features(words, *half.ratios(words), hi - lo) for half in shared.value]
                 both = np.where((fold[lo:hi] == 0)[:, None], x[0], x[1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(both), pa.list_(pa.float64())), batch.column("toxic").slice(lo, hi - lo)], names=["x", "toxic"]
@@ -318,7 +332,7 @@ def scored(df: DataFrame, model: Model, curve, text_col: str = "text", into: str
     spark = df.sparkSession
     prepare(spark)
     place = df.columns.index(text_col)
-    shared = spark.sparkContext.broadcast((model, curve))  # one size: see SLOTS
+    shared = spark.sparkContext.broadcast((model, curve))  # grows with the distinct grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, curve = shared.value

@@ -252,6 +252,61 @@ def test_toxicity_accuracy_and_cases(spark, tmp_path):
     assert all(r.score is not None and r.predicted == int(r.score >= 0.7) for r in found.values())
 
 
+def kneser_ney(texts):
+    """Log-probability of a word under each class, from dictionaries; texts: (text, toxic)."""
+    order, shared, discount = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
+
+    def steps(word):
+        marked = b"\0" * order + b"\1" + word.encode() + b"\0"
+        return [marked[i - order + 1 : i + 1] for i in range(order + 1, len(marked))]
+
+    seen = [Counter(), Counter()]
+    for text, y in texts:
+        for word in text.split():
+            seen[y].update(steps(word))
+    tables = []
+    for y in (0, 1):
+        levels = []
+        for k in range(order):
+            of = seen[0] + seen[1] if k < shared else seen[y]
+            c = of if k + 1 == order else Counter(g[1:] for g in {g[order - k - 2 :] for g in of})
+            total, kinds = Counter(), Counter()
+            for g, n in c.items():
+                total[g[:-1]] += n
+                kinds[g[:-1]] += 1
+            levels.append((c, total, kinds))
+        tables.append(levels)
+
+    def log(word, y):
+        out = 0.0
+        for g in steps(word):
+            p = 1 / 256
+            for k, (c, total, kinds) in enumerate(tables[y]):
+                own = g[order - k - 1 :]
+                if n := total[own[:-1]]:
+                    p = max(c[own] - discount, 0) / n + min(1, discount * kinds[own[:-1]] / n) * p
+            out += np.log(p)
+        return out
+
+    return log
+
+
+def test_toxicity_counts_every_gram_by_itself(spark, monkeypatch):
+    """More distinct grams than a table of 2^17 slots holds: none shares its count with another."""
+    monkeypatch.setattr(toxicity, "HELD", 40_000)
+    rnd = random.Random(8)
+    random_words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8)) for _ in range(n))
+    rows = [(k, random_words(150), 0) for k in range(250)] + [(300 + k, random_words(30) + " grumbly snarkful", 1) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model, _ = toxicity.learn(df)
+    log = kneser_ney([(t, y) for _, t, y in rows])
+    probes = ["grumbly", "snarkful", "grumble", "vexing", "a", *rows[0][1].split()[:20], *random_words(20).split()]
+    words = toxicity.words_of(*toxicity.lowered(pa.array([" ".join(probes)])))
+    ratio, _ = model.ratios(words)
+    assert len(model.keys[-1][0]) > 1 << 17
+    assert ratio[words.code] == pytest.approx([log(w, 1) - log(w, 0) for w in probes], abs=1e-3)
+
+
 def test_toxicity_of_one_class(spark):
     rows = spark.createDataFrame([(1, "a b", 0), (2, "c", 0)], "doc_id long, text string, toxic int")
     model, curve = toxicity.learn(rows)
