@@ -232,7 +232,7 @@ def window_around_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     _utc(spark)
     minutes = (F.col("o_orderkey") * 37) % 44640
     at = F.timestamp_seconds(F.lit(1704067200) + minutes * 60)
-    windows = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", times.window_around(at, 15, 5).alias("w")).select("o_orderkey", "w.start", "w.end")
+    windows = table(spark, sf_dir, "orders").select("o_orderkey", times.window_around(at, 15, 5).alias("w")).select("o_orderkey", "w.start", "w.end")
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts_utc"))
     return correlate.in_windows(events, windows).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
@@ -416,14 +416,14 @@ def output_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_custkey % 10 = 0")
+    orders = table(spark, sf_dir, "orders")
     seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     rows = orders.select(
         F.col("o_custkey").alias("chain"), seq.alias("seq"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"), F.concat(F.lit("clerk "), (F.col("o_orderkey") % 7).cast("string")).alias("actor_id"),
         F.col("o_orderpriority").alias("action"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("payload_hash"),
     )
     chained = integrity.chained(rows, "chain", key="secret")
-    # what an attacker would do to every seventh chain
+    # what an attacker would do to every seventieth customer's chain
     return chained.withColumn("actor_id", F.when((F.col("chain") % 70 == 0) & (F.col("seq") == 2), F.lit("someone else")).otherwise(F.col("actor_id")))
 
 
@@ -603,7 +603,7 @@ _PLACES = "s AS (SELECT s_suppkey, 39.0e0 + (s_suppkey % 50) * 0.009e0 AS lat2,
 @query(f"""WITH x AS (SELECT event_id, 39.0e0 + (user_id % 40) * 0.01e0 AS lat, -105.0e0 + (event_id % 37) * 0.01e0 AS lon FROM events WHERE event_id % 5 = 0), {_PLACES.format(supplier='supplier')}
 SELECT s_suppkey, count(*) AS n, round(min({_HAVERSINE}), 2) AS nearest_m FROM x, s WHERE {_HAVERSINE} <= 900 GROUP BY 1""")
 def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = _points(spark, sf_dir).filter("event_id % 5 = 0").select("event_id", "lat", "lon")
+    left = _points(spark, sf_dir).select("event_id", "lat", "lon")
     right = spark.sql("WITH " + _PLACES + " SELECT * FROM s", supplier=table(spark, sf_dir, "supplier"))
     return correlate.near(left, right, 900).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.min("distance_m"), 2).alias("nearest_m"))
 

@@ -1,7 +1,8 @@
 """Identifiers, times, geometry, integrity and normalization on cases worked out by hand."""
 
 import math
-from datetime import datetime
+from collections import Counter
+from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from celltrail import queries as engine
 from celltrail.functions import geodesy, identifiers as ids, integrity, times
 from celltrail.operators import evidence, normalize
 from celltrail.plans import detect, formats, profile
@@ -180,3 +182,49 @@ def test_hints():
 def test_luhn_digit(spark, body):
     total = sum(sum(divmod(int(d) * (2 if k % 2 else 1), 10)) for k, d in enumerate(body))
     assert one(spark, ids.luhn_digit(F.lit(body))) == str(-total % 10)
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Orders, events and suppliers of which few have ids that are multiples of 5, 10 or 50."""
+    path, day = str(tmp_path_factory.mktemp("small")), datetime(2024, 1, 1)
+    orders = [(k, k % 23 + 57, day, "1-URGENT") for k in range(1, 121)]
+    events = [(k, day + timedelta(minutes=k * 11), k % 7, "call") for k in range(1, 201)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 60)], "s_suppkey long").write.parquet(f"{path}/supplier.parquet")
+    return path, orders, events
+
+
+def test_windows_around_every_order(spark, small):
+    path, orders, events = small
+    due = {}
+    for k, *_ in orders:
+        at = datetime(2024, 1, 1) + timedelta(minutes=k * 37 % 44640)
+        if held := [e for e, ts, *_ in events if at - timedelta(minutes=15) <= ts <= at + timedelta(minutes=5)]:
+            due[k] = (len(held), min(held))
+    assert {r.o_orderkey: (r.n, r.first_event) for r in engine.window_around_join(spark, path).collect()} == due
+    assert any(k % 50 for k in due)
+
+
+def test_chains_of_every_customer(spark, small):
+    path, orders, _ = small
+    sizes = Counter(c for _, c, *_ in orders)
+    due = {c: (c % 70 != 0 or n < 2, n, 2 if c % 70 == 0 and n >= 2 else None) for c, n in sizes.items()}
+    assert {r.chain: (r.valid, r.checked, r.broken_at_seq) for r in engine.audit_chain_verify(spark, path).collect()} == due
+    assert not due[70][0] and any(c % 10 for c in due)
+
+
+def test_every_event_near_suppliers(spark, small):
+    path, _, events = small
+
+    def metres(lat, lon, lat2, lon2):
+        a, b, d = (math.radians(x) for x in (lat, lat2, lon2 - lon))
+        return 2 * geodesy.EARTH_RADIUS_M * math.asin(math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(d / 2) ** 2))
+
+    due = {}
+    for k in range(1, 60):
+        each = [metres(39 + u % 40 * 0.01, -105 + e % 37 * 0.01, 39 + k % 50 * 0.009, -105 + k % 43 * 0.009) for e, _, u, _ in events]
+        if held := [d for d in each if d <= 900]:
+            due[k] = (len(held), pytest.approx(min(held), abs=0.02))
+    assert {r.s_suppkey: (r.n, r.nearest_m) for r in engine.bbox_join(spark, path).collect()} == due
