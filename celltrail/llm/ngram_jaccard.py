@@ -468,8 +468,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): the one with the least id."""
+    """One row of each group of near duplicates (five words, 0.8): one with the least id, a null id last.
+
+    Rows are told apart by a key of their own, so rows of one id and rows without an
+    id are grouped by their texts like any others.
+    """
     columns = docs.columns
-    groups = joined(docs, Similarity(80, 100, 5))
-    kept = groups.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*columns)
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = joined(rows, Similarity(80, 100, 5), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("least"))
+    return rows.join(kept.select("least._row"), "_row", "left_semi").select(*columns)

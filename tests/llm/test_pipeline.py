@@ -52,6 +52,27 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(ngram_jaccard.stage_ngram_jaccard(spark, docs, "").collect(), key=str) == sorted([r for r in docs.collect() if r.doc_id != 5], key=str)
 
 
+def test_repeated_rows_and_null_ids_leave_one(spark, folder, tmp_path):
+    """Copies of 400 bytes or more under one id, without an id, or both: one stays whole, and the next stage leaves it."""
+    rnd = random.Random(12)
+    texts = [prose(rnd, 90) for _ in range(5)]
+    own = lambda d, t: (d, t, "en", "s", len(t))
+    rows = [own(1000, texts[0])] * 3 + [own(1001, texts[1]), own(None, texts[1])] + [own(None, texts[2]), own(None, texts[2])]
+    # an id whose rows differ does not tie their groups together
+    rows += [own(1005, texts[3]), own(1005, texts[4]), own(1002, texts[3] + " tail"), own(1006, texts[4] + " tail")]
+    due = [(None, texts[2]), (1000, texts[0]), (1001, texts[1]), (1002, texts[3] + " tail"), (1005, texts[4])]
+    assert all(len(t) >= 400 for t in texts)
+    more = spark.createDataFrame(rows, spark.read.parquet(f"{folder}/documents.parquet").schema)
+    left = corpus_pipeline.stage_ngram_jaccard(spark, more, folder)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(due, key=str)
+    cut = corpus_pipeline.stage_suffix_dedup(spark, left, folder)
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(due, key=str)
+    spark.read.parquet(f"{folder}/documents.parquet").union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert {None, 1000, 1001, 1002, 1005} <= packed and 1006 not in packed
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
