@@ -5,8 +5,9 @@ that the text itself never outgrows the dictionary; the language of the smallest
 code wins. A narrow margin between the two smallest codes is a rejection.
 
 The dictionaries are all that is learned: for each language a bounded sample of the
-labelled rows (:data:`DICTIONARY_BYTES`), chosen by a hash of the id. Prediction
-runs over every row and every whole text.
+labelled rows (:data:`DICTIONARY_BYTES`), chosen by a hash of id and text, equal rows
+once, and of each a piece of :data:`SAMPLE_CHARS` characters from a hashed place in
+the text. Prediction runs over every row and every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; equal codes go to the language with more labelled rows, then to the
@@ -95,17 +96,24 @@ class Languages:
         return self.names[best], margin / (margin + 0.02), margin < MARGIN
 
 
+def sampled(rows: DataFrame, distinct: dict[str, int]) -> DataFrame:
+    """(lang, h, text): about ``2 * SAMPLE_ROWS`` of each language's ``distinct`` different rows (lang, text, h), each once, and a piece of each."""
+    near = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int((1 << 62) * min(1.0, 2 * SAMPLE_ROWS / max(n, 1))))) for x, n in distinct.items()])
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
+    return rows.filter(F.col("h") <= near).select("lang", "h", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"])
+
+
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Dictionaries from rows with text and label; how many rows are read is bounded for each language."""
     rows = labelled.select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 62)).alias("h")
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("distinct")).collect()
+    counts, distinct = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["distinct"] for r in found}
     names = sorted(counts, key=lambda x: (-counts[x], x))
     if not names:
         return Languages([], [])
-    near = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int((1 << 30) * min(1.0, 2 * SAMPLE_ROWS / counts[x])))) for x in names])
-    sample = rows.filter(F.col("h") <= near).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    sample = sampled(rows, distinct).collect()
     contents = []
     for name in names:
         own = sorted((r["h"], r["text"]) for r in sample if r["lang"] == name)[: 2 * SAMPLE_ROWS]

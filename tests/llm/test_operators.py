@@ -252,6 +252,22 @@ def test_toxicity_accuracy_and_cases(spark, tmp_path):
     assert all(r.score is not None and r.predicted == int(r.score >= 0.7) for r in found.values())
 
 
+def test_language_sample(spark, monkeypatch):
+    """Texts teach beyond their heads; rows without an id are sampled like others, and equal rows once."""
+    monkeypatch.setattr(languages, "SAMPLE_ROWS", 50)
+    rnd = random.Random(9)
+    sounds, head = {"aa": ("lo", "mi", "ra", "te"), "bb": ("schk", "ung", "ver", "ei")}, "boilerplate header words " * 50
+    body = lambda g: " ".join("".join(rnd.choice(sounds[g]) for _ in range(3)) for _ in range(400))
+    rows = [(None, head + body(g), g) for g in ("aa", "bb") for _ in range(300)] + [(7, head + body("aa"), "aa")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = languages.learn(df)
+    assert [learned.predict(body(g))[::2] for g in ("aa", "bb") * 5] == [("aa", False), ("bb", False)] * 5
+    collected, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    languages.learn(df)
+    assert all(len(found) <= 2 * 2 * 50 * 1.4 for found in collected)
+
+
 def kneser_ney(texts):
     """Log-probability of a word under each class, from dictionaries; texts: (text, toxic)."""
     order, shared, discount = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
