@@ -203,10 +203,13 @@ def plan(histogram: np.ndarray) -> list[tuple[list[int], int]]:
             made.append((items, int(k)))
         return int(k)
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """Two available lengths of that sum, the longer at most ``most`` and as long as can be."""
+    def pair(total: int, most: int, taken: list[int]) -> tuple[int, int] | None:
+        """Two lengths of that sum, available beside those ``taken``, the longer at most ``most`` and as long as can be."""
+        free = left.copy()
+        for x in taken:
+            free[x] -= 1
         a = np.arange(min(total - 1, most), (total + 1) // 2 - 1, -1)
-        ok = (left[a] > 0) & (left[total - a] > np.where(a * 2 == total, 1, 0))
+        ok = (free[a] > 0) & (free[total - a] > np.where(a * 2 == total, 1, 0))
         return (int(a[k := int(np.argmax(ok))]), int(total - a[k])) if len(a) and ok.any() else None
 
     for length in range(capacity, 0, -1):
@@ -215,17 +218,16 @@ def plan(histogram: np.ndarray) -> list[tuple[list[int], int]]:
             take([length])
         if left[length] and gap and gap <= length:
             take([length, gap])
-        while left[length] and gap >= 2 and (found := pair(gap, length)):
-            if not take([length, *found]):
-                break
+        while left[length] and gap >= 2 and (found := pair(gap, length, [length])):
+            take([length, *found])
         blocked: set[int] = set()
         while left[length] and gap >= 3:
             for a in np.flatnonzero(left[: min(gap - 2, length) + 1])[::-1].tolist():
                 if a in blocked or 3 * a < gap:
                     continue
-                if found := pair(gap - a, a):
-                    if take([length, a, *found]):
-                        break
+                if left[a] > (a == length) and (found := pair(gap - a, a, [length, a])):
+                    take([length, a, *found])
+                    break
                 blocked.add(a)
             else:
                 break

@@ -174,6 +174,13 @@ def test_packing_plan_uses_every_piece():
         assert sum(k for _, k in made) <= 1.03 * lengths.sum() / 2048 + 1
 
 
+def test_packing_plan_looks_beyond_a_pair_it_cannot_take():
+    """(7, 3) would fill the sequence of 17 beside 7, but the only 7 is in it already; (5, 5) fills it too."""
+    made = packing.plan(np.bincount([7, 6, 5, 5, 3], minlength=18))
+    assert sorted(x for items, k in made for x in items * k) == [3, 5, 5, 6, 7]
+    assert [7, 5, 5] in [items for items, _ in made]
+
+
 def test_packing_tokenizer_matches_library():
     tok = packing.tokenizer(P.path("byte_bpe_50k.json"))
     rnd = random.Random(1)
