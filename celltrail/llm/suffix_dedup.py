@@ -1,10 +1,10 @@
 """Removal of repeated passages with suffix arrays built by difference covers.
 
-Every byte covered by a string of :data:`LENGTH` bytes that starts anywhere else as
+Every byte covered by a string of ``length`` bytes that starts anywhere else as
 well is removed. The suffix array is built in parts that need nothing of each other:
 
-* Each window of LENGTH bytes has an anchor, the least hash among its grams of
-  :data:`GRAM` bytes (the leftmost of equal ones). Equal windows have equal anchors,
+* Each window of ``length`` bytes has an anchor, the least hash among its grams of
+  ``gram`` bytes (the leftmost of equal ones). Equal windows have equal anchors,
   so they meet in the part of that anchor, and an anchor that stands once in the
   corpus has no repeated window. An anchor's context is the text of all its windows.
 * Equal contexts of an anchor are counted before anything is moved; every window of a
@@ -14,21 +14,30 @@ well is removed. The suffix array is built in parts that need nothing of each ot
   difference-cover algorithm (:func:`suffix_array`): suffixes at places not divisible
   by three are sorted by triples, named, and by recursion on the names; the others
   are sorted by their first symbol and the rank behind it, and merged. Neighbours in
-  the array that share LENGTH bytes, compared byte by byte, are repeated windows.
+  the array that share ``length`` bytes, compared byte by byte, are repeated windows.
 * An anchor of more contexts than a buffer takes is split by the windows themselves:
   their 128-bit hashes are counted, which gives the same answer.
 
-Equal texts are known by 128-bit hashes, as are contexts of an anchor.
+A cover of every suffix of the corpus is not sorted as a whole: each of its places would
+move several times with its name, which is many times the text. Parts hold only
+what can repeat.
 
-Defined cases: a null text is empty; texts shorter than LENGTH keep all; a text that
-stands twice loses all if it has LENGTH bytes; rows of one id are separate texts;
-an empty table gives no rows; other columns take no part.
+Equal texts are known by 128-bit hashes, as are contexts of an anchor. No key is a
+task's burden: a text, anchor or context that holds more than one of :data:`SHARES`
+parts of its table is hot, so there are at most as many as that; hot texts enter once,
+with the weight of two, and hot anchors and contexts are joined under a salt.
+
+Defined cases: a null text is empty; texts shorter than ``length`` keep all; a text that
+stands twice loses all if it has ``length`` bytes; rows of one id are separate texts;
+very long texts are steps of their own; an empty table gives no rows; other columns
+take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +48,20 @@ from ._common import prepare, steps, stored, table, utf8
 from ._words import mix, prefix_sums, ranges, span_hash
 
 U = np.uint64
-LENGTH, GRAM = 400, 64
+
+
+@dataclass(frozen=True)
+class Grain:
+    """Bytes of a repeated string, and of the grams whose hashes choose its anchor."""
+
+    length: int
+    gram: int
+
+
+#: What the query's contract asks for.
+LONG = Grain(400, 64)
+#: What the pipeline's stage removes: a passage of fifty short words and their blanks is longer.
+PASSAGE = Grain(200, 48)
 #: Symbols of a buffer whose suffixes are sorted at once; three of its names fit into 63 bits.
 BUFFER = (1 << 21) - 8
 #: Contexts of an anchor beyond which its windows are counted instead.
@@ -47,6 +69,8 @@ MANY = 1500
 _BITS = 21
 #: Seed of the second hash of contexts and windows.
 OTHER = 0xC0FFEE
+#: A key with more than one of so many parts of its rows is hot; salts that a hot key is dealt over.
+SHARES, SALTS = 2048, 64
 
 
 # --- suffix arrays ------------------------------------------------------------------------------
@@ -94,7 +118,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return out[out < n]
 
 
-def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+def repeated_windows(texts: list[bytes], length: int = LONG.length) -> list[np.ndarray]:
     """For each text, which windows of ``length`` bytes start elsewhere in the texts as well."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
@@ -130,39 +154,52 @@ def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- anchors ------------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def _least(value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every ``width`` numbers in a row: least of those up to each place's block end, and of those from its block's start."""
+    padded = np.full(-(-len(value) // width) * width, ~U(0), U)
+    padded[: len(value)] = value
+    rows = padded.reshape(-1, width)
+    return np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel(), np.minimum.accumulate(rows, axis=1).ravel()
+
+
+def leftmost_least(value: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` numbers from ``start``: the place of its least, the leftmost of equals."""
+    low = U((1 << int(len(value)).bit_length()) - 1)
+    behind, ahead = _least((value & ~low) | np.arange(len(value)).astype(U), width)
+    place = (np.minimum(behind[start], ahead[start + width - 1]) & low).astype(np.int64)
+    # the place took the lowest bits' room: where these would have decided, the whole numbers do
+    behind, ahead = _least(value, width)
+    for w in np.flatnonzero(value[place] != np.minimum(behind[start], ahead[start + width - 1])).tolist():
+        place[w] = start[w] + int(np.argmin(value[start[w] : start[w] + width]))
+    return place
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, grain: Grain = LONG) -> tuple[np.ndarray, ...]:
     """Of texts on end: text number, anchor hash, context hashes (two), first window, windows, anchor's place from there."""
     sizes = np.diff(offsets)
-    windows = np.maximum(sizes - LENGTH + 1, 0)
+    windows = np.maximum(sizes - grain.length + 1, 0)
     if not windows.any():
         return tuple(np.zeros(0, np.int64) for _ in range(7))
-    n, grams = len(data), LENGTH - GRAM + 1
+    n = len(data)
     sums = prefix_sums(data)
-    at = np.arange(n - GRAM + 1)
-    value = span_hash(sums, at, at + GRAM)
-    low = U((1 << int(n).bit_length()) - 1)
-    key = (value & ~low) | at.astype(U)  # of equal hashes the leftmost
-    padded = np.full(-(-len(key) // grams) * grams, ~U(0), U)
-    padded[: len(key)] = key
-    rows = padded.reshape(-1, grams)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = np.arange(n - grain.gram + 1)
+    value = span_hash(sums, at, at + grain.gram)
     start = ranges(offsets[:-1], windows)
-    anchor = (np.minimum(behind[start], ahead[start + grams - 1]) & low).astype(np.int64)
+    anchor = leftmost_least(value, start, grain.length - grain.gram + 1)
     text = np.repeat(np.arange(len(sizes)), windows)
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     begin, anchor, text = start[first], anchor[first], text[first]
-    end = begin + count - 1 + LENGTH
+    end = begin + count - 1 + grain.length
     context = span_hash(sums, begin, end)
     other = span_hash(prefix_sums(data, OTHER), begin, end)
     shift = anchor - begin
     return text, value[anchor].view(np.int64), mix(context + shift.astype(U)).view(np.int64), other.view(np.int64), begin - offsets[text], count, shift
 
 
-ANCHORS = "h1 long, h2 long, anchor long, c1 long, c2 long, lo int, n int"
+ANCHORS = "h1 long, h2 long, weight int, anchor long, c1 long, c2 long, lo int, n int"
 
 
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -171,27 +208,27 @@ def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(text, F.lit(1))})
 
 
-def anchored(texts: DataFrame) -> DataFrame:
-    """The anchors of ``texts`` (h1, h2, text)."""
+def anchored(texts: DataFrame, grain: Grain) -> DataFrame:
+    """The anchors of ``texts`` (h1, h2, weight, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
+            data, offsets = utf8(batch.column(3))
             for lo, hi in steps(np.diff(offsets)):
                 a, b = offsets[lo], offsets[hi]
-                text, value, c1, c2, begin, count, _ = anchors(data[a:b], offsets[lo : hi + 1] - a)
+                text, value, c1, c2, begin, count, _ = anchors(data[a:b], offsets[lo : hi + 1] - a, grain)
                 if len(text):
                     who = pa.array(text + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(who), batch.column(1).take(who), pa.array(value), pa.array(c1), pa.array(c2),
+                        [*[batch.column(k).take(who) for k in range(3)], pa.array(value), pa.array(c1), pa.array(c2),
                          pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))],
-                        names=["h1", "h2", "anchor", "c1", "c2", "lo", "n"],
+                        names=["h1", "h2", "weight", "anchor", "c1", "c2", "lo", "n"],
                     )
 
-    return texts.select("h1", "h2", "text").filter(F.octet_length("text") >= LENGTH).mapInArrow(run, ANCHORS)
+    return texts.select("h1", "h2", "weight", "text").mapInArrow(run, ANCHORS)
 
 
-def _context_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _context_texts(texts: DataFrame, wanted: DataFrame, grain: Grain) -> DataFrame:
     """``wanted`` contexts (anchor, c1, c2, copies, h1, h2, lo, n) with their bytes; of equal texts one at least is cut."""
     per_text = wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "c1", "c2", "copies", "lo", "n", "many")).alias("found"))
 
@@ -209,7 +246,7 @@ def _context_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                         out[k].append(f[k])
                     out["h1"].append(h1)
                     out["h2"].append(h2)
-                    out["bytes"].append(raw[f["lo"] : f["lo"] + f["n"] - 1 + LENGTH])
+                    out["bytes"].append(raw[f["lo"] : f["lo"] + f["n"] - 1 + grain.length])
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -220,7 +257,7 @@ def _context_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _sorted_spans(contexts: DataFrame) -> DataFrame:
+def _sorted_spans(contexts: DataFrame, grain: Grain) -> DataFrame:
     """(h1, h2, start, windows): repeated windows of contexts that stand once, by suffix arrays of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +274,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
             if not done:
                 return None
             rows: list[list[np.ndarray]] = [[], [], [], []]
-            for (h1, h2, lo, copies, _), hit in zip(done, repeated_windows([d[-1] for d in done]), strict=True):
+            for (h1, h2, lo, copies, _), hit in zip(done, repeated_windows([d[-1] for d in done], grain.length), strict=True):
                 if copies == 1 and hit.any():
                     start, count = runs(hit)
                     for column, v in zip(rows, (np.full(len(start), h1), np.full(len(start), h2), start + lo, count), strict=True):
@@ -251,7 +288,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
         for batch in batches:
             for a, c1, c2, copies, lo, h1, h2, raw in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if a != anchor:
-                    if (filled := close()) >= BUFFER - MANY * (2 * LENGTH + 1):
+                    if (filled := close()) >= BUFFER - MANY * (2 * grain.length + 1):
                         if (out := flush()) is not None:
                             yield out
                     anchor = a
@@ -269,7 +306,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
     )
 
 
-def _counted_spans(contexts: DataFrame) -> DataFrame:
+def _counted_spans(contexts: DataFrame, grain: Grain) -> DataFrame:
     """The same for anchors of many contexts, by counting the hashes of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +318,11 @@ def _counted_spans(contexts: DataFrame) -> DataFrame:
             for lo, hi in steps(np.diff(offsets)):
                 a, b = offsets[lo], offsets[hi]
                 sums = prefix_sums(data[a:b])
-                count = np.diff(offsets[lo : hi + 1]) - LENGTH + 1
+                count = np.diff(offsets[lo : hi + 1]) - grain.length + 1
                 at = ranges(offsets[lo:hi] - a, count)
                 who = np.repeat(np.arange(lo, hi), count)
-                whole = span_hash(sums, at, at + LENGTH)
-                other = span_hash(prefix_sums(data[a:b], OTHER), at, at + LENGTH)
+                whole = span_hash(sums, at, at + grain.length)
+                other = span_hash(prefix_sums(data[a:b], OTHER), at, at + grain.length)
                 place = pa.array(who)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), *[batch.column(k).take(place) for k in range(5)],
@@ -297,46 +334,86 @@ def _counted_spans(contexts: DataFrame) -> DataFrame:
     windows = one.select("h1", "h2", "lo", "copies", "anchor", "n", "bytes").mapInArrow(
         run, "w1 long, w2 long, h1 long, h2 long, lo int, copies long, anchor long, at int"
     )
-    twice = windows.groupBy("w1", "w2", "anchor").agg(F.count("*").alias("times")).filter("times > 1")
-    return windows.filter("copies = 1").join(twice, ["w1", "w2", "anchor"], "left_semi").select(
+    # what stands once in the group of equal windows, and what it stands beside
+    group = windows.groupBy("w1", "w2", "anchor").agg(F.count("*").alias("times")).filter("times > 1")
+    return dealt(windows.filter("copies = 1"), group, ["w1", "w2", "anchor"], "times", "h1", "left_semi").select(
         "h1", "h2", (F.col("lo") + F.col("at")).cast("long").alias("start"), F.lit(1).cast("long").alias("windows")
     )
 
 
-def spans(texts: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups`` (one row a key, with its ``size``), the rows of hot keys dealt over salts by ``by``.
+
+    A key is hot if its size is more than one of :data:`SHARES` parts of all sizes, so
+    fewer than that are hot, whatever the table: these alone are broadcast.
+    """
+    groups = stored(groups, "groups")
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * SHARES > F.lit(total)
+    hot = groups.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    own = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return own.join(groups.withColumn("_salt", F.explode(every)).drop(size), [*keys, "_salt"], how).drop("_salt")
+
+
+def copies(texts: DataFrame, grain: Grain) -> tuple[DataFrame, DataFrame]:
+    """(h1, h2) of texts that stand more than once, and of those among them that are hot (fewer than :data:`SHARES`)."""
+    long = texts.filter(F.octet_length("text") >= grain.length)
+    found = stored(long.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "copied")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return found.select("h1", "h2"), found.filter(F.col("n") * SHARES > F.lit(total)).select("h1", "h2")
+
+
+def spans(texts: DataFrame, copied: DataFrame, hot: DataFrame, grain: Grain) -> DataFrame:
     """(h1, h2, whole, found): for each text that loses bytes, whether it loses all, or else its repeated windows.
 
-    ``texts``: (h1, h2, text) of every row.
+    ``texts``: (h1, h2, text) of every row; ``copied``, ``hot``: of :func:`copies`.
     """
     prepare(texts.sparkSession)
-    rows = stored(anchored(texts), "anchors")
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    near = stored(rows.join(twice, "anchor"), "repeated-anchors")
+    long = texts.select("h1", "h2", "text").filter(F.octet_length("text") >= grain.length)
+    few = F.broadcast(hot)
+    once = long.join(few, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    long = long.join(few, ["h1", "h2"], "left_anti").withColumn("weight", F.lit(1)).unionByName(once.withColumn("weight", F.lit(2)))
+    rows = stored(anchored(long, grain), "anchors")
+    twice = rows.groupBy("anchor").agg(F.sum("weight").alias("times"))
+    near = stored(dealt(rows, twice.filter("times > 1"), ["anchor"], "times", "c1"), "repeated-anchors")
     first = [F.first(c).alias(c) for c in ("h1", "h2", "lo", "n")]
-    contexts = stored(near.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), *first), "contexts")
+    contexts = stored(near.groupBy("anchor", "c1", "c2").agg(F.sum("weight").alias("copies"), *first), "contexts")
     groups = contexts.groupBy("anchor").agg(F.count("*").alias("members"), F.min("copies").alias("least"))
-    open_ = groups.filter("members > 1 AND least = 1").select("anchor", (F.col("members") > MANY).alias("many"))
-    wanted = contexts.join(open_, "anchor")
-    cut = stored(_context_texts(texts, wanted), "context-texts")
-    same = near.join(contexts.filter("copies > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi").select(
+    open_ = groups.filter("members > 1 AND least = 1").select("anchor", "members", (F.col("members") > MANY).alias("many"))
+    wanted = dealt(contexts, open_, ["anchor"], "members", "c1")
+    cut = stored(_context_texts(long, wanted, grain), "context-texts")
+    again = contexts.filter("copies > 1").select("anchor", "c1", "c2", "copies")
+    same = dealt(near, again, ["anchor", "c1", "c2"], "copies", "h1", "left_semi").select(
         "h1", "h2", F.col("lo").cast("long").alias("start"), F.col("n").cast("long").alias("windows")
     )
-    copied = texts.filter(F.octet_length("text") >= LENGTH).groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    copied = stored(copied, "copied")
-    parts = same.union(_sorted_spans(cut)).union(_counted_spans(cut)).join(copied, ["h1", "h2"], "left_anti")
+    parts = same.union(_sorted_spans(cut, grain)).union(_counted_spans(cut, grain)).join(copied, ["h1", "h2"], "left_anti")
     per_text = parts.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
-    none = F.array().cast("array<struct<start:bigint,windows:bigint>>")
+    none = F.array().cast(FOUND)
     return copied.select("h1", "h2", F.lit(True).alias("whole"), none.alias("found")).union(
         per_text.select("h1", "h2", F.lit(False).alias("whole"), "found")
     )
 
 
-def removed(size: int, found: list[dict] | None, whole: bool | None) -> list[tuple[int, int]]:
+FOUND = "array<struct<start:bigint,windows:bigint>>"
+
+
+def with_spans(rows: DataFrame, grain: Grain) -> DataFrame:
+    """``rows`` (with h1, h2, text) with ``whole`` and ``found``: what each row's text loses, null if nothing."""
+    copied, hot = copies(rows, grain)
+    lost = stored(spans(rows, copied, hot, grain), "spans")
+    all_ = rows.join(F.broadcast(hot), ["h1", "h2"], "left_semi")  # copied texts: no need to meet what they lose
+    rest = rows.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(lost, ["h1", "h2"], "left")
+    return rest.unionByName(all_.withColumns({"whole": F.lit(True), "found": F.array().cast(FOUND)}))
+
+
+def removed(size: int, found: list[dict] | None, whole: bool | None, grain: Grain) -> list[tuple[int, int]]:
     """The maximal runs of bytes to remove, as starts and ends."""
     if whole:
         return [(0, size)]
     out: list[tuple[int, int]] = []
-    for begin, end in sorted((f["start"], f["start"] + f["windows"] - 1 + LENGTH) for f in found or ()):
+    for begin, end in sorted((f["start"], f["start"] + f["windows"] - 1 + grain.length) for f in found or ()):
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
@@ -362,22 +439,21 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = []
             for doc, text, whole, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = text.encode("utf-8")
-                gone = removed(len(raw), found, whole)
+                gone = removed(len(raw), found, whole, LONG)
                 rows.append((doc, len(raw), sum(e - b for b, e in gone), len(gone), hashlib.sha256(kept(raw, gone)).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    lost = stored(spans(docs.select("h1", "h2", "text")), "spans")
     return (
-        docs.join(lost, ["h1", "h2"], "left")
+        with_spans(docs, LONG)
         .select("doc_id", "text", "whole", "found")
         .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeated strings cover; one of which nothing is left goes.
+    """Documents without the bytes that repeated strings of 200 bytes cover; one of which nothing is left goes.
 
     A character that loses a part of its bytes is lost; ``n_chars``, if there, follows the text.
     """
@@ -390,7 +466,7 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
             row, keep, texts = batch.column(0), [], []
             for k, (text, whole, found) in enumerate(zip(*(batch.column(q).to_pylist() for q in (1, 2, 3)), strict=True)):
                 raw = text.encode("utf-8")
-                gone = removed(len(raw), found, whole)
+                gone = removed(len(raw), found, whole, PASSAGE)
                 left = kept(raw, gone).decode("utf-8", "ignore")
                 if left or not gone:
                     keep.append(k)
@@ -401,5 +477,4 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
                 out[count] = pa.array([len(t) for t in texts], pa.int64()).cast(out[count].type)
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    lost = stored(spans(own.select("h1", "h2", "text")), "spans")
-    return own.join(lost, ["h1", "h2"], "left").select("row", "text", "whole", "found").mapInArrow(run, schema)
+    return with_spans(own, PASSAGE).select("row", "text", "whole", "found").mapInArrow(run, schema)

@@ -129,11 +129,20 @@ def removed_by_hand(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("many", [1500, 1])
-def test_suffix_dedup(spark, table, corpus, monkeypatch, many):
+@pytest.mark.parametrize("many,shares", [(1500, 2048), (1, 2048), (1500, 1), (1, 5)])
+def test_suffix_dedup(spark, table, corpus, monkeypatch, many, shares):
     monkeypatch.setattr(dedup, "MANY", many)  # one: all go by window hashes
+    monkeypatch.setattr(dedup, "SHARES", shares)  # how much of a table makes a key hot
     found = dedup.op5_suffix_dedup(spark, table).collect()
-    assert sorted(tuple(r) for r in found) == removed_by_hand(corpus, dedup.LENGTH)
+    assert sorted(tuple(r) for r in found) == removed_by_hand(corpus, dedup.LONG.length)
+
+
+def test_anchors_of_equal_low_bits():
+    """Hashes that differ only where a place would be kept are told apart all the same."""
+    rng = np.random.default_rng(1)
+    value = (np.uint64(5) << np.uint64(40)) + rng.integers(0, 4, 300).astype(np.uint64)
+    start = np.arange(280)
+    assert dedup.leftmost_least(value, start, 20).tolist() == [s + int(np.argmin(value[s : s + 20])) for s in start]
 
 
 def test_packing_round_trip(spark, table, corpus):

@@ -73,6 +73,21 @@ def test_repeated_rows_and_null_ids_leave_one(spark, folder, tmp_path):
     assert {None, 1000, 1001, 1002, 1005} <= packed and 1006 not in packed
 
 
+def test_passages_of_fifty_words_go(spark):
+    """Passages of 51 to 60 words in texts that differ otherwise are cut out; texts that share a line of 30 words stay."""
+    rnd = random.Random(13)
+    line = prose(rnd, 25)[:150]
+    rows = []
+    for k in range(6):
+        passage = " ".join(rnd.choice(("a", "of", "the", "town", "river", "went", "old", "house")) + rnd.choice("aeiou") for _ in range(51 + k))
+        rows += [(10 * k + j, prose(rnd, 40 + j) + " " + passage + " " + prose(rnd, 30), passage) for j in range(3)]
+    clean = [(900 + k, prose(rnd, 50) + " " + line + " " + prose(rnd, 50), None) for k in range(4)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows + clean], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.stage_suffix_dedup(spark, docs, "").collect()}
+    assert all(p not in left[d] and 60 < len(left[d]) < len(t) - len(p) + 2 for d, t, p in rows)
+    assert all(left[d] == t for d, t, _ in clean)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
