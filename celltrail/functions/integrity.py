@@ -9,9 +9,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEPARATOR, ABSENT = "\u001f", "\u0000"
 GENESIS = "0" * 64
@@ -36,9 +39,19 @@ def file_hashes(df: DataFrame) -> DataFrame:
     return df.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("bytes"))
 
 
-def manifest_hash(file: Column, sha256: Column) -> Column:
-    """Aggregate: one hash of a package's files in whatever order."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(joined(file, sha256))), "\n"), 256)
+def manifests(df: DataFrame, package: str, file: Column, sha256: Column) -> DataFrame:
+    """(package, manifest): one hash of a package's files in whatever order.
+
+    Files are dealt by the first four digits of their line's hash; each such part is hashed over
+    its sorted lines, and the manifest over the parts' hashes in order. So no task holds
+    a package: a part has one of 65,536 parts of the files, and a package that many hashes.
+    """
+    line = joined(file, sha256)
+    lines = df.select(package, line.alias("_line"), F.left(F.sha2(line, 256), F.lit(4)).alias("_part"))
+    parts = lines.groupBy(package, "_part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256).alias("_hash"))
+    each = F.struct("_part", "_hash")
+    held = parts.groupBy(package).agg(F.array_sort(F.collect_list(each)).alias("_parts"))
+    return held.select(package, F.sha2(F.array_join(F.transform("_parts", lambda p: F.concat(p["_part"], F.lit("="), p["_hash"])), "\n"), 256).alias("manifest"))
 
 
 def output_digest(order: Column, value: Column) -> Column:
@@ -93,27 +106,35 @@ def append_entry(previous: dict | None, at: str, actor: str, action: str, payloa
 
 
 def chained(df: DataFrame, chain: str, key: str | None = None) -> DataFrame:
-    """Rows (chain, seq, at, actor_id, action, payload_hash) with the hashes of their chain; a chain is folded as a whole."""
+    """Rows (chain, seq, at, actor_id, action, payload_hash) with the hashes of their chain.
+
+    An entry needs the one before, so a chain is one task's work; entries stream
+    through it in order, and one hash is all that is held.
+    """
     fields = ("seq", "at", "actor_id", "action", "payload_hash")
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<string>").alias("all"))
-
-    def step(s: Column, e: Column) -> Column:
-        h = keyed_hash(joined(*[e[f] for f in fields], s["last"]), key)
-        return F.struct(h.alias("last"), F.concat(s["all"], F.array(h)).alias("all"))
-
-    held = df.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
-    hashed = held.withColumn("h", F.aggregate("e", start, step)["all"])
-    each = hashed.select(chain, "h", F.posexplode("e").alias("k", "e"))
-    return each.select(
-        chain,
-        *[F.col(f"e.{f}").alias(f) for f in fields],
-        F.when(F.col("k") == 0, F.lit(GENESIS)).otherwise(F.get("h", F.col("k") - 1)).alias("previous_hash"),
-        F.get("h", F.col("k")).alias("entry_hash"),
-    )
+    rows = df.select(chain, *fields)
+    more = T.StructType([*rows.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    secret = key.encode() if key is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            whose = batch.column(0).to_pylist()
+            for own, *entry in zip(whose, *(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                if own != now or now is None:
+                    now, last = own, GENESIS
+                before.append(last)
+                message = _message(*entry, last).encode()
+                last = hmac.new(secret, message, "sha256").hexdigest() if secret is not None else hashlib.sha256(message).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "previous_hash", "entry_hash"])
+
+    return rows.repartition(chain).sortWithinPartitions(chain, *fields).mapInArrow(run, more)
 
 
 def verified_chain(df: DataFrame, chain: str, key: str | None = None) -> DataFrame:
-    """(chain, valid, checked, broken_at_seq) of each chain; all entries are tested at once, each against the one before."""
+    """(chain, valid, checked, broken_at_seq, message) of each chain; all entries are tested at once, each against the one before."""
     w = Window.partitionBy(chain).orderBy("seq")
     due = keyed_hash(joined(*[F.col(f) for f in ("seq", "at", "actor_id", "action", "payload_hash", "previous_hash")]), key)
     before = F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS))
@@ -121,4 +142,11 @@ def verified_chain(df: DataFrame, chain: str, key: str | None = None) -> DataFra
     tested = df.withColumn("_bad", F.when(~F.coalesce(ok, F.lit(False)), F.col("seq")))
     return tested.groupBy(chain).agg(
         F.count("_bad").alias("n"), F.count("*").alias("checked"), F.min("_bad").alias("broken_at_seq")
-    ).select(chain, (F.col("n") == 0).alias("valid"), "checked", "broken_at_seq")
+    ).select(chain, (F.col("n") == 0).alias("valid"), "checked", "broken_at_seq", _verdict().alias("message"))
+
+
+def _verdict() -> Column:
+    count, at = F.col("checked").cast("string"), F.col("broken_at_seq").cast("string")
+    return F.when(F.col("n") == 0, F.concat(F.lit("all "), count, F.lit(" entries hold"))).otherwise(
+        F.concat(F.lit("entry "), at, F.lit(" does not follow from the one before: it or its place was changed"))
+    )

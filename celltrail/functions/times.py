@@ -11,7 +11,7 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .identifiers import lookup, trimmed
+from .identifiers import lookup, once, one_of, trimmed
 
 # Zone abbreviations of source files and the regions whose rules they follow.
 ZONES = {
@@ -34,28 +34,37 @@ FORMATS = (
 DAY_FIRST = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy hh:mm:ss a", "dd/MM/yyyy HH:mm")
 # Two-digit years over this one are of the last century.
 PIVOT = 60
+#: Shapes of the ladder that one step of the plan tries.
+RUNGS = 8
 OLDEST = "1990-01-01 00:00:00"
 
 METHODS = ("SOURCE_EXPLICIT_OFFSET", "SOURCE_DECLARED_ZONE", "PACKAGE_DECLARED_ZONE", "CARRIER_DOCUMENTED_DEFAULT", "NATIVE_UTC", "ASSUMED_UTC", "UNRESOLVED")
 CONFIDENCES = ("EXACT", "ZONE_DECLARED", "ZONE_ASSUMED", "DST_AMBIGUOUS", "DST_NONEXISTENT", "UNRESOLVED")
 
+# How a part of a format looks once digits are 9 and letters are A.
 _SHAPES = (
-    ("yyyy", "[0-9]{4}"), ("yy", "[0-9]{2}"), ("MMM", "[A-Za-z]{3}"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("HH", "[0-9]{2}"),
-    ("hh", "[0-9]{2}"), ("mm", "[0-9]{2}"), ("SSS", "[0-9]{3}"), ("ss", "[0-9]{2}"), ("XXX", "[+-][0-9]{2}:[0-9]{2}"), (" a", " [AaPp][Mm]"), ("'T'", "T"), (".", r"\."),
-)
+    ("yyyy", "9999"), ("yy", "99"), ("MMM", "AAA"), ("MM", "99"), ("dd", "99"), ("HH", "99"), ("hh", "99"), ("mm", "99"), ("SSS", "999"), ("ss", "99"), ("XXX", "-99:99"), (" a", " AA"), ("'T'", "A"),
+)
+_DIGITS, _LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def shape(pattern: str) -> str:
-    """What a text of a format must look like to the letter; Spark's own parser is laxer."""
+    """What a text of a format looks like; Spark's own parser is laxer."""
     out, at = "", 0
     while at < len(pattern):
-        for token, expression in _SHAPES:
+        for token, looks in _SHAPES:
             if pattern.startswith(token, at):
-                out, at = out + expression, at + len(token)
+                out, at = out + looks, at + len(token)
                 break
         else:
             out, at = out + pattern[at], at + 1
-    return f"^{out}$"
+    return out
+
+
+def shape_of(text: Column) -> Column:
+    """The shape of a text; the sign of an offset at its end is always a minus."""
+    plain = F.translate(text, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "A" * len(_LETTERS))
+    return F.when(F.left(F.right(plain, F.lit(6)), F.lit(1)) == "+", F.concat(F.left(plain, F.length(plain) - 6), F.lit("-"), F.right(plain, F.lit(5)))).otherwise(plain)
 
 
 def canonical_zone(text: str | None) -> str | None:
@@ -85,13 +94,12 @@ def zone_column(raw: Column) -> Column:
     offset = F.when((hours == 0) & (minutes == 0), F.lit("UTC")).otherwise(
         F.concat(F.lit("UTC"), sign, hours.cast("string"), F.when(minutes > 0, F.concat(F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"))).otherwise(F.lit("")))
     )
-    known = F.array_contains(F.split(F.lit(",".join(sorted(available_timezones()))), ","), text)
+    known = one_of(text, tuple(sorted(available_timezones())))
     return F.coalesce(lookup(upper, ZONES), F.when((sign != "") & (hours <= 18), offset), F.when(known, text))
 
 
 def _local(text: Column, pattern: str) -> Column:
-    """The wall clock that a text of a format shows, null if it is not one."""
-    fits = text.rlike(shape(pattern))
+    """The wall clock that a text of a format's shape shows, null if it is none."""
     if "MMM" in pattern:  # months in any case, halves of the day in capitals
         text = F.initcap(F.lower(text))
     if pattern.endswith(" a"):
@@ -102,7 +110,57 @@ def _local(text: Column, pattern: str) -> Column:
         century = F.when(two.try_cast("int") > PIVOT, F.lit("19")).otherwise(F.lit("20"))
         text = F.concat(F.left(text, F.lit(place)), century, F.substring(text, place + 1, 64))
         pattern = pattern.replace("yy", "yyyy")
-    return F.when(fits, F.try_to_timestamp(text, F.lit(pattern)))
+    return F.try_to_timestamp(text, F.lit(pattern))
+
+
+def _tried(text: Column, looks: Column, ladder: tuple[str, ...]) -> list[Column]:
+    """struct(local, format) of the first format that a text fits, in a few columns of which one at most is not null.
+
+    A text's shape leaves one or two formats to try. Each column is code of its own: the
+    whole ladder at once is more than a method of generated code may hold.
+    """
+    by: dict[str, list[str]] = {}
+    for pattern in ladder:
+        by.setdefault(shape(pattern), []).append(pattern)
+    out, keys = [], list(by)
+    for at in range(0, len(keys), RUNGS):
+        found = None
+        for key in keys[at : at + RUNGS]:
+            each = [F.struct(_local(text, p).alias("local"), F.lit(p).alias("format")) for p in by[key]]
+            first = F.coalesce(*[F.when(e["local"].isNotNull(), e) for e in each])
+            found = F.when(looks == key, first) if found is None else found.when(looks == key, first)
+        out.append(found)
+    return out
+
+
+#: Texts of the last resort: ISO, a mail's date, and a web server's dates of now and of old, with what parses them.
+_ISO = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?))?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+_MAIL = r"^(?:[A-Za-z]{3}, *)?([0-9]{1,2} +[A-Za-z]{3} +[0-9]{2,4} +[0-9]{2}:[0-9]{2}(?::[0-9]{2})?) +(UT|GMT|UTC|Z|[ECMP][SD]T|[+-][0-9]{4})$"
+_WEB = r"^(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, ([0-9]{2}-[A-Za-z]{3}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}) GMT$"
+_C = r"^[A-Za-z]{3} ([A-Za-z]{3} [ 0-9][0-9] [0-9]{2}:[0-9]{2}:[0-9]{2} [0-9]{4})$"
+# Hours that a mail's zone names stand for.
+_MAIL_ZONES = {"UT": "+00:00", "GMT": "+00:00", "UTC": "+00:00", "Z": "+00:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00"}
+
+
+def _last_resort(text: Column) -> Column:
+    """struct(local, format, offset) of an ISO, mail or web date; ``local`` is already UTC if there is an offset."""
+    mail = F.regexp_replace(F.regexp_extract(text, _MAIL, 1), " +", " ")
+    zone = F.regexp_extract(text, _MAIL, 2)
+    offset = F.coalesce(lookup(zone, _MAIL_ZONES), F.concat(F.left(zone, F.lit(3)), F.lit(":"), F.right(zone, F.lit(2))))
+    years = F.regexp_extract(mail, "^[0-9]+ [A-Za-z]+ ([0-9]{2}) ", 1).try_cast("int")
+    two = F.regexp_replace(mail, F.lit("^([0-9]+ [A-Za-z]+) ([0-9]{2}) "), F.when(years > PIVOT, "$1 19$2 ").otherwise("$1 20$2 "))
+    full = F.when(two.rlike(":[0-9]{2}:"), two).otherwise(F.concat(two, F.lit(":00")))
+    web, c = F.regexp_extract(text, _WEB, 1), F.regexp_extract(text, _C, 1)
+
+    def is_(local: Column, name: str, at: Column) -> Column:
+        return F.struct(local.alias("local"), F.lit(name).alias("format"), at.alias("offset"))
+
+    return (
+        F.when(text.rlike(_ISO), is_(text.try_cast("timestamp"), "ISO-8601 (permissive)", F.lit(None).cast("string")))
+        .when(text.rlike(_MAIL), is_(F.try_to_timestamp(F.concat(full, F.lit(" "), offset), F.lit("d MMM yyyy HH:mm:ss xxx")), "RFC 2822", offset))
+        .when(text.rlike(_WEB), is_(_local(web, "dd-MMM-yy HH:mm:ss"), "HTTP date", F.lit("+00:00")))
+        .when(text.rlike(_C), is_(F.try_to_timestamp(F.regexp_replace(c, " +", " "), F.lit("MMM d HH:mm:ss yyyy")), "HTTP date", F.lit("+00:00")))
+    )
 
 
 def with_time(
@@ -126,18 +184,18 @@ def with_time(
     zulu = bare.rlike("[0-9][Zz]$")
     body = F.when(zulu, F.regexp_replace(bare, "[Zz]$", "")).otherwise(bare)
     body = F.when(body.rlike("^[0-9]{17}$"), F.concat(F.left(body, F.lit(14)), F.lit("."), F.right(body, F.lit(3)))).otherwise(body)
-    df = df.select("*", text.alias("_text"), epoch.alias("_epoch"), named.alias("_named"), F.coalesce(zulu, F.lit(False)).alias("_zulu"), body.alias("_body"))
+    df = df.select("*", text.alias("_text"), epoch.alias("_epoch"), once(named).alias("_named"), F.coalesce(zulu, F.lit(False)).alias("_zulu"), once(body).alias("_body"))
 
     ladder = (*DAY_FIRST, *FORMATS) if day_first else (*FORMATS, *DAY_FIRST)
-    tries = [F.struct(_local(F.col("_body"), p).alias("local"), F.lit(p).alias("format")) for p in ladder]
-    first = F.get(F.filter(F.array(*tries), lambda t: t["local"].isNotNull()), 0)
-    iso = F.regexp_extract(F.col("_text"), r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?))?(Z|[+-][0-9]{2}:?[0-9]{2})?$", 0)
-    mail = F.regexp_extract(F.col("_text"), r"^(?:[A-Za-z]{3}, )?([0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}) (?:GMT|UTC|\+0000|Z)$", 1)
-    last = F.coalesce(
-        F.when(iso != "", F.struct(F.col("_text").try_cast("timestamp").alias("local"), F.lit("ISO-8601 (permissive)").alias("format"))),
-        F.when(mail != "", F.struct(F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss")).alias("local"), F.lit("RFC 2822").alias("format"))),
-    )
-    df = df.withColumn("_hit", F.coalesce(first, F.when(last["local"].isNotNull(), last)))
+    df = df.withColumn("_looks", once(shape_of(F.col("_body"))))
+    steps = _tried(F.col("_body"), F.col("_looks"), ladder)
+    for k, step in enumerate(steps):
+        df = df.withColumn(f"_tried_{k}", once(step))
+    first = F.coalesce(*[F.col(f"_tried_{k}") for k in range(len(steps))])
+    df = df.withColumn("_first", once(first))
+    known = F.struct(F.col("_first.local").alias("local"), F.col("_first.format").alias("format"), F.lit(None).cast("string").alias("offset"))
+    df = df.withColumn("_last", once(F.when(F.col("_first").isNull(), _last_resort(F.col("_text")))))
+    df = df.withColumn("_hit", once(F.coalesce(F.when(F.col("_first").isNotNull(), known), F.when(F.col("_last.local").isNotNull(), F.col("_last")))))
 
     row = zone_column(F.col(row_zone)) if row_zone else F.lit(None).cast("string")
     package, carrier = canonical_zone(package_zone), canonical_zone(carrier_zone)
@@ -152,14 +210,15 @@ def with_time(
     for condition, z, m, c in reversed(choice):
         zone, method, sure = F.when(condition, z).otherwise(zone), F.when(condition, F.lit(m)).otherwise(method), F.when(condition, F.lit(c)).otherwise(sure)
     offset = F.regexp_extract(F.col("_text"), r"([+-][0-9]{2}:?[0-9]{2})$", 1)
-    carried = (F.col("_hit.format").endswith("XXX")) | (F.col("_hit.format").isin("ISO-8601 (permissive)", "RFC 2822") & F.col("_text").rlike(r"[+-][0-9]{2}:?[0-9]{2}$|[Zz]$|GMT|UTC"))
+    iso = (F.col("_hit.format") == "ISO-8601 (permissive)") & F.col("_text").rlike(r"[+-][0-9]{2}:?[0-9]{2}$|[Zz]$")
+    carried = F.col("_hit.format").endswith("XXX") | F.col("_hit.offset").isNotNull() | iso
     df = df.select(
         "*",
         F.coalesce(carried, F.lit(False)).alias("_carried"),
         F.coalesce(zone, F.lit("UTC")).alias("_zone"), method.alias("_method"), sure.alias("_sure"),
-        F.when(offset != "", F.concat(F.lit("UTC"), offset)).otherwise(F.lit("UTC")).alias("_offset"),
+        F.concat(F.lit("UTC"), F.coalesce(F.nullif("_hit.offset", F.lit("+00:00")), offset)).alias("_offset"),
     )
-    df = df.withColumn("_utc", F.when(F.col("_carried"), F.col("_hit.local")).otherwise(F.to_utc_timestamp(F.col("_hit.local"), F.col("_zone"))))
+    df = df.withColumn("_utc", once(F.when(F.col("_carried"), F.col("_hit.local")).otherwise(F.to_utc_timestamp(F.col("_hit.local"), F.col("_zone")))))
     hour = F.expr("INTERVAL 1 HOUR")
     local, utc = F.col("_hit.local"), F.col("_utc")
     gap = ~F.col("_carried") & (F.from_utc_timestamp(utc, F.col("_zone")) != local)

@@ -18,7 +18,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 _ROWS = "c AS (" + CARRIER_ROWS.replace("{events}", "events") + ")"
-_TOKENS = "(" + ", ".join("'" + t + "'" for t in ids.NULL_TOKENS) + ")"
+# Fixed values, as the survey lists them: texts that mean "no value", operators by network code.
+_TOKENS = "('', '0', 'N/A', 'NA', 'NULL', 'NONE', 'UNKNOWN', 'UNAVAILABLE', 'NOT AVAILABLE', 'NOT PROVIDED', '-', '--', 'RESTRICTED', 'PRIVATE', 'WITHHELD', 'ANONYMOUS', 'BLOCKED')"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -72,7 +73,10 @@ def msisdn_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("src_row", "m.normalized", "m.valid", F.try_element_at("m.derived", F.lit("kind")).alias("kind"), assumed.alias("assumed"))
 
 
-_OPERATOR = "CASE left(d, 6) " + " ".join(f"WHEN '{c}' THEN '{n}'" for n, cs in ids.OPERATORS.items() for c in cs) + " END"
+_OPERATOR = """CASE WHEN left(d, 6) IN ('310030', '310070', '310150', '310170', '310280', '310380', '310410', '310560', '311180') THEN 'AT&T'
+ WHEN left(d, 6) IN ('310004', '310005', '310012', '310590', '310890', '311480') THEN 'Verizon'
+ WHEN left(d, 6) IN ('310160', '310200', '310210', '310220', '310230', '310240', '310250', '310260', '310270', '310310', '310490', '310660', '310800', '311882') THEN 'T-Mobile'
+ WHEN left(d, 6) IN ('310120', '312530') THEN 'Sprint (T-Mobile)' WHEN left(d, 6) = '311870' THEN 'Boost' WHEN left(d, 6) IN ('310320', '310730', '311220') THEN 'UScellular' END"""
 _IMSI = f"""i AS (SELECT src_row, upper(trim(imsi_raw)) IN {_TOKENS} AS none, regexp_replace(imsi_raw, '[^0-9]', '', 'g') AS d, regexp_replace(imsi_raw, '[^0-9]', '', 'g')[1:3] BETWEEN '310' AND '316' AS american FROM c),
 s AS (SELECT src_row, CASE WHEN NOT none AND length(d) >= 6 THEN d END AS normalized,
  NOT none AND length(d) = 15 AND NOT (american AND {_OPERATOR} IS NULL) AS valid,
@@ -144,12 +148,18 @@ x AS (SELECT *, length(d) AS n, {_OPERATOR} IS NOT NULL AS known, {_LUHN15} AS l
 SELECT src_row, col, {_TYPE} AS type,
  CASE WHEN upper(trim(r)) IN {_TOKENS} THEN NULL WHEN n = 15 AND known AND NOT luhn THEN 0.9e0 WHEN n = 15 AND known THEN 0.6e0 WHEN n = 15 AND luhn THEN 0.85e0
  WHEN n = 15 AND left(d, 3) BETWEEN '200' AND '750' THEN 0.5e0 WHEN n = 16 THEN 0.5e0 WHEN n BETWEEN 18 AND 22 AND d LIKE '89%' THEN 0.8e0
- WHEN r LIKE '+%' OR n = 10 OR (n = 11 AND d LIKE '1%') THEN 0.75e0 WHEN regexp_matches(r, '^[0-9a-fA-F:]{{6,39}}$') THEN 0.6e0 END AS confidence FROM x""")
+ WHEN r LIKE '+%' OR n = 10 OR (n = 11 AND d LIKE '1%') THEN 0.75e0 WHEN regexp_matches(r, '^[0-9a-fA-F:]{{6,39}}$') THEN 0.6e0 END AS confidence,
+ CASE WHEN upper(trim(r)) IN {_TOKENS} THEN NULL WHEN n = 15 AND known AND NOT luhn THEN '15 digits that begin with a network of ' || {_OPERATOR} || ' (' || left(d, 6) || ')'
+ WHEN n = 15 AND known THEN '15 digits that begin with a network of ' || {_OPERATOR} || ' (' || left(d, 6) || '), but they pass a handset''s check as well; see the column''s header'
+ WHEN n = 15 AND luhn THEN '15 digits that pass a handset''s check (type ' || left(d, 8) || ') and begin with no known network'
+ WHEN n = 15 AND left(d, 3) BETWEEN '200' AND '750' THEN '15 digits that begin like a country (' || left(d, 3) || ') with no known network, and fail a handset''s check'
+ WHEN n = 16 THEN '16 digits, as a handset number with its software version has' WHEN n BETWEEN 18 AND 22 AND d LIKE '89%' THEN '18 to 22 digits that begin with 89'
+ WHEN r LIKE '+%' OR n = 10 OR (n = 11 AND d LIKE '1%') THEN 'written like a telephone number' WHEN regexp_matches(r, '^[0-9a-fA-F:]{{6,39}}$') THEN 'written like a network address' END AS rationale FROM x""")
 def identifier_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {"msisdn": "msisdn_raw", "imsi": "imsi_raw", "imei": "imei_raw", "site": "site", "ts": "ts_raw"}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("col"), F.col(c).alias("r")) for k, c in cols.items()])).alias("v")
     rows = carrier_rows(spark, sf_dir).select("src_row", each)
-    return rows.select("src_row", "v.col", ids.inferred(F.col("v.r")).alias("i")).select("src_row", "col", "i.type", "i.confidence")
+    return rows.select("src_row", "v.col", ids.inferred(F.col("v.r")).alias("i")).select("src_row", "col", "i.type", "i.confidence", "i.rationale")
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +234,7 @@ def dst_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return times.with_time(rows, "t", package_zone="America/New_York").select("o_orderkey", "time.utc", "time.confidence")
 
 
-_INCIDENTS = "i AS (SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((o_orderkey * 37) % 44640 AS BIGINT)) AS at FROM orders WHERE o_orderkey % 50 = 0)"
+_INCIDENTS = "i AS (SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((o_orderkey * 37) % 44640 AS BIGINT)) AS at FROM orders)"
 
 
 @query(f"WITH {_INCIDENTS} SELECT i.o_orderkey, count(*) AS n, min(event_id) AS first_event FROM i JOIN events e ON e.ts BETWEEN i.at - INTERVAL 15 MINUTE AND i.at + INTERVAL 5 MINUTE GROUP BY 1")
@@ -313,14 +323,34 @@ _WARNED = " UNION ALL ".join(
 )
 
 
-@query(f"""WITH {_JOINED}, w AS ({_WARNED}) SELECT code, {_case('code', normalize.SEVERITY)} AS severity, count(*) AS count, array_to_string(list_sort(list(src_row))[1:10], ',') AS rows FROM w GROUP BY code""")
+# What each warning says, by hand.
+_SAID = """CASE code WHEN 'DUPLICATE_ROW' THEN 'rows repeat an earlier row of the file; they are kept and marked'
+ WHEN 'UNPARSEABLE_TIMESTAMP' THEN 'times of no known format are kept as they stand and take no part in anything that needs one, for example '
+ WHEN 'TIMESTAMP_IN_FUTURE' THEN 'times are later than the import' WHEN 'MALFORMED_IMSI' THEN 'subscriber identities are not valid, for example '
+ WHEN 'IMEI_CHECKSUM_FAILED' THEN 'handset identities are not valid, for example ' WHEN 'MALFORMED_IMEI' THEN 'handset identities are not valid, for example '
+ WHEN 'MISSING_IDENTIFIERS' THEN 'rows that name no device were not made events' WHEN 'MISSING_CELL_REFERENCE' THEN 'rows without a cell or site have no place on a map'
+ WHEN 'NEGATIVE_DURATION' THEN 'durations are negative'
+ WHEN 'TIMING_ADVANCE_OUT_OF_RANGE' THEN 'timing advances are impossible for their technology; they are kept and not used for distances, for example ' END"""
+_DUE_RAW = _DUE.replace("substr(d,", "substr(rpad(imei_raw, 15, '0'),")
+_EXAMPLE = f"""CASE code WHEN 'UNPARSEABLE_TIMESTAMP' THEN ts_raw WHEN 'MALFORMED_IMSI' THEN CASE WHEN imsi_raw = 'N/A' THEN 'placeholder, no value' ELSE 'unknown North American network ' || left(imsi_raw, 6) END
+ WHEN 'MALFORMED_IMEI' THEN 'placeholder, no value' WHEN 'IMEI_CHECKSUM_FAILED' THEN 'check digit ' || substr(imei_raw, 15, 1) || ' where ' || CASE WHEN imei_raw <> 'UNKNOWN' THEN {_DUE_RAW.replace("CAST(substr", "TRY_CAST(substr")} END || ' is due'
+ WHEN 'TIMING_ADVANCE_OUT_OF_RANGE' THEN technology ELSE '' END"""
+# Fixed values, as the survey lists them: severities.
+_SEVERE = """CASE WHEN code IN ('UNPARSEABLE_TIMESTAMP', 'MISSING_IDENTIFIERS', 'MISSING_CELL_REFERENCE') THEN 'ERROR' WHEN code = 'DUPLICATE_ROW' THEN 'INFO' ELSE 'WARNING' END"""
+
+
+@query(f"""WITH {_JOINED}, w AS ({_WARNED}), x AS (SELECT code, src_row, {_EXAMPLE} AS example FROM w JOIN j USING (src_row))
+SELECT code, {_SEVERE} AS severity, {_SAID} || arg_min(example, src_row) AS message, count(*) AS count, array_to_string(list_sort(list(src_row))[1:10], ',') AS rows FROM x GROUP BY code
+UNION ALL SELECT 'UNMAPPED_COLUMNS', 'INFO', 'columns that the format does not know are kept with their rows: remark', 1, '1'""")
 def warnings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.warnings(_found(spark, sf_dir)).withColumn("rows", F.array_join(F.transform("rows", lambda r: r.cast("string")), ","))
+    found = normalize.warnings(_found(spark, sf_dir), normalize.unmapped_columns(FORMAT, COLUMNS))
+    return found.withColumn("rows", F.array_join(F.transform("rows", lambda r: r.cast("string")), ","))
 
 
-@query(f"WITH {_JOINED} SELECT count(*) AS rows_read, count(*) FILTER (rejected) AS rows_rejected, count(*) FILTER (NOT rejected) AS events, count(*) FILTER (NOT rejected AND length({_QUALITY}) > 0) AS flagged FROM j")
+@query(f"WITH {_JOINED} SELECT count(*) AS rows_read, count(*) FILTER (rejected) AS rows_rejected, count(*) FILTER (NOT rejected) AS events, count(*) FILTER (NOT rejected AND length({_QUALITY}) > 0) AS flagged, 'remark' AS unmapped_columns FROM j")
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.summary(_found(spark, sf_dir))
+    found = normalize.summary(_found(spark, sf_dir), normalize.unmapped_columns(FORMAT, COLUMNS))
+    return found.withColumn("unmapped_columns", F.array_join("unmapped_columns", ","))
 
 
 @query(f"WITH {_JOINED} SELECT src_row AS row, 'remark=' || remark AS extra FROM j WHERE NOT rejected AND remark <> ''")
@@ -404,10 +434,10 @@ def row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", integrity.row_hash(F.col("text")).alias("row_hash"))
 
 
-@query(f"SELECT source, sha256(string_agg(doc_id || {_SEP} || sha256(text), chr(10) ORDER BY doc_id || {_SEP} || sha256(text))) AS manifest FROM documents GROUP BY source")
+@query(f"""WITH l AS (SELECT source, doc_id || {_SEP} || sha256(text) AS line FROM documents), p AS (SELECT source, left(sha256(line), 4) AS part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY 1, 2)
+SELECT source, sha256(string_agg(part || '=' || h, chr(10) ORDER BY part)) AS manifest FROM p GROUP BY source""")
 def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(integrity.manifest_hash(F.col("doc_id"), F.sha2("text", 256)).alias("manifest"))
+    return integrity.manifests(table(spark, sf_dir, "documents"), "source", F.col("doc_id"), F.sha2("text", 256))
 
 
 @query("SELECT l_orderkey, sha256(string_agg(CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR))) AS digest FROM lineitem GROUP BY l_orderkey")
@@ -428,9 +458,9 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_custkey AS chain, NOT (o_custkey % 70 = 0 AND count(*) >= 2) AS valid, count(*) AS checked, CASE WHEN o_custkey % 70 = 0 AND count(*) >= 2 THEN 2 END AS broken_at_seq
-FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey""")
+FROM orders GROUP BY o_custkey""")
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.verified_chain(_chains(spark, sf_dir), "chain", key="secret")
+    return integrity.verified_chain(_chains(spark, sf_dir), "chain", key="secret").drop("message")
 
 
 @query("""SELECT event_id, '{"a":"' || event_type || '","m":"' || user_id || '"' || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"z":"' || (event_id % 5) || '"' END || '}' AS json FROM events""")
@@ -492,35 +522,45 @@ def path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", archive.path_problem(path).alias("problem"))
 
 
-_NAMES = {".CSV": ("TABULAR", True), ".xlsx": ("SPREADSHEET", True), ".xls": ("SPREADSHEET", False), ".json": ("STRUCTURED", False), ".kmz": ("GEOSPATIAL", False), ".doc": ("DOCUMENT", False), ".bin": ("UNKNOWN", False)}
+_NAMES = (".CSV", ".xlsx", ".xls", ".json", ".kmz", ".doc", ".bin")
 
 
-@query("SELECT page_id, CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{v[0]}'" for k, v in enumerate(_NAMES.values())) + " END AS kind, page_id % 7 < 2 AS parseable FROM pages")
+@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'TABULAR' WHEN 1 THEN 'SPREADSHEET' WHEN 2 THEN 'SPREADSHEET' WHEN 3 THEN 'STRUCTURED' WHEN 4 THEN 'GEOSPATIAL' WHEN 5 THEN 'DOCUMENT' ELSE 'UNKNOWN' END AS kind,
+ page_id % 7 < 2 AS parseable, CASE page_id % 7 WHEN 2 THEN 'an old binary workbook: save it as .xlsx or CSV, note that in the case, then import' WHEN 3 THEN 'needs a mapping before it can be imported'
+ WHEN 4 THEN 'kept as evidence; maps are loaded as layers' WHEN 5 THEN 'kept beside the records; a cover letter often says which time zone they are in, so read it first'
+ WHEN 6 THEN 'kept, not parsed: of no known kind' END AS note FROM pages""")
 def member_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("page_id") % 7).cast("int"))
     rows = table(spark, sf_dir, "pages").select("page_id", archive.member_kind(F.concat(F.lit("file"), F.col("page_id").cast("string"), end)).alias("k"))
-    return rows.select("page_id", "k.kind", "k.parseable")
-
-
-def _header_lists(spark: SparkSession) -> DataFrame:
-    lists = [(f.id, list(f.required) + list(f.optional[: len(f.optional) // 2])) for f in formats.BUILT_IN]
-    return spark.createDataFrame([*lists, ("nothing", ["x", "y"])], "file string, headers array<string>")
-
-
-def _format_sql() -> str:
-    rows = []
-    for name, headers in [*[(f.id, list(f.required) + list(f.optional[: len(f.optional) // 2])) for f in formats.BUILT_IN], ("nothing", ["x", "y"])]:
-        have = {formats.plain(h) for h in headers}
-        for f in formats.BUILT_IN:
-            fits = all(formats.plain(h) in have for h in f.required) and not any(formats.plain(h) in have for h in f.forbidden)
-            optional = len({formats.plain(h) for h in f.optional} & have) / len(f.optional)
-            rows.append(f"('{name}', '{f.id}', {len({formats.plain(h) for h in f.required} & have)}, CAST({optional!r} AS DOUBLE), {str(fits).lower()})")
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(file, format, required, optional, fits)"
-
-
-@query(_format_sql())
+    return rows.select("page_id", "k.kind", "k.parseable", "k.note")
+
+
+# Fixed values, as the survey lists them: the headers that formats need, may have, and must not have.
+_HEADERS = """h(format, required, optional, forbidden) AS (VALUES
+ ('att.tower-dump', ['Target Number', 'IMSI', 'IMEI', 'Date/Time', 'Cell ID'], ['Call Type', 'Direction', 'Duration (sec)', 'Other Party', 'Site', 'Sector', 'Technology', 'Timing Advance', 'RSRP'], ['Latitude', 'Longitude']),
+ ('att.cell-site-list', ['Cell ID', 'Latitude', 'Longitude'], ['Site', 'Sector', 'Site Name', 'Street Address', 'Azimuth', 'Technology'], []::VARCHAR[]),
+ ('verizon.tower-dump', ['MDN', 'Date', 'Time', 'Cell Site'], ['MIN', 'IMSI', 'ESN/IMEI', 'Time Zone', 'Seizure Type', 'Direction', 'Duration', 'Dialed Digits', 'Sector', 'Switch', 'RTT'], ['Latitude', 'Longitude']),
+ ('verizon.cell-site-list', ['Cell Site', 'Latitude', 'Longitude'], ['Sector', 'Site Name', 'Address', 'Azimuth', 'Beamwidth', 'Technology'], []::VARCHAR[]),
+ ('tmobile.tower-dump', ['MSISDN', 'IMSI', 'EventTimestamp', 'CellIdentity'], ['IMEI', 'EventType', 'CallDirection', 'DurationSeconds', 'OtherPartyNumber', 'eNodeB', 'SectorNumber', 'LAC', 'TAC', 'RAT', 'TimingAdvance'], ['Latitude', 'Longitude']),
+ ('tmobile.cell-site-list', ['CellIdentity', 'Latitude', 'Longitude'], ['eNodeB', 'SectorNumber', 'SiteName', 'AzimuthDegrees', 'HorizontalBeamwidth', 'RAT', 'Band'], []::VARCHAR[]),
+ ('uscellular.tower-dump', ['SUBSCRIBER_NBR', 'IMSI_NBR', 'EVENT_DTM', 'CELL_ID'], ['EQUIPMENT_ID', 'EVENT_CD', 'DIR_CD', 'DUR_SEC', 'OTHER_NBR', 'SITE_CD', 'SECT_CD', 'TA_VAL'], ['LAT_DEC', 'LON_DEC']),
+ ('uscellular.cell-site-list', ['CELL_ID', 'LAT_DEC', 'LON_DEC'], ['SITE_CD', 'SECT_CD', 'AZIMUTH_DEG', 'BEAM_DEG'], []::VARCHAR[]))"""
+
+
+@query(f"""WITH {_HEADERS}, k AS (SELECT *, row_number() OVER () - 1 AS k FROM h),
+n AS (SELECT n_nationkey AS file, CASE WHEN n_nationkey % 9 = 8 THEN ['x', 'y'] ELSE list_concat(required, optional[1:CAST(n_nationkey AS INT) // 9 + 2]) END AS own FROM nation LEFT JOIN k ON k.k = n_nationkey % 9),
+p AS (SELECT file, [regexp_replace(lower(x), '[ _./()-]', '', 'g') FOR x IN own] AS own FROM n),
+f AS (SELECT format, [regexp_replace(lower(x), '[ _./()-]', '', 'g') FOR x IN required] AS r, [regexp_replace(lower(x), '[ _./()-]', '', 'g') FOR x IN optional] AS o,
+ [regexp_replace(lower(x), '[ _./()-]', '', 'g') FOR x IN forbidden] AS b FROM h)
+SELECT file, format, CAST(len(list_intersect(r, own)) AS INT) AS required, CAST(len(list_intersect(o, own)) AS DOUBLE) / len(o) AS optional, len(list_intersect(r, own)) = len(r) AND len(list_intersect(b, own)) = 0 AS fits FROM p, f""")
 def format_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.headers_scored(_header_lists(spark))
+    """Files whose headers are a format's, in capitals and with other separators."""
+    lists = F.array(*[F.array(*[F.lit(h) for h in (*f.required, *f.optional)]) for f in formats.BUILT_IN], F.array(F.lit("x"), F.lit("y")))
+    need = F.array(*[F.lit(len(f.required)) for f in formats.BUILT_IN], F.lit(2))
+    k = (F.col("n_nationkey") % 9).cast("int")
+    own = F.slice(F.get(lists, k), F.lit(1), F.get(need, k) + F.when(k < 8, F.floor(F.col("n_nationkey") / 9).cast("int") + 2).otherwise(0))
+    headers = F.transform(own, lambda h: F.upper(F.replace(h, F.lit(" "), F.lit("__"))))
+    return detect.headers_scored(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file"), headers.alias("headers")))
 
 
 _FIRST_ROWS = "c AS (SELECT * FROM (" + CARRIER_ROWS.replace("{events}", "events") + ") ORDER BY src_row LIMIT 50)"
@@ -600,7 +640,7 @@ def destination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLACES = "s AS (SELECT s_suppkey, 39.0e0 + (s_suppkey % 50) * 0.009e0 AS lat2, -105.0e0 + (s_suppkey % 43) * 0.009e0 AS lon2 FROM {supplier})"
 
 
-@query(f"""WITH x AS (SELECT event_id, 39.0e0 + (user_id % 40) * 0.01e0 AS lat, -105.0e0 + (event_id % 37) * 0.01e0 AS lon FROM events WHERE event_id % 5 = 0), {_PLACES.format(supplier='supplier')}
+@query(f"""WITH x AS (SELECT event_id, 39.0e0 + (user_id % 40) * 0.01e0 AS lat, -105.0e0 + (event_id % 37) * 0.01e0 AS lon FROM events), {_PLACES.format(supplier='supplier')}
 SELECT s_suppkey, count(*) AS n, round(min({_HAVERSINE}), 2) AS nearest_m FROM x, s WHERE {_HAVERSINE} <= 900 GROUP BY 1""")
 def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _points(spark, sf_dir).select("event_id", "lat", "lon")
@@ -660,44 +700,72 @@ def confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reference() -> F.Column:
     line = F.col("l_linenumber")
-    return F.struct(
-        F.concat(F.lit("case "), (F.col("l_orderkey") % 3).cast("string")).alias("case_id"), F.when(line > 1, F.concat(F.lit("pkg "), (F.col("l_suppkey") % 2).cast("string"))).alias("package_id"),
-        F.when(line > 2, F.lit("file")).alias("source_file_id"), F.when(line > 5, F.lit("sheet 1")).alias("sheet"), F.when(line > 2, F.col("l_partkey") % 3).alias("row"),
-        F.when(line > 3, F.lit("rec")).alias("record_id"), F.lit(None).cast("string").alias("transform_id"), F.lit(None).cast("string").alias("analysis_run_id"), F.when(line > 6, F.lit("finding")).alias("finding_id"),
+    return evidence.reference(
+        case_id=F.concat(F.lit("case "), (F.col("l_orderkey") % 3).cast("string")), package_id=F.when(line > 1, F.concat(F.lit("pkg "), (F.col("l_suppkey") % 2).cast("string"))),
+        source_file_id=F.when(line > 2, F.lit("file")), container=F.when(line > 5, F.lit("book.xlsx")), sheet=F.when(line > 5, F.lit("sheet 1")), row=F.when(line > 2, F.col("l_partkey") % 3),
+        column=F.when(line == 4, F.lit("IMSI")), row_hash=F.when(line > 3, F.lit("h")), record_id=F.when(line > 3, F.lit("rec")), transform_id=F.when(line > 5, F.lit("t@1")), finding_id=F.when(line > 6, F.lit("finding")),
     )
 
 
-_REF = "'case ' || (l_orderkey % 3) AS a, CASE WHEN l_linenumber > 1 THEN 'pkg ' || (l_suppkey % 2) END AS b, CASE WHEN l_linenumber > 2 THEN 'file' END AS c, CASE WHEN l_linenumber > 5 THEN 'sheet 1' END AS d, CASE WHEN l_linenumber > 2 THEN l_partkey % 3 END AS e, CASE WHEN l_linenumber > 3 THEN 'rec' END AS f"
+_REF = "'case ' || (l_orderkey % 3) AS a, CASE WHEN l_linenumber > 1 THEN 'pkg ' || (l_suppkey % 2) END AS b, CASE WHEN l_linenumber > 2 THEN 'file' END AS c, CASE WHEN l_linenumber > 5 THEN 'book.xlsx' END AS m, CASE WHEN l_linenumber > 5 THEN 'sheet 1' END AS d, CASE WHEN l_linenumber > 2 THEN l_partkey % 3 END AS e, CASE WHEN l_linenumber > 3 THEN 'rec' END AS f"
 
 
-@query(f"WITH r AS (SELECT l_orderkey, {_REF} FROM lineitem) SELECT l_orderkey, count(*) AS refs FROM (SELECT DISTINCT * FROM r) GROUP BY 1")
+@query(f"WITH r AS (SELECT l_orderkey, {_REF} FROM lineitem) SELECT l_orderkey, count(*) AS refs FROM (SELECT DISTINCT l_orderkey, a, b, c, d, e, f FROM r) GROUP BY 1")
 def collect_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array(_reference()).alias("provenance"))
     return evidence.collected_provenance(rows, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("refs"))
 
 
-@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, {_REF}, CASE WHEN l_linenumber > 6 THEN 'finding' END AS g FROM lineitem)
-SELECT l_orderkey, l_linenumber, concat_ws(' > ', 'CASE=' || a, 'EVIDENCE_PACKAGE=' || b, 'SOURCE_FILE=' || c, 'TABLE=' || d, 'SOURCE_ROW=row:' || e, 'NORMALIZED_RECORD=' || f, 'FINDING=' || g) AS chain,
- coalesce(a, '') || '|' || coalesce(b, '') || '|' || coalesce(c, '') || '|' || coalesce(d, '') || '|' || coalesce(CAST(e AS VARCHAR), '') || '|' || coalesce(f, '') || '|||' || coalesce(g, '') AS key FROM r""")
+_LINES = f"""r AS (SELECT l_orderkey, l_linenumber, {_REF}, CASE WHEN l_linenumber = 4 THEN 'IMSI' END AS col, CASE WHEN l_linenumber > 3 THEN 'h' END AS hash, CASE WHEN l_linenumber > 5 THEN 't@1' END AS t, CASE WHEN l_linenumber > 6 THEN 'finding' END AS g FROM lineitem)"""
+
+
+@query(f"""WITH {_LINES}
+SELECT l_orderkey, l_linenumber, concat_ws(' > ', 'CASE=' || a || '/' || a, 'EVIDENCE_PACKAGE=' || b || '/package ' || b, 'SOURCE_FILE=' || c || '/' || c, 'TABLE=' || d || '/' || d, 'SOURCE_ROW=row:' || e || '/Row ' || e, 'NORMALIZED_RECORD=' || f || '/' || f,
+  'TRANSFORMATION=' || t || '/' || t, 'FINDING=' || g || '/' || g) AS chain,
+ concat_ws(',', 'container=' || m, CASE WHEN e IS NOT NULL THEN 'row=' || e END, 'column=' || col, 'rowHash=' || hash) AS detail,
+ array_to_string([a, coalesce(b, ''), coalesce(c, ''), coalesce(m, ''), coalesce(d, ''), coalesce(CAST(e AS VARCHAR), ''), coalesce(col, ''), coalesce(f, ''), '', coalesce(g, '')], '|') AS key FROM r""")
 def provenance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = {"EVIDENCE_PACKAGE": F.concat(F.lit("package "), F.col("r.package_id"))}
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _reference().alias("r"))
-    text = F.array_join(F.transform(evidence.chain(F.col("r")), lambda n: F.concat(n["stage"], F.lit("="), n["id"])), " > ")
-    return rows.select("l_orderkey", "l_linenumber", text.alias("chain"), evidence.provenance_key(F.col("r")).alias("key"))
+    rows = rows.withColumn("c", evidence.chain(F.col("r"), labels))
+    text = F.array_join(F.transform("c", lambda n: F.concat(n["stage"], F.lit("="), n["id"], F.lit("/"), n["label"])), " > ")
+    pairs = F.flatten(F.transform("c", lambda n: F.coalesce(F.map_entries(n["detail"]), F.array().cast("array<struct<key:string,value:string>>"))))
+    detail = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return rows.select("l_orderkey", "l_linenumber", text.alias("chain"), detail.alias("detail"), evidence.provenance_key(F.col("r")).alias("key"))
+
+
+@query(f"""WITH {_LINES} SELECT l_orderkey, l_linenumber, to_json({{case_id: a, package_id: b, source_file_id: c, container: m, sheet: d, "row": e, "column": col, row_hash: hash, record_id: f}}) AS ref FROM r""")
+def source_row_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = evidence.source_row(_reference())
+    kept = F.struct(*[ref[c].alias(c) for c in ("case_id", "package_id", "source_file_id", "container", "sheet", "row", "column", "row_hash", "record_id")])
+    late = F.coalesce(ref["transform_id"], ref["analysis_run_id"], ref["finding_id"])  # none may be left
+    text = F.when(late.isNull(), F.to_json(kept, {"ignoreNullFields": "false"}))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("ref"))
 
 
 @query("""SELECT o_orderkey AS explanation_id, 'order ' || o_orderkey || chr(10) || '  • (OBSERVED) status ' || o_orderstatus || CASE WHEN o_orderkey % 3 > 0 THEN ' [' || (o_orderkey % 3) || ' source record(s)]' ELSE '' END || chr(10)
  || '    • (CALCULATED) priority ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '  Evidence against:' || chr(10) || '    • (INFERRED) even' ELSE '' END || chr(10) || '  Caveats:' || chr(10) || '    • test data' AS text FROM orders""")
 def explanation_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def node(section: str, path: list[int], layer: str, statement: F.Column, refs: F.Column = F.lit(0)) -> F.Column:
-        return F.struct(F.lit(section).alias("section"), F.array(*[F.lit(p) for p in path]).cast("array<int>").alias("path"), F.lit(layer).alias("layer"), statement.alias("statement"), refs.cast("int").alias("n_refs"))
+    return evidence.rendered(_explained(spark, sf_dir))
 
-    against = F.when(F.col("o_orderkey") % 2 == 0, node("CONTRA", [1], "INFERRED", F.lit("even")))
-    nodes = F.array(
-        node("SUMMARY", [], "OBSERVED", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))), node("REASON", [1], "OBSERVED", F.concat(F.lit("status "), "o_orderstatus"), F.col("o_orderkey") % 3),
-        node("REASON", [1, 1], "CALCULATED", F.concat(F.lit("priority "), "o_orderpriority")), against, node("CAVEAT", [1], "OBSERVED", F.lit("test data")),
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    ref = lambda k: evidence.reference(case_id=F.lit("c"), source_file_id=F.lit("orders"), row=key * 10 + k)
+    refs = F.slice(F.array(ref(0), ref(1)), F.lit(1), (key % 3).cast("int"))
+    told = evidence.explanation(
+        F.concat(F.lit("order "), key.cast("string")),
+        (evidence.reason("OBSERVED", F.concat(F.lit("status "), "o_orderstatus"), refs, {"price": F.col("o_totalprice")}, (evidence.reason("CALCULATED", F.concat(F.lit("priority "), "o_orderpriority")),)),),
+        caveats=(F.lit("test data"),), contra=(evidence.reason("INFERRED", F.lit("even"), when=key % 2 == 0),),
     )
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("explanation_id"), F.explode(F.filter(nodes, lambda n: n.isNotNull())).alias("n"))
-    return evidence.rendered(rows.select("explanation_id", "n.*"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", told.alias("told"))
+    return evidence.nodes(rows, "o_orderkey", F.col("told"))
+
+
+@query("SELECT o_orderkey AS explanation_id, 'REASON' AS section, '1' AS path, k AS place, o_orderkey * 10 + k AS row FROM orders, (VALUES (0), (1)) v(k) WHERE k < o_orderkey % 3")
+def explanation_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = evidence.explanation_provenance(_explained(spark, sf_dir))
+    return cited.select("explanation_id", "section", F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path"), "place", F.col("reference.row").alias("row"))
 
 
 @query("SELECT p_brand AS id, arg_max(v, k) AS version FROM (SELECT p_brand, (p_partkey % 3) || '.' || (p_partkey % 12) AS v, (p_partkey % 3) * 100 + p_partkey % 12 AS k FROM part) GROUP BY 1")

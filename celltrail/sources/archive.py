@@ -46,20 +46,20 @@ def is_office(name: Column) -> Column:
 
 
 def member_kind(name: Column) -> Column:
-    """struct(kind, parseable) of a file by its name's end."""
+    """struct(kind, parseable, note) of a file by its name's end; what is not parsed stays evidence, and the note says what to do."""
     n = F.lower(name)
 
-    def is_(kind: str, parseable: bool) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(parseable).alias("parseable"))
+    def is_(kind: str, note: str | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(note is None).alias("parseable"), F.lit(note).cast("string").alias("note"))
 
     return (
-        F.when(n.rlike(r"\.(csv|tsv|txt|tab|dat)$"), is_("TABULAR", True))
-        .when(n.rlike(r"\.(xlsx|xlsm)$"), is_("SPREADSHEET", True))
-        .when(n.rlike(r"\.xls$"), is_("SPREADSHEET", False))
-        .when(n.rlike(r"\.(xml|json)$"), is_("STRUCTURED", False))
-        .when(n.rlike(r"\.(kml|kmz)$"), is_("GEOSPATIAL", False))
-        .when(n.rlike(r"\.(pdf|docx?|rtf)$"), is_("DOCUMENT", False))
-        .otherwise(is_("UNKNOWN", False))
+        F.when(n.rlike(r"\.(csv|tsv|txt|tab|dat)$"), is_("TABULAR"))
+        .when(n.rlike(r"\.(xlsx|xlsm)$"), is_("SPREADSHEET"))
+        .when(n.rlike(r"\.xls$"), is_("SPREADSHEET", "an old binary workbook: save it as .xlsx or CSV, note that in the case, then import"))
+        .when(n.rlike(r"\.(xml|json)$"), is_("STRUCTURED", "needs a mapping before it can be imported"))
+        .when(n.rlike(r"\.(kml|kmz)$"), is_("GEOSPATIAL", "kept as evidence; maps are loaded as layers"))
+        .when(n.rlike(r"\.(pdf|docx?|rtf)$"), is_("DOCUMENT", "kept beside the records; a cover letter often says which time zone they are in, so read it first"))
+        .otherwise(is_("UNKNOWN", "kept, not parsed: of no known kind"))
     )
 
 

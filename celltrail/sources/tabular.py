@@ -2,13 +2,22 @@
 
 Spark's own CSV reader drops raw text and row numbers, so records and fields are split
 here, with possessive patterns that a quoted field of any length does not slow down.
+Records are split in one pass over a text, in Arrow batches: their offsets are running
+sums, for which arrays in the plan would be copied once a record. Fields are split in the plan.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Records that leave a text together.
+BATCH = 8192
 DELIMITERS = (",", "\t", "|", ";")
 #: A record up to its end; quotes toggle, so line ends inside them are text.
 RECORD = r'([^"\r\n]*+(?:"[^"]*+(?:""[^"]*+)*+"?+[^"\r\n]*+)*+)(\r\n|\n|\r|$)'
@@ -30,19 +39,53 @@ def fields(line: Column, delimiter: str) -> Column:
     return F.transform(raw, lambda x: F.replace(F.regexp_replace(x, r'"([^"]*+(?:""[^"]*+)*+)"?+', "$1"), F.lit('""'), F.lit('"')))
 
 
-def records(text: Column) -> Column:
-    """Array of struct(raw, offset) of all records of a text; the empty piece behind the last line end is none."""
-    pieces = F.regexp_extract_all(text, F.lit(RECORD), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<raw:string,offset:bigint>>").alias("out"))
+_RECORD = re.compile(RECORD)
+
 
-    def step(s: Column, piece: Column) -> Column:
-        raw = F.regexp_replace(piece, r"(?:\r\n|\n|\r)\z", "")
-        return F.struct(
-            (s["at"] + F.length(piece)).alias("at"),
-            F.concat(s["out"], F.array(F.struct(raw.alias("raw"), s["at"].alias("offset")))).alias("out"),
-        )
+def records(files: DataFrame, text_col: str = "text", skip: int = 0, limit: int | None = None) -> DataFrame:
+    """``files`` without the text, one row a record: _head (the header's raw text), _row, _raw, _offset.
 
-    return F.filter(F.aggregate(pieces, start, step)["out"], lambda r: F.length(r["raw"]) > 0)
+    A text is walked once, and its records leave in batches. Blank records have no number; the
+    first one behind ``skip`` is the header and no row.
+    """
+    kept = [f for f in files.schema.fields if f.name != text_col]
+    more = [T.StructField("_head", T.StringType()), T.StructField("_row", T.IntegerType()), T.StructField("_raw", T.StringType()), T.StructField("_offset", T.LongType())]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = batch.column(len(kept))[k].as_py() or ""
+                text = text[1:] if text.startswith("\ufeff") else text
+                own = [c.slice(k, 1) for c in batch.columns[: len(kept)]]
+                head, number, seen, rows = None, 1, 0, []
+
+                def out(own=own):
+                    many = pa.array([0] * len(rows), pa.int64())
+                    columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)]
+                    rows.clear()
+                    return pa.RecordBatch.from_arrays([*[c.take(many) for c in own], *columns], names=[*names, "_head", "_row", "_raw", "_offset"])
+
+                for m in _RECORD.finditer(text):
+                    raw = m[1]
+                    if not raw:
+                        continue
+                    seen += 1
+                    if seen <= skip or not raw.strip(" "):
+                        continue
+                    if head is None:
+                        head = raw
+                        continue
+                    if limit is not None and number > limit:
+                        break
+                    number += 1
+                    rows.append((head, number + skip, raw, m.start()))
+                    if len(rows) == BATCH:
+                        yield out()
+                if rows:
+                    yield out()
+
+    return files.select(*names, text_col).mapInArrow(run, T.StructType([*kept, *more]))
 
 
 def delimiter(text: Column, lines: int = 20) -> Column:
@@ -67,19 +110,15 @@ def rows(files: DataFrame, d: str, text_col: str = "text", skip: int = 0, limit:
     Offsets count characters, and are null if records were skipped.
     """
     kept = [c for c in files.columns if c != text_col]
-    text = F.regexp_replace(F.col(text_col), "^﻿", "")
-    blank = F.filter(F.slice(records(text), skip + 1, 1 << 30), lambda r: F.trim(r["raw"]) != "")
-    held = files.select(*kept, blank.alias("_records"))
-    head = held.withColumn("header", F.transform(fields(F.get("_records", 0)["raw"], d), lambda h: F.btrim(h, F.lit(" \t\r\n"))))
-    last = F.lit(1 << 30) if limit is None else F.lit(limit)
-    each = head.select(*kept, "header", F.posexplode(F.slice("_records", F.lit(2), last)).alias("_k", "_r"))
+    each = records(files, text_col, skip, limit)
+    header = F.transform(fields(F.col("_head"), d), lambda h: F.btrim(h, F.lit(" \t\r\n")))
     return each.select(
         *kept,
-        (F.col("_k") + 2 + skip).cast("int").alias("row"),
-        F.col("_r.raw").alias("raw"),
-        fields(F.col("_r.raw"), d).alias("fields"),
-        (F.col("_r.offset") if not skip else F.lit(None).cast("long")).alias("offset"),
-        "header",
+        F.col("_row").alias("row"),
+        F.col("_raw").alias("raw"),
+        fields(F.col("_raw"), d).alias("fields"),
+        (F.col("_offset") if not skip else F.lit(None).cast("long")).alias("offset"),
+        header.alias("header"),
     ).withColumn("ragged", F.size("fields") != F.size("header"))
 
 

@@ -60,8 +60,8 @@ def _column(reference: str) -> int:
     return out - 1
 
 
-def sheets(data: bytes) -> Iterator[tuple[str, list[tuple[int, list[str]]], bool]]:
-    """(name, rows with their worksheet numbers, whether there are formulas) of each sheet; blank rows are left out."""
+def sheets(data: bytes) -> Iterator[tuple[str, list[tuple[int, list[str]]], bool, bool]]:
+    """(name, rows with their worksheet numbers, whether there are formulas, whether there are dates) of each sheet; blank rows are left out."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
 
@@ -83,7 +83,7 @@ def sheets(data: bytes) -> Iterator[tuple[str, list[tuple[int, list[str]]], bool
     for sheet in book.iter(f"{_MAIN}sheet"):
         target = targets.get(sheet.get(f"{_REL}id"), "").lstrip("/")
         root = part(target if target.startswith("xl/") else f"xl/{target}")
-        rows, formulas = [], False
+        rows, formulas, dated = [], False, False
         for number, row in enumerate(root.iter(f"{_MAIN}row") if root is not None else (), 1):
             cells: dict[int, str] = {}
             for place, c in enumerate(row.iter(f"{_MAIN}c")):
@@ -100,11 +100,13 @@ def sheets(data: bytes) -> Iterator[tuple[str, list[tuple[int, list[str]]], bool
                     text = raw
                 else:
                     style = int(c.get("s", 0))
-                    text = _date(raw, from_1904) if style < len(dates) and dates[style] else _number(raw)
+                    is_date = style < len(dates) and dates[style]
+                    dated = dated or is_date
+                    text = _date(raw, from_1904) if is_date else _number(raw)
                 cells[_column(c.get("r", "")) if c.get("r") else place] = text
             if any(t.strip() for t in cells.values()):
                 rows.append((int(row.get("r", number)), [cells.get(k, "") for k in range(max(cells) + 1)]))
-        yield sheet.get("name"), rows, formulas
+        yield sheet.get("name"), rows, formulas, dated
 
 
 SCHEMA = "source_file_id string, sheet string, row int, header array<string>, fields array<string>, raw string, formulas boolean, empty boolean"
@@ -121,7 +123,7 @@ def read(files: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame
         for batch in batches:
             out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                for name, rows, formulas in sheets(bytes(content)):
+                for name, rows, formulas, _ in sheets(bytes(content)):
                     rows = rows[skip:]
                     if not rows:
                         out.append((path, name, None, [], [], None, formulas, True))
@@ -136,3 +138,46 @@ def read(files: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame
                 yield pd.DataFrame(out, columns=[f.split()[0] for f in SCHEMA.split(", ")]).astype({"row": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+NOTES = {
+    "EMPTY": "the sheet has no row with a value",
+    "CUT_COLUMNS": "{n} columns at the right have no name: they take no part in the mapping, their values stay with the rows",
+    "FORMULAS": "the sheet holds formulas, which a carrier's own export does not: the file was made or changed afterwards; the stored results were read, find out where it comes from",
+    "DATES": "date cells are given in ISO form from the stored numbers, as what a spreadsheet shows depends on the machine",
+    "SHEETS": "the workbook has {n} sheets ({names}); each is a table of its own",
+    "HASHES": "rows of a workbook have no bytes of their own: their hashes are taken over the cells with tabs between, without empty ones at the end; the file's hash is over its bytes",
+}
+
+
+def notes(files: DataFrame, skip: int = 0) -> DataFrame:
+    """(source_file_id, sheet, code, note) of every workbook of a ``binaryFile`` scan; a note on the whole file has no sheet."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                names = []
+                for name, rows, formulas, dated in sheets(bytes(content)):
+                    names.append(name)
+                    rows = rows[skip:]
+                    if not rows:
+                        out.append((path, name, "EMPTY", NOTES["EMPTY"]))
+                        continue
+                    width = max(len(cells) for _, cells in rows)
+                    named = max((k + 1 for k, h in enumerate(rows[0][1]) if h.strip()), default=0)
+                    if named < width:
+                        out.append((path, name, "CUT_COLUMNS", NOTES["CUT_COLUMNS"].format(n=width - named)))
+                    out += [(path, name, code, NOTES[code]) for code, holds in (("FORMULAS", formulas), ("DATES", dated)) if holds]
+                if len(names) > 1:
+                    out.append((path, None, "SHEETS", NOTES["SHEETS"].format(n=len(names), names=", ".join(names))))
+                out.append((path, None, "HASHES", NOTES["HASHES"]))
+            if out:
+                yield pd.DataFrame(out, columns=["source_file_id", "sheet", "code", "note"])
+
+    return files.select("path", "content").mapInPandas(run, "source_file_id string, sheet string, code string, note string")
+
+
+def formula_sheets(noted: DataFrame) -> DataFrame:
+    """(source_file_id, sheets) of the workbooks with formulas."""
+    return noted.filter("code = 'FORMULAS'").groupBy("source_file_id").agg(F.array_sort(F.collect_set("sheet")).alias("sheets"))

@@ -1,6 +1,7 @@
 """Identifiers, times, geometry, integrity and normalization on cases worked out by hand."""
 
 import math
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from celltrail import queries as engine
 from celltrail.functions import geodesy, identifiers as ids, integrity, times
-from celltrail.operators import evidence, normalize
+from celltrail.operators import correlate, evidence, normalize
 from celltrail.plans import detect, formats, profile
 
 
@@ -72,6 +73,65 @@ def test_times(spark, raw, utc, confidence):
     assert (str(got.utc) if got.utc else None, got.confidence) == (utc, confidence)
 
 
+@pytest.mark.parametrize(
+    "raw,utc,format_",
+    [
+        ("Fri, 15 Mar 2024 14:30:00 -0700", "2024-03-15 21:30:00", "RFC 2822"), ("15 Mar 2024 14:30 EDT", "2024-03-15 18:30:00", "RFC 2822"),
+        ("Sun, 06 Nov 1994 08:49:37 GMT", "1994-11-06 08:49:37", "RFC 2822"), ("Sunday, 06-Nov-94 08:49:37 GMT", "1994-11-06 08:49:37", "HTTP date"),
+        ("Sun Nov  6 08:49:37 1994", "1994-11-06 08:49:37", "HTTP date"), ("06 Nov 24 08:49:37 +0530", "2024-11-06 03:19:37", "RFC 2822"), ("2024-03-15T14", None, None),
+    ],
+)
+def test_dates_of_mails_and_web_servers(spark, raw, utc, format_):
+    df = spark.createDataFrame([(raw,)], "t string")
+    got = times.with_time(df, "t", package_zone=NEW_YORK).select("time.*").first()
+    assert (str(got.utc) if got.utc else None, got.matched_format) == (utc, format_)
+    assert got.confidence == ("EXACT" if utc else "UNRESOLVED")
+
+
+def test_every_format_of_the_ladder(spark):
+    moment = datetime(2024, 3, 5, 14, 7, 9)
+    shown = {"yyyy": "2024", "yy": "24", "MMM": "MAR", "MM": "03", "dd": "05", "HH": "14", "hh": "02", "mm": "07", "SSS": "000", "ss": "09", "XXX": "+00:00", " a": " pm", "'T'": "T"}
+
+    def text(pattern):
+        out, at = "", 0
+        while at < len(pattern):
+            token = next((t for t in sorted(shown, key=len, reverse=True) if pattern.startswith(t, at)), pattern[at])
+            out, at = out + shown.get(token, token), at + len(token)
+        return out
+
+    rows = [(p, text(p)) for p in (*times.FORMATS, *times.DAY_FIRST)]
+    for r in times.with_time(spark.createDataFrame(rows, "p string, t string"), "t", day_first=False).collect():
+        due = moment.replace(second=moment.second if "ss" in r.p else 0)
+        if r.p == "dd.MM.yyyy HH:mm:ss":  # the year behind a point is cut like a fraction of more than three digits
+            assert r.time.utc is None and r.time.confidence == "UNRESOLVED"
+            continue
+        if r.p in times.DAY_FIRST:  # 05/03 is the third of May unless the day is first
+            due = due.replace(month=5, day=3)
+        assert r.time.utc == due, (r.p, r.t, r.time)
+    first = times.with_time(spark.createDataFrame([("05/03/2024 14:07:09",)], "t string"), "t", day_first=True).first().time
+    assert first.utc == moment
+
+
+def test_event_plan_is_small_and_compiles(spark, tmp_path):
+    """Every step of the event plan is generated code that compiles, and nothing is pulled in over and over."""
+    ts = datetime(2024, 1, 1)
+    spark.createDataFrame([(k, ts, k, "click") for k in range(20)], "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    names = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        for query in (engine.normalize_events, engine.quality_flags, engine.shared_identifiers, engine.sector_device_counts):
+            df = query(spark, str(tmp_path))
+            began = time.perf_counter()
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert time.perf_counter() - began < 5 and len(plan) < 150_000
+            assert df.count() >= 0 and df.collect() is not None
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_zones_and_precedence(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00", "PST"), ("2024-01-01 00:00:00", "junk"), ("2024-01-01 00:00:00", None)], "t string, z string")
     rows = times.with_time(df, "t", row_zone="z", package_zone="nonsense", carrier_zone="UTC+2").select("time.*").collect()
@@ -147,6 +207,73 @@ def test_layers(spark):
         one(spark, evidence.assertion("CALCULATED", F.lit(1), ref))
 
 
+def test_references_and_chains(spark):
+    ref = evidence.reference(case_id=F.lit("c"), source_file_id=F.lit("f"), container=F.lit("b.xlsx"), sheet=F.lit("s"), row=F.lit(7), column=F.lit("IMEI"), row_hash=F.lit("h"), record_id=F.lit("r"), transform_id=F.lit("t"), finding_id=F.lit("x"))
+    assert one(spark, evidence.provenance_key(ref)) == "c||f|b.xlsx|s|7|IMEI|r||x"
+    nodes = one(spark, evidence.chain(ref, {"CASE": F.lit("The case")}))
+    assert [(n.stage, n.id) for n in nodes] == [("CASE", "c"), ("SOURCE_FILE", "f"), ("TABLE", "s"), ("SOURCE_ROW", "row:7"), ("NORMALIZED_RECORD", "r"), ("TRANSFORMATION", "t"), ("FINDING", "x")]
+    assert nodes[0].label == "The case" and nodes[2].detail == {"container": "b.xlsx"} and nodes[3].detail == {"row": "7", "column": "IMEI", "rowHash": "h"} and nodes[3].label == "Row 7"
+    narrow = one(spark, evidence.source_row(ref))
+    assert (narrow.record_id, narrow.row_hash, narrow.column) == ("r", "h", "IMEI") and narrow.transform_id is None and narrow.finding_id is None
+    with pytest.raises(ValueError):
+        evidence.reference(nothing=F.lit(1))
+
+
+def test_explanations(spark):
+    refs = F.array(evidence.reference(case_id=F.lit("c"), row=F.lit(1)), evidence.reference(case_id=F.lit("c"), row=F.lit(2)))
+    below = evidence.reason("CALCULATED", F.lit("two"), refs, {"metres": F.lit(5)})
+    told = evidence.explanation(F.lit("why"), (evidence.reason("OBSERVED", F.lit("one"), refs, children=(below,)),), F.lit("m@1"), (F.lit("mind"),), (evidence.reason("INFERRED", F.lit("not"), refs),))
+    table = evidence.nodes(spark.range(1), "id", told)
+    assert evidence.rendered(table).first().text.split("\n") == [
+        "why", "  • (OBSERVED) one [2 source record(s)]", "    • (CALCULATED) two [2 source record(s)]", "  Evidence against:", "    • (INFERRED) not [2 source record(s)]", "  Caveats:", "    • mind",
+    ]
+    assert [r.reference.row for r in evidence.explanation_provenance(table).collect()] == [1, 2] * 3
+    assert table.filter("section = 'SUMMARY'").first().method == "m@1" and table.filter("statement = 'two'").first().quantities == {"metres": "5"}
+    with pytest.raises(ValueError):
+        evidence.reason("NOBODY", F.lit("x"))
+
+
+def test_manifest_ignores_order_and_sees_changes(spark):
+    rows = [(f"f{k}", f"h{k}") for k in range(50)]
+    hash_of = lambda r: integrity.manifests(spark.createDataFrame([("p", *x) for x in r], "p string, f string, h string").repartition(3), "p", F.col("f"), F.col("h")).first().manifest
+    assert hash_of(rows) == hash_of(rows[::-1]) != hash_of(rows[:-1])
+    assert hash_of([("f0", "h1"), ("f1", "h0")]) != hash_of([("f0", "h0"), ("f1", "h1")])
+
+
+def test_chains_stream(spark):
+    """Hashes of the streamed fold are those of entries appended one by one."""
+    entries, last = [], None
+    for k in range(5):
+        last = integrity.append_entry(last, f"t{k}", "me", "act", {"k": k}, "key")
+        entries.append(last)
+    rows = [(c, e["seq"], e["at"], e["actor_id"], e["action"], e["payload_hash"]) for c in ("a", "b") for e in entries]
+    df = spark.createDataFrame(rows, "chain string, seq int, at string, actor_id string, action string, payload_hash string").repartition(4)
+    found = integrity.chained(df, "chain", "key").orderBy("chain", "seq").collect()
+    assert [r.entry_hash for r in found] == [e["entry_hash"] for e in entries] * 2
+    verdict = integrity.verified_chain(integrity.chained(df, "chain", "key"), "chain", "key").collect()
+    assert all(v.valid and v.message == "all 5 entries hold" for v in verdict)
+
+
+def test_windows_of_every_length(spark):
+    t0 = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(k, t0 + timedelta(hours=k * 7)) for k in range(300)], "event_id long, ts_utc timestamp")
+    spans = [(0, t0, t0), (1, t0, t0 + timedelta(minutes=1)), (2, t0 + timedelta(days=3), t0 + timedelta(days=40)), (3, t0 - timedelta(days=900), t0 + timedelta(days=900)), (4, t0 + timedelta(days=2), t0)]
+    windows = spark.createDataFrame(spans, "w long, start timestamp, end timestamp")
+    found = Counter(r.w for r in correlate.in_windows(events, windows).collect())
+    assert found == {w: n for w, a, b in spans if (n := sum(a <= t0 + timedelta(hours=k * 7) <= b for k in range(300)))}
+
+
+@pytest.mark.parametrize("lat", [0.0, 60.0, -89.99])
+def test_near_in_cells(spark, lat):
+    points = [(k, lat + (k % 7) * 0.004, -179.99 + (k % 11) * 0.02 / max(math.cos(math.radians(lat)), 0.01)) for k in range(77)]
+    a = spark.createDataFrame(points, "k long, lat double, lon double")
+    b = spark.createDataFrame(points, "k2 long, lat2 double, lon2 double")
+    found = {(r.k, r.k2) for r in correlate.near(a, b, 1500.0).select("k", "k2").collect()}
+    box = a.crossJoin(b).filter(geodesy.box_holds(geodesy.box_around(F.col("lat"), F.col("lon"), F.lit(1500.0)), F.col("lat2"), F.col("lon2")))
+    due = {(r.k, r.k2) for r in box.filter(geodesy.distance_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= 1500).select("k", "k2").collect()}
+    assert found == due and len(due) > 77
+
+
 def test_methods():
     m = evidence.Methods()
     m.register({"id": "a", "version": "1.2"})

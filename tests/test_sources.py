@@ -2,8 +2,10 @@
 
 import csv
 import io
+import json
 import random
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,7 +114,13 @@ def test_file_to_events(spark, tmp_path):
     assert str(kept[2].ts_utc) == "2024-03-15 18:00:00" and kept[2].sector_key == "ATT:100:A" and kept[2].technology == "LTE" and kept[2].rsrp == -85
     assert kept[3].unmapped_fields == {"Extra": "note"} and "DUPLICATE_ROW" in kept[10].quality_flags and "DUPLICATE_ROW" not in kept[2].quality_flags
     assert [r.row for r in normalize.rejections(events).collect()] == [11]
-    codes = {r.code: r["count"] for r in normalize.warnings(events).collect()}
+    rolled = normalize.warnings(events, normalize.unmapped_columns(found[0].format, head)).collect()
+    codes = {r.code: r["count"] for r in rolled}
+    order = [("ERROR", "WARNING", "INFO").index(r.severity) for r in rolled]
+    assert order == sorted(order) and all(a["count"] >= b["count"] for a, b in zip(rolled, rolled[1:]) if a.severity == b.severity)
+    assert next(r.message for r in rolled if r.code == "UNMAPPED_COLUMNS").endswith("their rows: Extra")
+    assert next(r.message for r in rolled if r.code == "UNPARSEABLE_TIMESTAMP").endswith("for example x") if "UNPARSEABLE_TIMESTAMP" in codes else True
+    assert normalize.summary(events, ["Extra"]).first().unmapped_columns == ["Extra"]
     assert codes["DUPLICATE_ROW"] == 1 and codes["RAGGED_ROW"] == 1 and codes["MISSING_IDENTIFIERS"] == 1
     assert len({r.event_id for r in kept.values()}) == len(kept)
 
@@ -128,14 +136,84 @@ def test_site_lists_are_never_automatic(spark):
 
 def test_exports(spark, tmp_path):
     assert export.csv_head("c", "t", "now", ["a,b"])[-1] == '"a,b"'
-    lines = spark.createDataFrame([(k, f"l{k}") for k in range(20)], "o int, line string")
-    export.write(lines, str(tmp_path / "out"), "o", ["head"], ["foot"], separator=",")
-    read = lambda part: [x for p in sorted((tmp_path / "out" / part).glob("part-*")) for x in p.read_text().splitlines()]
-    assert read("0-head") == ["head"] and read("1-rows") == [f"l{k}," for k in range(19)] + ["l19"] and read("2-foot") == ["foot"]
+    lines = spark.createDataFrame([(k, f"l{k}") for k in range(20)], "o int, line string").repartition(5)
+    path = tmp_path / "out.txt"
+    for _ in range(2):  # an older file goes
+        export.write(lines, str(path), "o", ["head"], ["foot"], separator=",")
+    assert path.read_text().splitlines() == ["head", *[f"l{k}," for k in range(19)], "l19", "foot"]
+    assert not (tmp_path / "out.txt.parts").exists()
     assert spark.range(1).select(export.cdata(F.lit("a]]>b")).alias("x")).first().x == "<![CDATA[a]]]]><![CDATA[>b]]>"
     assert spark.range(1).select(export.csv_field(F.lit(-85)).alias("x")).first().x == "'-85"
 
 
+def test_export_files(spark, tmp_path):
+    """Whole files: CSV with CR and LF, KML in folders, GeoJSON that a parser reads."""
+    rows = spark.createDataFrame([(k, f"n{k}", 40.0 + k, -100.0 - k) for k in range(7)], "k int, name string, lat double, lon double").repartition(3)
+    export.write_csv(rows, str(tmp_path / "a.csv"), "k", {"Key": F.col("k"), "Name, full": F.col("name")}, "C-1", "title", "now", ("a note",))
+    text = (tmp_path / "a.csv").read_bytes().decode()
+    lines = text.split("\r\n")
+    assert text.count("\n") == text.count("\r\n") and lines[0].startswith("# ") and "# a note" in lines
+    assert list(csv.reader(lines[5:-1])) == [["Key", "Name, full"], *[[str(k), f"n{k}"] for k in range(7)]]
+
+    export.write_geojson(rows.select("k", export.feature(F.col("lat"), F.col("lon"), F.struct("name"), pretty=True).alias("line")), str(tmp_path / "a.json"), "k", "C-1", "here", "now")
+    found = json.loads((tmp_path / "a.json").read_text())
+    assert [f["geometry"]["coordinates"] for f in found["features"]] == [[-100.0 - k, 40.0 + k] for k in range(7)] and found["properties"]["caveats"]
+
+    sites = rows.withColumns({"site_key": F.col("name"), "carrier": F.lit("X&Y"), "address": F.lit(None).cast("string")})
+    sites = sites.select(F.col("k").alias("order"), export.site_mark().alias("line"))
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (0, 1), (0, 0))])
+    wedges = rows.select(F.col("k").alias("order"), export.wedge(F.col("name"), F.lit(89.5), F.lit(65.0), F.lit(1000.4), ring, F.array(F.lit("a < b"))).alias("line"))
+    seen = rows.withColumns(
+        {"identifier_key": F.lit("IMEI:1"), "ts_utc": F.lit("2024-01-01 00:00:00").cast("timestamp"), "sector_key": F.col("name"), "event_kind": F.lit("SMS"), "source_file_id": F.lit("f"), "row": F.col("k")}
+    ).select(F.col("k").alias("order"), export.observation_mark().alias("line"))
+    export.write_kml(sites, wedges, str(tmp_path / "a.kml"), "C-1", "t & u", "now", seen)
+    ns = "{http://www.opengis.net/kml/2.2}"
+    document = ElementTree.parse(tmp_path / "a.kml").getroot()[0]
+    folders = document.findall(f"{ns}Folder")
+    assert [f.find(f"{ns}name").text for f in folders] == list(export.FOLDERS) and [len(f.findall(f"{ns}Placemark")) for f in folders] == [7, 7, 7]
+    assert "azimuth 90°" in folders[1][1].find(f"{ns}description").text and "<li>a &lt; b</li>" in folders[1][1].find(f"{ns}description").text
+    assert folders[2][1].find(f"{ns}TimeStamp/{ns}when").text == "2024-01-01T00:00:00.000Z"
+    export.write_kml(sites, wedges, str(tmp_path / "b.kml"), "C-1", "t", "now")
+    assert len(ElementTree.parse(tmp_path / "b.kml").getroot()[0].findall(f"{ns}Folder")) == 2
+
+
+def test_workbook_notes(spark):
+    files = spark.createDataFrame([("f.xlsx", bytearray(book()))], "path string, content binary")
+    noted = workbook.notes(files)
+    codes = {(r.sheet, r.code) for r in noted.collect()}
+    assert codes == {("Calls", "FORMULAS"), ("Calls", "DATES"), ("Calls", "CUT_COLUMNS"), ("Blank", "EMPTY"), (None, "SHEETS"), (None, "HASHES")}
+    assert [(r.source_file_id, r.sheets) for r in workbook.formula_sheets(noted).collect()] == [("f.xlsx", ["Calls"])]
+
+
+def test_many_records(spark):
+    """Twice the records take about twice as long, and offsets are sums of what stands before."""
+    text = "h1,h2\n" + "".join(f'{k},"a\nb{k}"\r\n' for k in range(60_000))
+    df = spark.createDataFrame([("f", text)], "file string, text string")
+    rows = tabular.rows(df, ",").select("row", "offset", "raw", F.get("fields", 1).alias("second")).collect()
+    assert len(rows) == 60_000 and [r.row for r in rows[:3]] == [2, 3, 4] and rows[-1].second == "a\nb59999"
+    assert all(text.startswith(r.raw, r.offset) for r in rows[::997])
+    assert [r.row for r in tabular.rows(df, ",", limit=5).collect()] == [2, 3, 4, 5, 6]
+    assert tabular.rows(df, ",", skip=2).first().row == 4
+
+
+def test_routes_of_many_files(spark, tmp_path):
+    """One plan over many files decides as file by file."""
+    head, text = calls()
+    (tmp_path / "att_dump.csv").write_text(text)
+    (tmp_path / "other.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "att_odd.csv").write_text(text.replace("310410", "9x"))
+    sites = "Cell ID,Latitude,Longitude,Site,Sector,Site Name,Street Address,Azimuth,Technology\nc,39.7,-105.0,100,A,n,s,90,LTE\n"
+    (tmp_path / "att_cell_sites.csv").write_text(sites)
+    rows = tabular.read(spark, str(tmp_path), ",").withColumn("delimiter", F.lit(","))
+    found = {r.source_file_id.rsplit("/", 1)[1]: r for r in detect.routed(rows).collect()}
+    assert len(found) == 4 and found["other.csv"].decision == "NEEDS_MAPPING" and found["att_dump.csv"].decision == "AUTO"
+    for name in ("att_dump.csv", "att_odd.csv", "att_cell_sites.csv"):
+        own = rows.filter(F.col("source_file_id").endswith(name))
+        one = detect.detect(own, own.first().header, ",", name)
+        assert (found[name].decision, found[name].format) == (detect.route(one), one[0].format.id)
+        assert found[name].confidence == pytest.approx(one[0].confidence)
+
+
 def test_stream(spark, tmp_path):
     from celltrail.streaming import ingest
 
