@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +30,70 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def free(df: DataFrame, *names: str) -> None:
+    """An operator adds columns of these names: a caller's column of one of them is an error, not a crash further on."""
+    taken = {c.lower() for c in df.columns}
+    if clash := [n for n in names if n.lower() in taken]:
+        raise ValueError(f"columns {', '.join(clash)} stand in the table already; choose another name for the result")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; an own one only where none is set."""
+    """The folder that the driver and all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    On one machine without such a setting it is a temporary folder; on a cluster its absence is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top
+    if top:
+        return top
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="scratch-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts the lineage: executors lost later cost a re-read, not a re-run, and what
-    a task decided by its place in a partition stays decided.
+    a task decided by its place in a partition stays decided. What is read of it may be needed as
+    long as the application runs, so the folder of an application goes at its end (:func:`cleaned`).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(cleaned, spark, path)
+    return path
+
+
+_SCRATCH: set[str] = set()
+
+
+def cleaned(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder, as long as the application still answers."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the application has ended: its folder is the cluster's to clear
+        return
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of a number's decimal text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

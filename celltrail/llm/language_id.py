@@ -1,54 +1,55 @@
 """Language identification by compression with one raw-content dictionary per language.
 
-A text is coded with each language's zstandard dictionary, in blocks of a few kB so
-that the text itself never outgrows the dictionary; the language of the smallest
-code wins. A narrow margin between the two smallest codes is a rejection.
+A whole text, in lower case and with a blank for all that is no letter, is coded with
+each language's zstandard dictionary, at one level and in blocks of a few kB, so that the
+text itself never outgrows the dictionary; the language of the smallest code wins. A
+narrow margin between the two smallest codes is a rejection.
 
 The dictionaries are all that is learned: for each language a bounded sample of the
 labelled rows (:data:`DICTIONARY_BYTES`), chosen by a hash of id and text, equal rows
 once, and of each a piece of :data:`SAMPLE_CHARS` characters from a hashed place in
-the text. Prediction runs over every row and every whole text.
+the text. Prediction runs over every row and every whole text, however long.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
+Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0 and
 rejected; equal codes go to the language with more labelled rows, then to the
 first name, and are rejected; with no labelled row every text is ``und``. Rows
-with a null id or label are predicted like others; other columns take no part.
+with a null id or label are predicted like others, repeated rows alike; other columns
+take no part, and a column of the name that is added is an error.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_bucket, prepare, table
+from ._common import crc_bucket, free, prepare, table
 
 #: Bounds of what is learned, for each language: bytes of dictionary, and of the rows read for it.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 1 << 16, 400, 1000
-BLOCK = 4096
-#: Codes of texts up to SHORT bytes are searched harder.
-SHORT, LEVEL, SHORT_LEVEL = 512, 3, 9
+BLOCK, LEVEL = 4096, 9
 #: The least margin, as a share of the second smallest code, that is not a rejection.
 MARGIN = 0.002
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def reduced(text: str) -> bytes:
-    """The text's distinct words in the order they first come, lower case, without ASCII characters that are no letters.
+def plain(text: str) -> bytes:
+    """The text's words in lower case, without ASCII characters that are no letters."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_KEEP).split())
 
-    Repeated words and lines tell nothing more of the language, and would let the
-    text be coded from itself.
-    """
-    return b" ".join(dict.fromkeys(text.lower().encode("utf-8", "replace").translate(_KEEP).split(b" ")))
+
+def vocabulary(text: str) -> bytes:
+    """The text's distinct words in the order they first come: a dictionary has room for more languages' words that way."""
+    return b" ".join(dict.fromkeys(plain(text).split(b" ")))
 
 
 @dataclass
@@ -57,33 +58,28 @@ class Languages:
 
     names: list[str]
     contents: list[bytes]
-    _coders: dict = field(default_factory=dict, repr=False)
+    _coders: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {"names": self.names, "contents": self.contents, "_coders": {}}
+        return {"names": self.names, "contents": self.contents, "_coders": []}
 
-    def _coder(self, level: int) -> list:
+    def _made(self) -> list:
         import zstandard
 
-        if level not in self._coders:
-            coders = []
+        if not self._coders:
             for content in self.contents:
                 words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                words.precompute_compress(level=level)
-                coders.append(
-                    zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+                words.precompute_compress(level=LEVEL)
+                self._coders.append(
+                    zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
                 )
-            self._coders[level] = coders
-        return self._coders[level]
+        return self._coders
 
     def sizes(self, text: str) -> list[int]:
         """Bytes of the text's code with each dictionary."""
-        data = reduced(text)
-        coders = self._coder(SHORT_LEVEL if len(data) <= SHORT else LEVEL)
-        if len(data) <= BLOCK:
-            return [len(c.compress(data)) for c in coders]
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in coders]
+        data = plain(text)
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)] or [b""]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self._made()]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected."""
@@ -117,13 +113,14 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     contents = []
     for name in names:
         own = sorted((r["h"], r["text"]) for r in sample if r["lang"] == name)[: 2 * SAMPLE_ROWS]
-        contents.append(b" ".join(dict.fromkeys(reduced(t) for _, t in own))[-DICTIONARY_BYTES:] or b" ")
+        contents.append(b" ".join(dict.fromkeys(vocabulary(t) for _, t in own))[-DICTIONARY_BYTES:] or b" ")
     return Languages(names, contents)
 
 
 def predicted(df: DataFrame, languages: Languages, text_col: str = "text", into: str = "_language") -> DataFrame:
     """``df`` with a struct ``into`` of ``lang_pred``, ``score`` and ``rejected``."""
     prepare(df.sparkSession)
+    free(df, into)
     place = df.columns.index(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))])
     names = ["lang_pred", "score", "rejected"]

@@ -1,27 +1,32 @@
 """Exact top-k search by inner product over norm-sorted, SVD-rotated vectors.
 
 Vectors are cut into chunks by length, the longest first. Every query meets the first
-chunk and takes its k-th best score from there as a threshold; then blocks of queries
-meet the other chunks, in cells that stand for themselves. In a cell candidates come
-by descending length. A query that the longest of a run of candidates cannot lift
-over its threshold (Cauchy-Schwarz on whole lengths) skips the run; for the others
+chunk and takes its k-th best score from there as a threshold. Then rounds of more and more
+chunks follow: a query needs a chunk only if the longest vector in it can reach the
+query's threshold (Cauchy-Schwarz on whole lengths), queries of like need form blocks, and a
+chunk is sent only to the blocks that need it; each round raises the thresholds, and the
+search ends when nothing is needed any more. In a cell candidates come by descending
+length. A query that the longest of a run of candidates cannot lift
+over its threshold skips the run; for the others
 the leading coordinates of the rotated vectors are multiplied, and a candidate is
 scored exactly only if that partial sum and the product of both residual lengths
 reach the threshold. The rotation is the right singular basis of all vectors, from
 the sum of their outer products.
 
 Components are whole numbers; scores are exact: in floating point while the product of two
-lengths stays under 2^52, else in Python's integers.
+lengths stays under 2^52, else in Python's integers. Bounds of longer vectors are taken on
+vectors scaled by a power of two, so that no product leaves the range of floating point.
 
 Defined cases: vectors that are null or hold a null or a component that is not
 finite take no part, nor do rows without an id; a shorter vector counts as ending in zeros; a
 query's own row is any row of its id; equal scores rank by the smaller id; with fewer
-than k candidates there are fewer rows; scores beyond 64 bits are cut to the nearest
-such number; other columns take no part.
+than k candidates there are fewer rows; scores beyond 64 bits rank by what they are and are cut to the nearest
+such number; rows of one id are a candidate each and one query, that of the least vector; other columns take no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,24 @@ MOST_CHUNKS = 2048
 #: Leading coordinates that are multiplied first, as a share of all.
 LEADING = 0.25
 _EXACT = 2.0**52
+LARGEST = 1.7e308
+#: How many times more chunks a round takes than the one before.
+FASTER = 4
+
+
+def length(x: np.ndarray) -> float:
+    """The length of a vector, at most the largest finite number, rounded up a little."""
+    most = float(np.abs(x).max(initial=0.0))
+    if not most:
+        return 0.0
+    scale = math.ldexp(1.0, min(1023, math.frexp(most)[1]))
+    return min(float(np.sqrt(((x / scale) ** 2).sum())) * (1 + 1e-12), LARGEST / scale) * scale
+
+
+def shifted(score: int, by: int) -> float:
+    """``score`` times 2^-by as a floating number, whatever its size."""
+    bits = max(0, abs(score).bit_length() - 64)
+    return math.ldexp(float(score >> bits), bits - by)
 
 
 def whole(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
@@ -54,7 +77,7 @@ def whole(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBa
                 continue
             ids.append(i)
             vectors.append(x.tobytes())
-            norms.append(float(np.sqrt((x * x).sum())))
+            norms.append(length(x))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(norms, pa.float64())], names=["vec_id", "vector", "norm"])
 
 
@@ -73,6 +96,7 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
         total = np.zeros((width, width))
         for batch in batches:
             m = matrix(batch.column(0).to_pylist(), width)
+            m /= np.maximum(np.abs(m).max(axis=1, keepdims=True, initial=0.0), 1e-300)  # first to components of 1
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["outer"])
@@ -86,34 +110,37 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 
 
 class Best:
-    """The k best candidates of each query of a cell so far."""
+    """The k best candidates of each query of a cell so far; bounds and thresholds are of vectors times 2^-shift."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, basis: np.ndarray, floor: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
-        self.turned = queries @ basis
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, basis: np.ndarray, floor: np.ndarray, k: int, shift: int):
+        self.ids, self.queries, self.k, self.shift = ids, queries, k, shift
+        small = np.ldexp(queries, -shift)
+        self.turned = small @ basis
         self.lead = max(1, int(queries.shape[1] * LEADING))
-        self.length = np.linalg.norm(queries, axis=1)
+        self.length = np.linalg.norm(small, axis=1)
         self.rest = np.linalg.norm(self.turned[:, self.lead :], axis=1)
         self.basis, self.floor = basis, floor.copy()
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """A run of candidates by descending length."""
-        length = np.linalg.norm(vectors, axis=1)
+        small = np.ldexp(vectors, -self.shift)
+        length = np.linalg.norm(small, axis=1)
         slack = 1e-9 * (1 + self.length * length.max(initial=0))
         live = np.flatnonzero(self.length * length.max(initial=0) + slack >= self.floor)
         if not len(live) or not len(ids):
             return
-        turned = vectors @ self.basis
+        turned = small @ self.basis
         rest = np.linalg.norm(turned[:, self.lead :], axis=1)
         bound = self.turned[live, : self.lead] @ turned[:, : self.lead].T + np.outer(self.rest[live], rest)
         maybe = bound + slack[live, None] >= self.floor[live, None]
-        exact = self.length[live].max() * length.max() < _EXACT
+        most = self.length[live].max() * length.max()
+        exact = most == 0 or math.log2(most) + 2 * self.shift < math.log2(_EXACT)
         for row, q in enumerate(live.tolist()):
             take = np.flatnonzero(maybe[row] & (ids != self.ids[q]))
             if not len(take):
                 continue
-            if exact:
+            if exact and (self.shift == 0 or np.abs(vectors[take]).max(initial=0) < _EXACT):
                 score = vectors[take] @ self.queries[q]
                 if len(take) > self.k:  # what is under the k-th of these cannot stay
                     cut = np.partition(score, len(score) - self.k)[len(score) - self.k]
@@ -125,16 +152,19 @@ class Best:
             best = sorted([*self.found[q], *pairs])[: self.k]
             self.found[q] = best
             if len(best) == self.k:
-                self.floor[q] = max(self.floor[q], float(-best[-1][0]))
+                self.floor[q] = max(self.floor[q], shifted(-best[-1][0], 2 * self.shift))
 
-    def rows(self) -> tuple[list[int], list[int], list[int]]:
+    def rows(self) -> tuple[list[int], list[int], list[int], list[float]]:
         cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-        out = [(int(q), v, cut(-s)) for q, best in zip(self.ids, self.found, strict=True) for s, v in best]
-        return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
+        out = [(int(q), v, cut(-s), shifted(-s, 2 * self.shift)) for q, best in zip(self.ids, self.found, strict=True) for s, v in best]
+        return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [], [])
 
 
-def _searched(cells: DataFrame, basis: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each cell; ``cells``: (cell, side, order, id, vector, floor), side 0 are queries."""
+FOUND = "query_id long, vec_id long, score long, high double"
+
+
+def _searched(cells: DataFrame, basis: np.ndarray, k: int, shift: int) -> DataFrame:
+    """(query_id, vec_id, score, high) of each cell, ``high`` the score times 2^-2shift; ``cells``: (cell, side, order, id, vector, floor), side 0 are queries."""
     width = len(basis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +174,15 @@ def _searched(cells: DataFrame, basis: np.ndarray, k: int) -> DataFrame:
         def take():
             nonlocal best, ids, raw, floors
             if ids and side == 0:
-                best = Best(np.array(ids), matrix(raw, width), basis, np.array(floors), k)
+                best = Best(np.array(ids), matrix(raw, width), basis, np.array(floors), k, shift)
             elif ids and best is not None:
                 best.add(np.array(ids), matrix(raw, width))
             ids, raw, floors = [], [], []
 
         def close():
             take()
-            q, v, s = best.rows() if best is not None else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, v, s)], names=["query_id", "vec_id", "score"])
+            *whole_, high = best.rows() if best is not None else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in whole_], pa.array(high, pa.float64())], names=["query_id", "vec_id", "score", "high"])
 
         for batch in batches:
             for c, z, i, r, f in zip(*(batch.column(q).to_pylist() for q in range(5)), strict=True):
@@ -173,7 +203,7 @@ def _searched(cells: DataFrame, basis: np.ndarray, k: int) -> DataFrame:
         cells.repartition("cell")
         .sortWithinPartitions("cell", "side", "order")
         .select("cell", "side", "id", "vector", "floor")
-        .mapInArrow(run, "query_id long, vec_id long, score long")
+        .mapInArrow(run, FOUND)
     )
 
 
@@ -185,47 +215,81 @@ def searched(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: st
     vectors = stored(raw.mapInArrow(lambda b: whole(b, scale), "vec_id long, vector binary, norm double"), "vectors")
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     fractions = [i / MOST_CHUNKS for i in range(1, MOST_CHUNKS)]
-    size, width, bounds = vectors.agg(
-        F.count("*"), F.max(F.octet_length("vector") / 8).cast("int"), F.percentile_approx("norm", fractions, 4 * MOST_CHUNKS)
+    size, width, longest, bounds = vectors.agg(
+        F.count("*"), F.max(F.octet_length("vector") / 8).cast("int"), F.max("norm"), F.percentile_approx("norm", fractions, 4 * MOST_CHUNKS)
     ).first()
     if not size or not width:
         return none
     basis = rotation(vectors, width)
+    shift = 0 if longest < 2.0**26 else math.frexp(longest)[1]
     chunks = max(1, min(MOST_CHUNKS, -(-size // CHUNK)))
     bounds = sorted({bounds[-(i * MOST_CHUNKS // chunks)] for i in range(1, chunks)}, reverse=True)
     chunk = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: F.col("norm") < b))
     placed = vectors.withColumn("chunk", chunk)
-    counts = {r["chunk"]: r["n"] for r in placed.groupBy("chunk").agg(F.count("*").alias("n")).collect()}  # at most MOST_CHUNKS
-    # a length that many vectors share is split by id
-    splits = {c: max(1, -(-n // CHUNK)) for c, n in counts.items()}
-    first = {c: sum(splits[d] for d in splits if d < c) for c in splits}
-    of = lambda held: F.element_at(F.create_map(*[F.lit(x) for c in sorted(held) for x in (c, held[c])]), F.col("chunk"))
-    placed = placed.withColumn("part", (of(first) + F.pmod(F.xxhash64("vec_id"), of(splits))).cast("int")).drop("chunk")
-    parts = sum(splits.values())
-
-    queries = vectors.filter(is_query(F.col("vec_id")))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-
-    def cells(asked: DataFrame, candidates: DataFrame, among: list[int]) -> DataFrame:
-        own = asked.withColumn("part", F.explode(F.array(*[F.lit(p) for p in among])))
-        other = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("floor", F.lit(float("-inf")))
-        shape = ["block", "part", "side", "order", F.col("vec_id").alias("id"), "vector", "floor"]
-        both = own.withColumns({"side": F.lit(0), "order": F.lit(0.0)}).select(*shape).union(
-            other.withColumns({"side": F.lit(1), "order": -F.col("norm")}).select(*shape)
-        )
-        return both.withColumn("cell", F.col("block") * F.lit(parts) + F.col("part"))
-
-    start = queries.withColumn("floor", F.lit(float("-inf")))
-    head = stored(_searched(cells(start, placed.filter("part = 0"), [0]), basis, k), "first-chunk")
-    found = head
-    if parts > 1:
-        kth = head.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k)
-        asked = queries.join(kth.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left").withColumn(
-            "floor", F.coalesce("floor", F.lit(float("-inf")))
-        )
-        found = head.union(_searched(cells(asked, placed.filter("part > 0"), list(range(1, parts))), basis, k))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    held = placed.groupBy("chunk").agg(F.count("*").alias("n"), F.max("norm").alias("most")).orderBy("chunk").collect()  # at most MOST_CHUNKS
+    counts, most = [r["n"] for r in held], [math.ldexp(r["most"], -shift) for r in held]
+    # a chunk of more vectors than a task takes, as one length may have, is split by id
+    splits = [max(1, -(-n // CHUNK)) for n in counts]
+    rank = F.element_at(F.create_map(*[F.lit(x) for c, r in enumerate(held) for x in (r["chunk"], c)]), F.col("chunk"))
+    placed = placed.withColumn("chunk", rank)
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("chunk"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), of(splits)).cast("int"))
+    asked = vectors.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("vector", "norm")).alias("q")).select("vec_id", "q.*")
+
+    def met(first: int, end: int, queries: DataFrame, blocks: list[int]) -> DataFrame:
+        """What queries (block, floor) find in the chunks from ``first`` to before ``end``; ``blocks``: how many of the first blocks need each."""
+        lasts = F.array(*[F.lit(b) for b in blocks])
+        needed = F.get(lasts, F.col("chunk") - first)
+        other = placed.filter((F.col("chunk") >= first) & (F.col("chunk") < end) & (needed > 0))
+        other = other.withColumn("block", F.explode(F.sequence(F.lit(0), needed - 1))).withColumn("floor", F.lit(float("-inf")))
+        pieces = F.explode(F.filter(F.sequence(F.lit(first), F.lit(end - 1)), lambda c: F.get(lasts, c - first) > F.col("block")))
+        own = queries.withColumn("chunk", pieces).withColumn("part", F.explode(F.sequence(F.lit(0), of(splits) - 1)))
+        shape = ["chunk", "part", "block", "side", "order", F.col("vec_id").alias("id"), "vector", "floor"]
+        both = own.withColumns({"side": F.lit(0), "order": F.lit(0.0)}).select(*shape).unionByName(other.withColumns({"side": F.lit(1), "order": -F.col("norm")}).select(*shape))
+        cell = F.concat_ws(".", "chunk", "part", "block")
+        return _searched(both.withColumn("cell", cell), basis, k, shift)
+
+    def dealt(queries: DataFrame, needs: dict[int, int]) -> tuple[DataFrame, list[int]]:
+        """Queries (need) in blocks, those of the most need first, and how far each block's need goes; ``needs``: how many have each."""
+        block, classes, size_ = 0, [], 0
+        first: dict[int, tuple[int, int]] = {}
+        ends: list[int] = []
+        for need in sorted(needs, reverse=True):  # at most one a chunk
+            classes.append(need)
+            size_ += needs[need]
+            if size_ >= BLOCK or need == min(needs):
+                many = -(-size_ // BLOCK)
+                first |= {n: (block, many) for n in classes}
+                ends += [classes[0]] * many
+                block, classes, size_ = block + many, [], 0
+        pick = lambda k_: F.element_at(F.create_map(*[F.lit(x) for n in first for x in (n, first[n][k_])]), F.col("need"))
+        return queries.withColumn("block", (pick(0) + F.pmod(F.xxhash64("vec_id", F.lit(1)), pick(1))).cast("int")), ends
+
+    total = asked.count()
+    if not total:
+        return none
+    start, _ = dealt(asked.withColumns({"floor": F.lit(float("-inf")), "need": F.lit(1)}), {1: total})
+    found = stored(met(0, 1, start, [max(1, -(-total // BLOCK))]), "found")
+    begin, width_ = 1, FASTER
+    while begin < len(held):
+        kth = F.element_at(F.sort_array(F.collect_list("high"), asc=False), k)
+        best = Window.partitionBy("query_id").orderBy(F.col("high").desc(), "vec_id")
+        top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+        floors = top.groupBy("query_id").agg(F.count("*").alias("n"), kth.alias("floor")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "floor")
+        open_ = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        # the last chunk whose longest vector can reach the threshold; lengths fall from chunk to chunk
+        own = F.col("norm") * F.lit(math.ldexp(1.0, -shift)) if shift < 1000 else F.col("norm") * F.lit(math.ldexp(1.0, -900)) * F.lit(math.ldexp(1.0, 900 - shift))
+        reach = F.size(F.filter(F.array(*[F.lit(m) for m in most]), lambda m: own * m * (1 + 1e-9) + 1e-9 >= F.col("floor")))
+        open_ = open_.withColumn("need", reach.cast("int")).filter(F.col("need") > begin)
+        needs = {r["need"]: r["n"] for r in open_.groupBy("need").agg(F.count("*").alias("n")).collect()}  # at most one a chunk
+        if not needs:
+            break
+        end = min(len(held), begin + width_)
+        queries, ends = dealt(open_, needs)
+        blocks = [sum(e > c for e in ends) for c in range(begin, end)]
+        found = found.unionByName(stored(met(begin, end, queries, blocks), "found"))
+        begin, width_ = end, width_ * FASTER
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("high").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force, libraries or SQL, with the cases each docstring defines."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -237,10 +238,10 @@ def test_language_accuracy_and_cases(spark, tmp_path):
     rnd = random.Random(5)
     sounds = {"aa": ("lo", "mi", "ra", "te"), "bb": ("schk", "ung", "ver", "ei"), "cc": ("qué", "ñol", "ción", "ar")}
     rows = [(k, " ".join("".join(rnd.choice(sounds[g]) for _ in range(3)) for _ in range(rnd.randint(4, 60))), g) for k in range(400) for g in [rnd.choice(list(sounds))]]
-    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 !!", "bb"), (1003, "lomira", None)]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 !! \u00b2 \u00bd \u2460", "bb"), (1003, "lomira", None), (1004, "lomira " * 30_000, "aa"), (1005, "12 " * 20_000 + "lomira", "aa"), (None, "lomira", "aa"), (0, rows[0][1], rows[0][2])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r for r in languages.op3_language_id(spark, str(tmp_path)).collect()}
-    assert [found[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3
+    assert [found[k].lang_pred for k in (1000, 1001, 1002, 1004, 1005)] == ["und"] * 3 + ["aa"] * 2
     held = [(found[d], g) for d, _, g in rows if zlib.crc32(str(d).encode()) % 4 == 2 and d < 1000]
     assert all(r.held_out for r, _ in held)
     assert sum(r.lang_pred == g for r, g in held) >= 0.97 * len(held)
@@ -407,6 +408,40 @@ def test_topk_matches_sql(spark, tmp_path, monkeypatch, chunk, block):
     assert found == want
 
 
+def test_topk_of_any_finite_components(spark):
+    """Every query has all its candidates, whatever the size of finite components."""
+    rng = random.Random(3)
+    rows = [(k, [rng.choice([-1, 1]) * 10.0 ** rng.choice([-300, -3, 0, 3, 150, 200, 300]) for _ in range(4)]) for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in search.searched(df, lambda i: i < 12, k=20).collect():
+        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    whole = [[math.floor(1024 * x) for x in v] for _, v in rows]
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for q, got in found.items():
+        assert sorted(got) == sorted((cut(sum(a * b for a, b in zip(whole[q], whole[c], strict=True))), c) for c in range(12) if c != q)
+    assert len(found) == 12
+
+
+def test_topk_stops_when_nothing_can_reach_the_threshold(spark, monkeypatch):
+    """Of lengths that fall fast only the first chunks are sent; of equal ones all are."""
+    monkeypatch.setattr(search, "CHUNK", 50)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((600, 6))
+    for lengths in (0.99 ** np.arange(600), np.ones(600)):
+        x = v / np.linalg.norm(v, axis=1, keepdims=True) * lengths[:, None] * 100
+        df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+        sent, searched = [], search._searched
+        monkeypatch.setattr(search, "_searched", lambda cells, *more, sent=sent, searched=searched: (sent.append(cells.filter("side = 1").count()), searched(cells, *more))[1])
+        found = search.searched(df, lambda i: i % 20 == 0, k=5).collect()
+        monkeypatch.setattr(search, "_searched", searched)
+        w = np.floor(1024 * x)
+        due = {(q, c) for q in range(0, 600, 20) for c in sorted((c for c in range(600) if c != q), key=lambda c: (-(w[c] @ w[q]), c))[:5]}
+        assert {(r.query_id, r.vec_id) for r in found} == due
+        assert sum(sent) < 400 if lengths[-1] < 1 else sum(sent) == 1200  # two blocks
+
+
 def test_topk_of_huge_components(spark):
     rows = [(0, [1e12, 1.0]), (1, [1e12, 3.0]), (2, [1e12, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
