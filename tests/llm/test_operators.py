@@ -365,6 +365,34 @@ def test_fingerprints(spark, table, corpus):
     assert all(r.near_next == 1.0 for r in copies)
 
 
+def test_fingerprints_tell_likeness_by_themselves(spark, table, corpus, monkeypatch):
+    """Likeness is computed from two fingerprints alone, and is near that of the multisets of clauses; ranges do not matter."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(21)
+    clauses = [prose(rnd, 4) + rnd.choice(".,;!?") for _ in range(300)]
+    rows = [(k, " ".join(rnd.choices(clauses[: 40 + k], k=rnd.randint(1, 60)))) for k in range(150)] + [(150, "x, " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    v = prints.vectors(df, "doc_id").select("doc_id", prints.digest(F.struct(*prints.VECTOR)).alias("f"))
+    a, b = v.select(F.col("doc_id").alias("a"), F.col("f").alias("fa")), v.select(F.col("doc_id").alias("b"), F.col("f").alias("fb"))
+    near = a.join(b, (a.a < b.b) & (b.b <= a.a + 3)).select("a", "b", prints.likeness(prints.parsed(F.col("fa")), prints.parsed(F.col("fb"))).alias("near")).collect()
+    count = {d: Counter(re.split(prints.CLAUSE, t)) for d, t in rows}
+    gaps = []
+    for r in near:
+        x, y = count[r.a], count[r.b]
+        square = lambda c: sum(n * n for n in c.values())
+        apart = sum((x[k] - y[k]) ** 2 for k in {*x, *y})
+        gaps.append(abs(r.near - (1 - apart / (square(x) + square(y)))))
+    assert max(gaps) < 0.45 and sum(gaps) / len(gaps) < 0.09
+    whole = sorted(prints.op4_multiset_fingerprint(spark, table).collect(), key=str)
+    for each in (1, 2000):
+        monkeypatch.setattr(prints, "RANGE_BYTES", each)
+        assert sorted(prints.op4_multiset_fingerprint(spark, table).collect(), key=str) == whole
+    own = {r.fingerprint: r for r in whole}
+    by = spark.createDataFrame([(r.fingerprint, r.edited_fingerprint, r.near_edited) for r in own.values()], "f string, g string, near double")
+    assert by.filter(F.abs(prints.likeness(prints.parsed(F.col("f")), prints.parsed(F.col("g"))) - F.col("near")) > 1e-9).count() == 0
+
+
 def test_fingerprints_are_homomorphic(spark):
     from pyspark.sql import functions as F
 
@@ -376,6 +404,8 @@ def test_fingerprints_are_homomorphic(spark):
         prints.digest(prints.removed(F.col("3"), F.col("2"))).alias("less"), prints.digest(F.col("1")).alias("first"),
     ).first()
     assert row.both == row.whole and row.less == row["first"]
+    again = v.select(prints.digest(F.col("v")).alias("f")).select("f", prints.digest(prints.parsed(F.col("f"))).alias("g")).collect()
+    assert all(r.f == r.g for r in again)
 
 
 def test_licences_match_sql(spark, tmp_path):
