@@ -1,25 +1,29 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-Three transducers are compiled from a model file: the normaliser (spaces to the
-space mark, a mark in front), the lexicon (a trie of pieces, closed, whose arcs end
-in a piece's id) and the byte fallback (a character that no piece begins with to the
-ids of its bytes). An input is a chain of characters; composed with the three it is
-a path graph whose arcs are pieces, and its encoding is that graph's shortest path in
-the tropical semiring.
+Three transducers (:class:`Fst`) are compiled from a model file: the normaliser (spaces to the
+space mark, a mark in front, runs of spaces to one if the model says so), the lexicon (a
+trie of pieces, closed, whose final states give a piece's id) and the byte fallback (a
+character that no piece is to the ids of its bytes). An input is a chain of characters.
+Composed with the normaliser it is another chain; composed with the closure of lexicon and
+fallback it is a path graph whose arcs are pieces (:meth:`Encoder.arcs`), and its encoding
+is that graph's shortest path in the tropical semiring (:meth:`Encoder.shortest`).
 
 A unigram model's arcs weigh what its scores say. A merge model (BPE) orders merges, and
-no weight of single pieces gives its encodings. Its graph has a state for each arc:
-going on from one piece to the next weighs nothing if merging the characters of both
-leaves just these two pieces, and infinity otherwise. The merge encoding is the one
-path without an infinite step, as merges of a whole text do in each pair of
+no weight of single pieces gives its encodings. Its graph has a state for each place and the
+piece that ends there: going on from one piece to the next weighs nothing if merging the
+characters of both leaves just these two pieces, and infinity otherwise. The merge encoding is
+the one path of finite weight, as merges of a whole text do in each pair of
 neighbours what they do in the pair alone.
 
-Pieces have no space mark behind another character, so a text is encoded word by word,
-each distinct word of a step once.
+If no piece has a space mark behind another character, no arc crosses the beginning of a
+word; then a text is composed word by word, each distinct word once as long as it is
+remembered, and a very long text costs what its words cost. A normaliser with a table of
+character maps is refused: no such model is at hand to test one with.
 
 Defined cases: a null or empty text has no id and decodes to the empty text; repeated
-rows encode alike; a model without byte pieces gives its unknown id, which decodes to
-U+2047; other columns take no part.
+rows encode alike; a model
+without byte pieces gives its unknown id, which decodes to U+2047; other columns take no
+part, and a column of the name that is added is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prepare, steps, table
+from ._common import free, prepare, steps, table
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a Python worker remembers, at most.
@@ -111,31 +116,96 @@ class Model:
         self.byte_of = {k: b for b, k in self.bytes.items()}
 
 
-class Transducer:
+#: Any character without an arc of its own; and, at the end of an output, the character that was read.
+OTHER, SELF = "", "\0"
+
+
+@dataclass
+class Fst:
+    """A transducer of characters: ``arcs[state][character]`` is (next state, output).
+
+    ``final[state]``: an output (a piece's id) and its weight.
+    """
+
+    arcs: list[dict[str, tuple[int, str]]]
+    final: dict[int, tuple[int, float]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        # a state that nothing leaves maps what is left of a text at once
+        self.loops = [
+            [(c, out) for c, (_, out) in arcs.items() if c] if arcs.get(OTHER) == (k, SELF) and all(to == k and c not in out for a in [arcs] for c in a if c for to, out in a.values()) else None
+            for k, arcs in enumerate(self.arcs)
+        ]
+
+    def applied(self, text: str) -> str:
+        """The output of composing a text with the transducer, where one path only is possible."""
+        state, out = 0, []
+        for at, c in enumerate(text):
+            if self.loops[state] is not None:
+                rest = text[at:]
+                for read, made in self.loops[state]:
+                    rest = rest.replace(read, made)
+                out.append(rest)
+                break
+            arcs = self.arcs[state]
+            if c in arcs:
+                state, made = arcs[c]
+                out.append(made)
+            else:
+                state, made = arcs[OTHER]
+                out.append(made[:-1] + c)
+        return "".join(out)
+
+
+def normaliser(model: Model) -> Fst:
+    """States: nothing read, inside, and a gap that becomes a mark if something follows."""
+    front = MARK if model.front else ""
+    if model.collapse:
+        return Fst([{" ": (0, ""), OTHER: (1, front + SELF)}, {" ": (2, ""), OTHER: (1, SELF)}, {" ": (2, ""), OTHER: (1, MARK + SELF)}])
+    return Fst([{" ": (1, front + MARK), OTHER: (1, front + SELF)}, {" ": (1, MARK), OTHER: (1, SELF)}])
+
+
+def lexicon(pieces: dict[str, int], scores: list[float]) -> Fst:
+    """The trie of pieces; back from a final state to the first is its closure."""
+    arcs: list[dict] = [{}]
+    final = {}
+    for piece, k in pieces.items():
+        state = 0
+        for c in piece:
+            if c not in arcs[state]:
+                arcs.append({})
+                arcs[state][c] = (len(arcs) - 1, "")
+            state = arcs[state][c][0]
+        final[state] = (k, -scores[k])
+    return Fst(arcs, final)
+
+
+class Encoder:
     """Normaliser, lexicon and byte fallback of a model, and their composition with an input."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.trie: dict = {}
         self.known = frozenset(model.ids.values())
         self.beyond = 10.0 - min(model.scores, default=0.0)  # more than any piece weighs
         self.outputs = [
             bytes([model.byte_of[k]]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else b"" if kind == CONTROL else piece.encode()
             for k, (piece, kind) in enumerate(zip(model.pieces, model.kinds, strict=True))
         ]
-        for piece, k in model.ids.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = k
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        pieces = dict(model.ids)
         if model.merges:
-            self._order()
-
-    def _order(self) -> None:
-        """Each piece's place in the order of merges and the two pieces it is merged from; pieces that merging never makes go."""
-        model = self.model
+            for piece in self._order():
+                del pieces[piece]
+        self.normaliser, self.lexicon = normaliser(model), lexicon(pieces, model.scores)
+        self.next = [{c: to for c, (to, _) in arcs.items()} for arcs in self.lexicon.arcs]
+        self.final = [self.lexicon.final.get(k) for k in range(len(self.next))]
+        self.done = [f[0] if f else -1 for f in self.final]
+        self.cut = not any(MARK in p.lstrip(MARK) for p in pieces)
+
+    def _order(self) -> list[str]:
+        """Each piece's place in the order of merges and the two pieces it is merged from; returns the pieces that merging never makes."""
+        model, never = self.model, []
         self.place = [0] * len(model.pieces)
         self.halves: list[tuple[int, int] | None] = [None] * len(model.pieces)
         scores = sorted({-model.scores[k] for k in model.ids.values()})
@@ -147,30 +217,32 @@ class Transducer:
                 if len(parts) == 2 and all(x in model.ids for x in parts):
                     self.halves[k] = (model.ids[parts[0]], model.ids[parts[1]])
                 else:
-                    node = self.trie
-                    for c in model.pieces[k]:
-                        node = node[c]
-                    del node[""]
+                    never.append(model.pieces[k])
+        return never
 
     def normalised(self, text: str) -> str:
-        """The normaliser's output: marks for spaces and one in front."""
-        if self.model.collapse:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARK if self.model.front else "") + text.replace(" ", MARK)
-
-    def arcs(self, word: str, at: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
-        """Arcs of the composition from a place: where they end, their ids and weight."""
-        node, end, found = self.trie, at, False
-        while end < len(word) and (node := node.get(word[end])) is not None:
-            end += 1
-            if (k := node.get("")) is not None:
+        """The text composed with the normaliser."""
+        return self.normaliser.applied(text)
+
+    def fallback(self, c: str) -> tuple[int, ...]:
+        """The byte fallback's arc for a character: the ids of its bytes."""
+        return tuple(self.model.bytes.get(b, self.model.unknown) for b in c.encode("utf-8", "replace"))
+
+    def arcs(self, word: str, at: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """Arcs that leave a place of the composed graph: where they end, their ids and weight."""
+        state, end, found, size, out = 0, at, False, len(word), []
+        following, final = self.next, self.final
+        while end < size:
+            to = following[state].get(word[end])
+            if to is None:
+                break
+            state, end = to, end + 1
+            if (done := final[state]) is not None:
                 found = found or end == at + 1
-                yield end, (k,), -self.model.scores[k]
+                out.append((end, (done[0],), done[1]))
         if not found:  # no piece is this character
-            ids = tuple(self.model.bytes.get(b, self.model.unknown) for b in word[at].encode("utf-8", "replace"))
-            yield at + 1, ids, self.beyond
+            out.append((at + 1, self.fallback(word[at]), self.beyond))
+        return out
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """What merging leaves of some characters, or the last ``least`` pieces: the best score first, the leftmost of equals."""
@@ -217,54 +289,52 @@ class Transducer:
         self.pairs[key] = known
         return known
 
-    def only(self, word: str) -> list[int]:
-        """Ids along the path without an infinite step, of a merge model.
-
-        As all other weights are zero, depth-first search finds it, the longest piece
-        first. What ends at a place is one and the same piece on every such path, so
-        a place from which nothing goes on is not entered again.
-        """
-        n, pairs, goes, known = len(word), self.pairs, self.goes, self.known
-        dead, options = [False] * (n + 1), [None] * (n + 1)
-        path: list[tuple[int, int, tuple[int, ...]]] = []
-        at = nth = 0
-        last = -1  # the piece before; none at the start and behind bytes
-        while at < n:
-            arcs = options[at]
-            if arcs is None:
-                arcs = options[at] = [(end, ids) for end, ids, _ in self.arcs(word, at)][::-1]
-            for k in range(nth, len(arcs)):
-                end, ids = arcs[k]
-                if dead[end]:
-                    continue
-                b = ids[0]
-                if last < 0 or len(ids) > 1 or b not in known:
-                    break
-                ok = pairs.get(last << 20 | b)
-                if goes(last, b) if ok is None else ok:
-                    break
-            else:
-                dead[at] = True
-                at, nth, _ = path.pop()
-                nth += 1
-                before = path[-1][2] if path else ()
-                last = before[0] if len(before) == 1 and before[0] in known else -1
-                continue
-            path.append((at, k, ids))
-            at, nth = end, 0
-            last = b if len(ids) == 1 and b in known else -1
-        return [i for _, _, ids in path for i in ids]
+    def step(self, a: int, ids: tuple[int, ...]) -> float:
+        """What going on from piece ``a`` (-1: bytes, or the start) to an arc weighs besides the arc itself."""
+        if not self.model.merges or a < 0 or ids[0] not in self.known or self.goes(a, ids[0]):
+            return 0.0
+        return math.inf
 
     def shortest(self, word: str) -> list[int]:
-        """Ids along the shortest path of the graph of ``word``."""
-        if self.model.merges:
-            return self.only(word)
+        """Ids along the shortest path of the graph of ``word``, by tropical weights.
+
+        A unigram model's places are settled from left to right. A merge model's finite weights
+        are all zero: Dijkstra's queue is one bucket then, and which of equals comes first is
+        free, so it is the longest arc of the place reached last. On every path of finite
+        weight one and the same piece ends at a place, so a place is settled once.
+        """
         n = len(word)
-        best, back = [0.0] + [math.inf] * n, [(0, ())] * (n + 1)
-        for at in range(n):
-            for end, ids, weight in self.arcs(word, at):
-                if best[at] + weight < best[end]:
-                    best[end], back[end] = best[at] + weight, (at, ids)
+        back: list[tuple[int, tuple[int, ...]] | None] = [None] * (n + 1)
+        if self.model.merges:
+            goes, pairs, following, done = self.goes, self.pairs, self.next, self.done
+            bucket, at, last = [], 0, -1  # last: the piece that ends at the place, -1 at the start and behind bytes
+            while at < n:
+                # the arcs that leave the place (see :meth:`arcs`), the longest on top
+                state, end, found = 0, at, False
+                while end < n and (state := following[state].get(word[end], -1)) >= 0:
+                    end += 1
+                    if (k := done[state]) >= 0:
+                        found = found or end == at + 1
+                        if back[end] is None:
+                            bucket.append((at, last, end, k))
+                if not found and back[at + 1] is None:
+                    bucket.append((at, last, at + 1, -1))
+                while True:
+                    at, last, end, k = bucket.pop()
+                    if back[end] is None:
+                        if k >= 0 and last >= 0:
+                            ok = pairs.get(last << 20 | k)
+                            if not (goes(last, k) if ok is None else ok):
+                                continue  # infinity
+                        back[end] = (at, (k,) if k >= 0 else self.fallback(word[at]))
+                        at, last = end, k
+                        break
+        else:
+            far = [0.0] + [math.inf] * n
+            for at in range(n):
+                for end, ids, weight in self.arcs(word, at):
+                    if far[at] + weight < far[end]:
+                        far[end], back[end] = far[at] + weight, (at, ids)
         out, at = [], n
         while at:
             at, ids = back[at]
@@ -275,7 +345,8 @@ class Transducer:
         """The ids of a text as 32-bit numbers on end."""
         words = self.words
         out = []
-        for word in _WORDS.findall(self.normalised(text)):
+        chain = self.normalised(text)
+        for word in _WORDS.findall(chain) if self.cut else [chain] if chain else []:
             ids = words.get(word)
             if ids is None:
                 if len(words) > REMEMBERED:
@@ -291,8 +362,8 @@ class Transducer:
 
 
 @lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    return Transducer(Model(path))
+def transducer(path: str) -> Encoder:
+    return Encoder(Model(path))
 
 
 def encoded(df: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -300,6 +371,7 @@ def encoded(df: DataFrame, path: str, text_col: str = "text", into: str = "ids")
     from pyspark.sql import types as T
 
     prepare(df.sparkSession)
+    free(df, into)
     place = df.columns.index(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
@@ -322,6 +394,7 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids", into: str = "text")
     from pyspark.sql import types as T
 
     prepare(df.sparkSession)
+    free(df, into)
     place = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

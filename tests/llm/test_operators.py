@@ -220,18 +220,41 @@ def test_sentencepiece_query(spark, table, corpus):
     assert rows[0].n_ids == 0
 
 
-def test_unigram_shortest_path():
+@pytest.mark.parametrize("merges", [True, False])
+def test_shortest_path_of_all(merges):
+    """The path taken is the lightest of all paths of the composed graph, enumerated; a merge model has one of finite weight."""
     model = pieces.Model(P.path("piece_bpe_32k.model"))
-    model.merges = False
-    t = pieces.Transducer(model)
-    word = "▁there"
+    model.merges = merges
+    t = pieces.Encoder(model)
+    rnd = random.Random(4)
+    words = ["▁there", "▁straße", "▁日x", "▁▁a", "ing", "▁thethe", *("".join(rnd.choice("▁aeinrst") for _ in range(rnd.randint(1, 8))) for _ in range(60))]
 
-    def best(at):
+    def paths(word, at, before):
         if at == len(word):
-            return 0.0
-        return min(w + best(end) for end, _, w in t.arcs(word, at))
+            yield 0.0, ()
+        for end, ids, w in t.arcs(word, at) if at < len(word) else ():
+            step = t.step(before, ids)
+            if step < math.inf:
+                for rest, more in paths(word, end, ids[0] if merges and len(ids) == 1 and ids[0] in t.known else -1):
+                    yield step + (0.0 if merges else w) + rest, (*ids, *more)
 
-    assert sum(-model.scores[i] for i in t.shortest(word)) == pytest.approx(best(0))
+    for word in words:
+        every = list(paths(word, 0, -1))
+        best = min(w for w, _ in every)
+        assert tuple(t.shortest(word)) in [p for w, p in every if w <= best + 1e-9]
+        assert not merges or len(every) == 1
+
+
+def test_normaliser_is_a_transducer():
+    model = pieces.Model(P.path("piece_bpe_32k.model"))
+    texts = ["", " ", "a", " a", "a  b ", "  a  b  c ", "\na b", "a\tb  "]
+    for front in (True, False):
+        for collapse in (True, False):
+            model.front, model.collapse = front, collapse
+            for text in texts:
+                plain = re.sub(" +", " ", text).strip(" ") if collapse else text
+                due = ("▁" if front and plain else "") + plain.replace(" ", "▁")
+                assert pieces.normaliser(model).applied(text) == due, (front, collapse, text)
 
 
 def test_language_accuracy_and_cases(spark, tmp_path):
