@@ -14,8 +14,11 @@ used, so it is the same network for every table. :data:`TRAINING_PAGES` bounds t
 training. Every block of every page is classified.
 
 Defined cases: a null or empty page has empty text; what cannot be read as a tag is
-text; unclosed tags close with their parents; a page of one block is classified like
-any other; repeated rows give equal rows; other columns take no part.
+text; unclosed tags close with their parents, a head that is not closed with the first element
+that it may not hold; formulas and drawings stand in a line of text; a page of one block is
+classified like any other; a very long page is read once, in time that grows with its length;
+repeated rows give equal rows; other columns take no part, and columns named ``text`` or
+``n_chars`` are an error.
 """
 
 from __future__ import annotations
@@ -33,31 +36,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import prepare, table
+from ._common import free, prepare, table
 from ._words import prefix_sums, span_hash, spans
 
 PATH_SLOTS, WORD_SLOTS, NUMBERS = 96, 32, 8
 WIDTH = PATH_SLOTS + WORD_SLOTS + NUMBERS
 HIDDEN = 16
-TRAINING_PAGES, EPOCHS = 300, 5
+TRAINING_PAGES, EPOCHS = 800, 7
 #: Blocks of pages that are labelled together, at most.
 TOGETHER = 1 << 15
 
-# Elements that stand in a line of text, that hold no text of a page, and that never close.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN_TEXT = frozenset("script style noscript template svg math canvas iframe object head title select option textarea button".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that stand in a line of text.
+INLINE = frozenset(
+    (
+        "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "math", "q", "rp", "rt", "ruby",
+        "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var", "wbr",
+    )
+)
+# Elements that hold no text of a page.
+HIDDEN_TEXT = frozenset(("script", "style", "noscript", "template", "canvas", "iframe", "object", "head", "title", "select", "option", "textarea", "button", "desc", "metadata", "annotation", "annotation-xml"))
+# Elements that never close.
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements that an opening block element of the same kind closes.
-SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
-
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|[^<]+|<",
-    re.S,
-)
+SELF_CLOSING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
+#: Elements that a head may hold; any other closes it.
+OF_HEAD = frozenset(("title", "meta", "link", "script", "style", "noscript", "template", "base", "object"))
+#: Drawings and formulas: what stands in them is in a line, whatever the elements are called.
+DRAWN = frozenset(("math", "svg"))
+
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG_END = re.compile(r"[>\"']")
+
+
+class Pieces:
+    """A page's tags and runs of text, each character looked at a bounded number of times.
+
+    What is behind the last ``>`` or quote of a page is found once, so tags and values that
+    never end are not searched for again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ('>', '"', "'", "-->", "]]>")}
+
+    def _found(self, what: str, at: int) -> int:
+        return self.page.find(what, at) if self.last[what] >= at else -1
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag; quoted values may hold others. -1 if there is none."""
+        if self.last[">"] < at:
+            return -1
+        start = at
+        while (m := _TAG_END.search(self.page, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            # a quote opens a value behind an equals sign only, and only if it closes
+            close = self._found(m[0], m.end()) if self.page[start : m.start()].rstrip()[-1:] == "=" else -1
+            at = start = close + 1 if close >= 0 else m.end()
+        return self._found(">", start)
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, int]]:
+        """(tag or "", text or attributes, whether it closes, where it ends)."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            if page[at] != "<":
+                end = page.find("<", at)
+                end = size if end < 0 else end
+                at = yield "", page[at:end], False, end
+                continue
+            if page.startswith("<!--", at):
+                end = self._found("-->", at + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if page.startswith("<![CDATA[", at):
+                end = self._found("]]>", at + 9)
+                at = size if end < 0 else end + 3
+                continue
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = self._found(">", at)
+                at = size if end < 0 else end + 1
+                continue
+            m = _TAG.match(page, at)
+            end = self._tag_end(m.end()) if m else -1
+            if end < 0:
+                at = yield "", "<", False, at + 1
+            else:
+                at = yield m[1].lower(), page[m.end() : end], page[at + 1] == "/", end + 1
+
+
 _NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ATTRIBUTE_WORD = re.compile(r"[a-z]+")
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title")}
 _UNSEEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v \u0085  -     　]+")
 
@@ -76,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, and its attributes' words
     text: list[str] = []
-    state = {"links": 0, "linked": 0, "skip": 0}
+    state = {"links": 0, "linked": 0, "skip": 0, "drawn": 0}
 
     def close_block() -> None:
         if text:
@@ -89,67 +158,73 @@ def blocks_of(page: str) -> list[Block]:
 
     def pop(to: int) -> None:
         for tag, _ in stack[to:]:
-            if tag in HIDDEN_TEXT:
-                state["skip"] -= 1
-            if tag == "a":
-                state["links"] -= 1
+            state["skip"] -= tag in HIDDEN_TEXT
+            state["links"] -= tag == "a"
+            state["drawn"] -= tag in DRAWN
         del stack[to:]
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _PIECE.match(page, at)
-        if m is None:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece.startswith(("<!", "<?")):
-                continue
+    pieces = iter(Pieces(page))
+    found = next(pieces, None)
+    while found is not None:
+        tag, held, closes, at = found
+        if not tag:
             if not state["skip"]:
-                text.append(piece)
+                text.append(held)
                 if state["links"]:
-                    state["linked"] += len(piece)
-            continue
-        tag = tag.lower()
-        if m[1]:
+                    state["linked"] += len(held)
+        elif closes:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(t not in INLINE for t, _ in stack[k:]):
+                    if not state["drawn"] and any(t not in INLINE for t, _ in stack[k:]):
                         close_block()
                     pop(k)
                     break
-            continue
-        if tag not in INLINE:
-            close_block()
-        if tag in VOID:
-            continue
-        if tag in SELF_CLOSING:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if m[3].rstrip().endswith("/") and tag not in ("a", "p", "div"):
-            continue
-        named = ""
-        if m[3]:
-            named = " ".join(w for n in _NAMED.findall(m[3]) for w in _ATTRIBUTE_WORD.findall("".join(n).lower()))
-            if _UNSEEN.search(m[3]):
-                named += " hidden"
-        stack.append((tag, named))
-        if tag in HIDDEN_TEXT:
-            state["skip"] += 1
-            if tag in ("script", "style", "textarea", "title"):  # raw text up to its own end
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.start() if end else size
-        if tag == "a":
-            state["links"] += 1
+        else:
+            at = _opened(tag, held, at, page, stack, state, close_block, pop)
+        try:
+            found = pieces.send(at)
+        except StopIteration:
+            found = None
     close_block()
     return out
 
 
+def _opened(tag: str, held: str, at: int, page: str, stack: list, state: dict, close_block, pop) -> int:
+    """What an opening tag with attributes ``held`` does; returns where reading goes on."""
+    if tag not in OF_HEAD and tag != "head":
+        for k, (t, _) in enumerate(stack):
+            if t == "head":
+                pop(k)
+                break
+    inline = tag in INLINE or state["drawn"] > 0
+    if not inline:
+        close_block()
+    if tag in VOID:
+        return at
+    if tag in SELF_CLOSING and not inline:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == tag:
+                pop(k)
+                break
+            if stack[k][0] not in INLINE:
+                break
+    if held.rstrip().endswith("/") and tag not in ("a", "p", "div"):
+        return at
+    named = ""
+    if held:
+        named = " ".join(w for n in _NAMED.findall(held) for w in _ATTRIBUTE_WORD.findall("".join(n).lower()))
+        if _UNSEEN.search(held):
+            named += " hidden"
+    stack.append((tag, named))
+    state["skip"] += tag in HIDDEN_TEXT
+    state["links"] += tag == "a"
+    state["drawn"] += tag in DRAWN
+    if tag in _RAW:  # raw text up to its own end
+        end = _RAW[tag].search(page, at)
+        return end.start() if end else len(page)
+    return at
+
+
 @lru_cache(maxsize=1 << 14)
 def _path_row(path: tuple[str, ...]) -> np.ndarray:
     row = np.zeros(PATH_SLOTS, np.float32)
@@ -314,14 +389,24 @@ def invented(rng: np.random.Generator) -> str:
         return " ".join(sentence() for _ in range(rng.integers(1, most)))
 
     def named(*names: str) -> str:
-        return f' {rng.choice(["class", "id"])}="{rng.choice(names)}"' if rng.random() < 0.8 else ""
+        kind = rng.random()
+        if kind < 0.2:
+            return ""
+        own = rng.choice(names) if kind < 0.9 else f"{word()}-{rng.choice(names)}"
+        return f' {rng.choice(["class", "id"])}="{own}"'
 
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
 
     mark = ""
 
+    def bar() -> str:
+        each = rng.choice([" ", " | ", ""]).join(f'<a href="/{word()}">{sentence(1, 3).rstrip(".,!?")}</a>' for _ in range(rng.integers(1, 6)))
+        return f'<{(t := rng.choice(["div", "header", "div"]))}{named("masthead", "topbar", "header", "toolbar", "logo", "site-header", "navigation")}>{rng.choice(["", f"<h1><a href=/>{word()}</a></h1>", word() + " "])}{each}</{t}>'
+
     def menu() -> str:
+        if rng.random() < 0.3:
+            return bar()
         tag = rng.choice(["nav", "div", "header", "ul"])
         name = "" if tag == "nav" and rng.random() < 0.5 else named("nav", "menu", "navbar", "main-menu", "site-nav", "breadcrumbs", "header")
         return f"<{tag}{name}><ul>{links(rng.integers(2, 9))}</ul></{tag}>"
@@ -340,17 +425,32 @@ def invented(rng: np.random.Generator) -> str:
         return f'<form{named("search", "login", "subscribe", "contact")}><label>{sentence(1, 4)}</label><input name="q"><p>{sentence()}</p><button>{word()}</button></form>'
 
     def comments() -> str:
-        each = "".join(f'<div class="comment"><b>{word()}</b><p>{prose(3)}</p></div>' for _ in range(rng.integers(1, 5)))
+        tag, name = rng.choice([("div", "comment"), ("div", "comment"), ("li", "reply"), ("div", "comment-body")])
+        each = "".join(f'<{tag} class="{name}"><b>{word()}</b><p>{prose(3)}</p></{tag}>' for _ in range(rng.integers(1, 5)))
         return f'<{(t := rng.choice(["section", "div"]))}{rng.choice([" class=" + chr(34), " id=" + chr(34)])}{rng.choice(["comments", "comment-list", "responses", "discussion"])}"><h3>{word()}</h3>{each}</{t}>'
 
     def footer() -> str:
         return f'<{(t := rng.choice(["footer", "footer", "div"]))}{named("footer", "site-footer", "copyright") if t == "div" or rng.random() < 0.4 else ""}>{rng.choice(["&copy; ", "", "© 2024 "])}{word()}.{word()} &middot; {sentence()}</{t}>'
 
+    def ending() -> str:
+        if rng.random() < 0.6:
+            return footer()
+        own = f'{rng.choice(["&copy; ", "© 2023 ", "Copyright "])}{sentence(1, 4)}'
+        more = " ".join(f'<a href="/{word()}">{word()}</a>' for _ in range(rng.integers(0, 5)))
+        t = rng.choice(["footer", "div"])
+        return f'<{t}{' class="' + str(rng.choice(["footer", "bottom", "legal", "colophon"])) + '"' if t == "div" else ""}>{rng.choice([own + " " + more, f"<p>{own}</p>{more}", f"<ul><li>{more}</li></ul><p>{own}</p>"])}</{t}>'
+
     def body() -> str:
-        out = [f"<h1>{mark}{sentence(2, 12)}</h1>"] if rng.random() < 0.8 else []
+        out = [f"<h{(k := rng.choice([1, 1, 1, 2]))}>{mark}{sentence(2, 12)}</h{k}>"] if rng.random() < 0.8 else []
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
-            if kind < 0.6:
+            if kind < 0.06:
+                out.append(f"<p>{mark}{word().capitalize()}{rng.choice(['.', ' ' + word() + '.', ''])}</p>")
+            elif kind < 0.1:  # the same line over and over
+                out += [f"<p>{mark}{sentence(1, 8)}</p>"] * int(rng.integers(2, 12))
+            elif kind < 0.13:
+                out.append(f"<p>{mark}{' '.join([word()] * int(rng.integers(20, 200)))}.<br>")
+            elif kind < 0.6:
                 out.append(f"<p>{mark}{prose()}</p>")
             elif kind < 0.7:
                 out.append(f"<p><b>{mark}{prose(3)}<br>{rng.choice([mark + prose(3), ''])}")
@@ -370,16 +470,22 @@ def invented(rng: np.random.Generator) -> str:
                 out.append(f"<pre>{mark}{prose(2)}</pre>")
         return "".join(out)
 
-    holder = rng.choice(["article", "article", "main", "div"])
-    name = named("content", "post", "article", "entry-content", "story", "main-content") if holder == "div" or rng.random() < 0.3 else ""
-    if holder == "div" and not name:
+    holder = rng.choice(["article", "article", "main", "div", "div", "section"])
+    name = named("content", "post", "article", "entry-content", "story", "main-content", "story-body", "article-text", "entry", "post-body") if holder in ("div", "section") or rng.random() < 0.3 else ""
+    if holder == "div" and not name and rng.random() < 0.7:
         name = ' class="content"'
-    before = [f() for f in rng.permutation([menu, advert, notice, sidebar, form])[: rng.integers(0, 4)]]
+    before = [f() for f in rng.permutation([menu, bar, advert, notice, sidebar, form])[: rng.integers(0, 4)]]
     after = [f() for f in rng.permutation([advert, notice, sidebar, form, comments, menu])[: rng.integers(0, 4)]]
     head = f"<header><h2>{word()}</h2><p>{sentence()}</p></header>" if rng.random() < 0.2 else ""
     inside = comments() if rng.random() < 0.15 else ""
-    end = footer() if rng.random() < 0.85 else ""
-    return f"<html><head><title>{sentence()}</title></head><body>{head}{''.join(before)}<{holder}{name}>{body()}{inside}</{holder}>{''.join(after)}{end}</body></html>"
+    end = ending() if rng.random() < 0.85 else ""
+    text = f"<{holder}{name}>{body()}{inside}</{holder}>"
+    if rng.random() < 0.3:
+        text = f'<{(t := rng.choice(["main", "div", "section"]))}{named("main", "column", "primary", "row", "content-area")}>{text}</{t}>'
+    whole = f"{head}{''.join(before)}{text}{''.join(after)}{end}"
+    if rng.random() < 0.4:
+        whole = f'<div{named("wrapper", "page", "container", "site", "root", "layout")}>{whole}</div>'
+    return f"<html><head><title>{sentence()}</title></head><body>{whole}</body></html>"
 
 
 def examples(pages: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -435,6 +541,7 @@ def extracted(df: DataFrame, net: Labeller, html_col: str = "html") -> DataFrame
     """``df`` without its pages' source, with ``text`` and ``n_chars``."""
     prepare(df.sparkSession)
     keep = [c for c in df.columns if c != html_col]
+    free(df.select(*keep), "text", "n_chars")
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -512,6 +512,44 @@ def test_html_blocks_and_training():
     assert np.mean(np.concatenate([m == t for m, (_, t) in zip(marks, held, strict=True)])) > 0.97
 
 
+def test_html_reads_in_linear_time():
+    """Tags, quotes and comments that never end are looked for once."""
+    import time
+
+    for piece in ("<b ", "<a href=\"", "<a x='", "<!-- ", "<", "&amp", "<p><b>", "<a b=\"'", "</p"):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            pages.blocks_of('x" y> ' + piece * n + "'")
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.5, (piece, took)
+
+
+def test_html_cases():
+    texts = lambda page: [b.text for b in pages.blocks_of(page)]
+    assert texts("<html><head><title>t</title><meta x><body><p>no head end</p></body></html>") == ["no head end"]
+    assert texts("<head><title>t</title><style>s</style><div>open head</div>") == ["open head"]
+    assert texts("<p>the area <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>x</annotation></math> is <svg><title>t</title><text>12 m</text></svg> wide") == ["the area a+b is 12 m wide"]
+    assert texts('<p title="a > b">one</p><p title=\'"\'>two<p x="un closed>three</p>') == ["one", "two", "three"]
+    assert texts("<![CDATA[gone]]><p>1 < 2 &lt; 3</p><!-- gone <p>gone</p> --><p>&#8364;&nbsp;5</p><script>if (a < b) '<p>'</script>") == ["1 < 2 < 3", "€ 5"]
+    assert texts("<P>A<BR/>B</P><hr><pre>x\n y</pre>") == ["A", "B", "x y"]
+
+
+def test_html_pages_of_other_layouts():
+    """Pages written by hand, in layouts that the training grammar does not make."""
+    prose = "The river rose by half a metre overnight, and the lower road was closed until noon. Nobody was hurt, the mayor said."
+    more = "Farmers had moved their cattle to the hill the day before. The water is expected to fall again by Friday."
+    layouts = [
+        f"<body><div id=wrapper><div id=masthead><a href=/>The Valley Post</a> <a href=/in>Sign in</a></div><div class=story-body><h1>River floods the lower road</h1><p>{prose}</p><p>{more}</p></div><div id=footer>© 2023 Valley Post. <a href=/t>Terms</a></div></div></body>",
+        f"<html><body><header><nav><a href=/a>Home</a><a href=/b>News</a></nav></header><main><section class=entry><h2>River floods the lower road</h2><p>{prose}<p>{more}</section></main><aside class=sidebar><h3>Related</h3><ul><li><a href=/1>Snow</a><li><a href=/2>Wind</a></ul></aside><footer><p>© Valley Post</p></footer></body></html>",
+        f"<body><ul class=menu><li><a href=/>Start</a></li><li><a href=/w>Weather</a></li></ul><article><h1>River floods the lower road</h1><p>{prose}</p><p>{more}</p></article><section id=comments><h3>Comments</h3><div class=comment><b>ann</b><p>Thank you for the news, stay safe.</p></div></section></body>",
+    ]
+    found = pages.extract(layouts, pages.trained())
+    for text in found:
+        assert prose in text and more in text and "River floods the lower road" in text
+        assert not any(x in text for x in ("Sign in", "Terms", "Related", "Snow", "Valley Post", "Weather", "Thank you"))
+
+
 def test_html_gradients():
     rng = np.random.default_rng(0)
     net = pages.Labeller(3)
