@@ -18,7 +18,9 @@ rows. Every word of every whole text is scored.
 Defined cases: a null or empty text, or one without a word, has no ratio and gets
 the curve's value for zero words; with labels of one class only, every score is
 0.0 (none toxic) or 1.0 (none ordinary); a null id or label teaches nothing but is
-scored; repeated rows score alike; other columns take no part.
+scored; of labels of one id that differ, toxic counts; repeated rows score alike; words and
+texts may be of any length; other columns take no part, and a column of the name that is
+added is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, prepare, steps, table, utf8
+from ._common import crc_bucket, free, prepare, steps, table, utf8
 from ._words import distinct, prefix_sums, ranges, span_hash, spans
 
 U = np.uint64
@@ -45,8 +47,8 @@ SHARES = (0.01, 0.05)
 #: How many of a text's strongest words are averaged.
 TOP = 10
 THRESHOLD = 0.7
-#: A word's bytes beyond these are scored as a word of their own.
-LONGEST = 48
+#: Bytes of labelled text that one task counts, at most, where there are more of them than tasks at once.
+TASK_BYTES = 1 << 28
 
 KINDS = [f"n{k}" for k in range(4)]
 _WORD = np.zeros(256, bool)
@@ -61,9 +63,9 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The distinct words of some texts as rows of bytes, and which of them each text has, in order."""
+    """The distinct words of some texts on end, and which of them each text has, in order."""
 
-    letters: np.ndarray  # (words, width) bytes, the first column is the start mark 1, zero beyond the end
+    letters: np.ndarray  # of each word ORDER zeros, the start mark 1, its bytes, and a zero for its end
     length: np.ndarray
     code: np.ndarray
     text: np.ndarray
@@ -71,20 +73,14 @@ class Words:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     start, end, text = spans(_WORD, data, offsets)
-    if len(start) and (end - start).max() > LONGEST:
-        pieces = -(-(end - start) // LONGEST)
-        which = np.repeat(np.arange(len(start)), pieces)
-        k = ranges(np.zeros(len(start), np.int64), pieces)
-        start, end, text = start[which] + k * LONGEST, np.minimum(end[which], start[which] + (k + 1) * LONGEST), text[which]
     if not len(start):
-        return Words(np.zeros((0, 2), np.uint8), np.zeros(0, np.int64), start, text)
+        return Words(np.zeros(0, np.uint8), np.zeros(0, np.int64), start, text)
     code, first = distinct(span_hash(prefix_sums(data), start, end))
     begin, length = start[first], (end - start)[first]
-    width = int(length.max())
-    at = begin[:, None] + np.arange(width)
-    letters = np.zeros((len(first), width + 2), np.uint8)
-    letters[:, 0] = 1
-    letters[:, 1:-1] = np.where(np.arange(width) < length[:, None], data[np.minimum(at, len(data) - 1)], 0)
+    at = np.cumsum(length + ORDER + 2) - (length + ORDER + 2)
+    letters = np.zeros(int((length + ORDER + 2).sum()), np.uint8)
+    letters[at + ORDER] = 1
+    letters[ranges(at + ORDER + 1, length)] = data[ranges(begin, length)]
     return Words(letters, length, code, text)
 
 
@@ -95,14 +91,12 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     before the start mark stand zeros, so the highest order sees the whole beginning
     of a word. The last bytes are the grams of the lower orders.
     """
-    n, width = words.letters.shape
-    row, column = np.nonzero(np.arange(1, width) <= (words.length[:, None] + 1))
-    letters = np.concatenate([np.zeros((n, ORDER), np.uint8), words.letters], axis=1).ravel()
-    at = row * (width + ORDER) + column + 1 + ORDER
-    gram = np.zeros(len(row), U)
+    size = words.length + ORDER + 2
+    at = ranges(np.cumsum(size) - size + ORDER + 1, words.length + 1)
+    gram = np.zeros(len(at), U)
     for k in reversed(range(ORDER)):
-        gram = gram << U(8) | letters[at - k].astype(U)
-    return row, gram
+        gram = gram << U(8) | words.letters[at - k].astype(U)
+    return np.repeat(np.arange(len(size)), words.length + 1), gram
 
 
 def _last(gram: np.ndarray, n: int) -> np.ndarray:
@@ -293,7 +287,8 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         if held:
             yield from _pieces(*summed(held))
 
-    wide = 2 * spark.sparkContext.defaultParallelism
+    per = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    wide = max(2 * spark.sparkContext.defaultParallelism, -(-sum(r["bytes"] or 0 for r in per) // TASK_BYTES))
     parts = rows.coalesce(wide).mapInArrow(count, "gram long, " + ", ".join(f"{n} long" for n in KINDS))
     found = parts.groupBy("gram").agg(*[F.sum(n).alias(n) for n in KINDS]).toArrow()  # grows with the distinct grams
     counts = Counts(found.column("gram").to_numpy().view(U), np.stack([found.column(n).to_numpy() for n in KINDS]))
@@ -314,8 +309,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
                     [pa.array(list(both), pa.list_(pa.float64())), batch.column("toxic").slice(lo, hi - lo)], names=["x", "toxic"]
                 )
 
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = min(1.0, CURVE_ROWS / max(1, sum(sizes.values())))
+    share = min(1.0, CURVE_ROWS / max(1, sum(r["n"] for r in per)))
     picked = rows.filter(F.col("h") < int(share * (1 << 20)))
     found = picked.coalesce(wide).mapInArrow(example, "x array<double>, toxic int").collect()
     y = np.array([r["toxic"] == 1 for r in found], float)
@@ -331,6 +325,7 @@ def scored(df: DataFrame, model: Model, curve, text_col: str = "text", into: str
 
     spark = df.sparkSession
     prepare(spark)
+    free(df, into)
     place = df.columns.index(text_col)
     shared = spark.sparkContext.broadcast((model, curve))  # grows with the distinct grams
 
@@ -347,7 +342,7 @@ def scored(df: DataFrame, model: Model, curve, text_col: str = "text", into: str
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with their labels, without the rows that are held out."""
-    known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["doc_id"])
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return docs.select("doc_id", "text").filter(crc_bucket("doc_id", 3) != 1).join(known.hint("merge"), "doc_id")  # labels grow with the texts
 
 
