@@ -8,6 +8,14 @@ frequent ones only in pairs. Two sets that share no rare shingle share k frequen
 ones, so they share a pair; two that share a rare one are counted up, and must
 reach k together with what frequent shingles they can share at most.
 
+All pairs of a long text's frequent shingles would be too many. Of similar sets of n and more
+shingles no more than ``d = (1 - t) n / t`` are not common, and each of them parts one pair of neighbours in the
+common order. So among the first d + 2 common shingles two stand next to each other in
+both, and they are within the first ``d + 2 + n - ceil(t n)`` of each: long sets are indexed by
+the pairs of neighbours of that longer prefix, whose number grows with n. Sizes of similar sets
+differ by one class of sizes at most; the first class of long sets has both kinds of keys,
+so no link between short and long is lost.
+
 Keys of few classes give pairs of classes; keys of many are linked in a chain to one
 of them. Candidates connected so are one cluster, and each cluster is verified
 exactly: the sets come together in one cell, or, of a large cluster, in a cell for
@@ -20,7 +28,7 @@ whose size is bounded; whatever it is, no link is lost.
 Defined cases: a null or empty text, or one of white space alone, has no shingle and
 no link; a text of fewer words than a shingle is one shingle; repeated rows are one
 class; rows of one id are one node, a null id is a component of null unless its
-class holds another id; other columns take no part.
+class holds another id; a very long text is one step of its own; other columns take no part.
 """
 
 from __future__ import annotations
@@ -41,6 +49,10 @@ from ._words import mix, prefix_sums, span_hash, spans
 U = np.uint64
 #: Keys of at most so many classes give all pairs.
 FEW = 128
+#: Shingles from which on a set is long.
+LONG = 1000
+#: Index keys that are sent on together.
+SENT = 1 << 18
 #: Classes in a block of a large cluster.
 BLOCK = 1024
 #: Bytes that one matrix of a cell takes.
@@ -67,6 +79,20 @@ class Similarity:
         k = np.minimum(2 + n // 50, overlap)
         return n - overlap + k, k
 
+    def size_class(self, n: np.ndarray) -> np.ndarray:
+        """Classes of sizes; those of similar sets differ by one at most."""
+        return np.floor(np.log(np.maximum(n, 1)) / math.log(self.under / self.over) + 1e-9).astype(np.int64)
+
+    def long(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which sets have pairs of neighbours as keys, and which of these are of the first class, with both kinds."""
+        first = self.size_class(np.array([LONG]))[0]
+        at = self.size_class(n)
+        return at >= first, at == first
+
+    def neighbours(self, n: np.ndarray) -> np.ndarray:
+        """How many shingles the longer prefix has whose neighbours are paired."""
+        return np.minimum(n, (self.under - self.over) * n // self.over + 2 + n - -(-self.over * n // self.under))
+
     def shared(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """How many shingles of both prefixes two similar sets have in common at least.
 
@@ -187,6 +213,7 @@ def prefixes(df: DataFrame, s: Similarity, frequent: Frequent) -> DataFrame:
                 order = np.lexsort((value, often, who))
                 place = np.arange(len(value)) - first[who]
                 size, _ = s.prefix(n)
+                size = np.where(s.long(n)[0], np.maximum(size, s.neighbours(n)), size)
                 take = place < size[who]
                 held = order[take[np.arange(len(order))]]
                 h_who, h_often, h_value = who[held], often[held], value[held]
@@ -211,28 +238,46 @@ def keys(classes: DataFrame, s: Similarity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-            _, k = s.prefix(n)
-            out, whose, free = [], [], np.zeros(len(n), np.int64)
+            p, k = s.prefix(n)
+            long, both = s.long(n)
+            out, whose, sent = [], [], 0
+            # what two sets may share uncounted: of a long set all
+            free = np.where(long, n, 0)
+
+            def gathered() -> pa.RecordBatch:
+                who = np.concatenate(whose)
+                held = [pa.array(np.concatenate(out).view(np.int64)), pa.array(node[who]), pa.array((n << 32 | free)[who])]
+                out.clear()
+                whose.clear()
+                return pa.RecordBatch.from_arrays(held, names=["key", "node", "size"])
+
             for i, (rare, often) in enumerate(zip(batch.column("rare").to_pylist(), batch.column("often").to_pylist(), strict=True)):
                 a, b = np.frombuffer(rare, U), np.frombuffer(often, U)
-                free[i] = len(b)
-                found = [a]
-                if len(b) >= k[i]:  # what shares no rare shingle shares k of these, so two of the first f - k + 2
-                    few = b[: max(len(b) - int(k[i]) + 2, 0)] if k[i] >= 2 else b
-                    if k[i] < 2:
-                        found.append(mix(few))
-                    else:
-                        x, y = np.triu_indices(len(few), 1)
-                        found.append(mix(few[x] * U(0x9E3779B97F4A7C15) + few[y]))
+                found = []
+                if long[i]:
+                    chain = np.concatenate([a, b])
+                    found.append(mix(chain[:-1] * U(0x9E3779B97F4A7C15) + mix(chain[1:] + U(7))))
+                    a, b = a[: p[i]], b[: max(0, int(p[i]) - len(a))]
+                if not long[i] or both[i]:
+                    if not long[i]:
+                        free[i] = len(b)
+                    found.append(a)
+                    if len(b) >= k[i]:  # what shares no rare shingle shares k of these, so two of the first f - k + 2
+                        few = b[: max(len(b) - int(k[i]) + 2, 0)] if k[i] >= 2 else b
+                        if k[i] < 2:
+                            found.append(mix(few))
+                        else:
+                            x, y = np.triu_indices(len(few), 1)
+                            found.append(mix(few[x] * U(0x9E3779B97F4A7C15) + few[y]))
                 whole = np.concatenate(found)
                 out.append(whole)
                 whose.append(np.full(len(whole), i))
+                sent += len(whole)
+                if sent >= SENT:
+                    yield gathered()
+                    sent = 0
             if out:
-                who = np.concatenate(whose)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(node[who]), pa.array((n << 32 | free)[who])],
-                    names=["key", "node", "size"],
-                )
+                yield gathered()
 
     return classes.select("node", "n", "rare", "often").mapInArrow(run, "key long, node long, size long")
 

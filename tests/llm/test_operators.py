@@ -99,8 +99,9 @@ def components(rows, over, words):
     return [(d, len(sets[k]), find(d)) for k, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("over,words,few,block", [(90, 3, 64, 1024), (80, 5, 64, 1024), (90, 3, 4, 8)])
-def test_jaccard_components(spark, table, corpus, monkeypatch, over, words, few, block):
+@pytest.mark.parametrize("over,words,few,block,long", [(90, 3, 64, 1024, 1000), (80, 5, 64, 1024, 1000), (90, 3, 4, 8, 1000), (90, 3, 64, 1024, 120), (80, 5, 64, 1024, 60)])
+def test_jaccard_components(spark, table, corpus, monkeypatch, over, words, few, block, long):
+    monkeypatch.setattr(jaccard, "LONG", long)  # the last two send the larger sets through neighbours
     monkeypatch.setattr(jaccard, "FEW", few)  # the last case sends all through chains and several blocks
     monkeypatch.setattr(jaccard, "BLOCK", block)
     jaccard._pairs.cache_clear()
@@ -108,6 +109,32 @@ def test_jaccard_components(spark, table, corpus, monkeypatch, over, words, few,
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(components(corpus, over, words))
 
 
+def test_similar_long_sets_share_neighbours():
+    """Sets at the very threshold, what differs between them put where it parts the most, always share a key."""
+    for over in (90, 80):
+        s, rng = jaccard.Similarity(over, 100, 3), np.random.default_rng(over)
+        for n in (1000, 1111, 2503):
+            for share in (0.0, 0.5, 1.0):
+                union = np.arange(1, int(n / (over / 100)) + 1, dtype=np.uint64)
+                spare = len(union) - -(-over * len(union) // 100)  # elements that are not common
+                for trial in range(8):
+                    odd = np.arange(0, 2 * spare, 2) + 1 if trial == 0 else rng.choice(len(union), spare, replace=False)
+                    mine = rng.random(spare) < share
+                    a, b = np.delete(union, odd[mine]), np.delete(union, odd[~mine])
+                    assert 100 * len(np.intersect1d(a, b)) >= over * len(union)
+                    assert abs(int(s.size_class(np.array([len(a)]))[0]) - int(s.size_class(np.array([len(b)]))[0])) <= 1
+                    p, q = (x[: int(s.neighbours(np.array([len(x)]))[0])] for x in (a, b))
+                    assert set(zip(p[:-1].tolist(), p[1:].tolist())) & set(zip(q[:-1].tolist(), q[1:].tolist()))
+
+
+def test_jaccard_keys_of_long_texts_grow_with_them(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, n, rng.integers(0, 2**63, 10).tobytes(), rng.integers(0, 2**63, int(0.21 * n)).tobytes()) for k, n in enumerate((2000, 20_000, 100_000))]
+    df = spark.createDataFrame(rows, "node long, n long, rare binary, often binary")
+    counts = {r.node: r["count"] for r in jaccard.keys(df, jaccard.Similarity(90, 100, 3)).groupBy("node").count().collect()}
+    assert all(counts[k] < 0.25 * n for k, n, *_ in rows)
+
+
 def test_suffix_array():
     rnd = random.Random(3)
     for _ in range(200):
@@ -363,6 +390,20 @@ def test_toxicity_counts_every_gram_by_itself(spark, monkeypatch):
     assert ratio[words.code] == pytest.approx([log(w, 1) - log(w, 0) for w in probes], abs=1e-3)
 
 
+def test_toxicity_of_long_words_and_clashing_labels(spark):
+    """A word of any length is one word; of labels that differ toxic counts; a clashing column is an error."""
+    words = toxicity.words_of(*toxicity.lowered(pa.array(["ab " + "x" * 100_000 + " ab", None, ""])))
+    assert sorted(words.length.tolist()) == [2, 100_000] and words.text.tolist() == [0, 0, 0]
+    row, gram = toxicity.grams(words)
+    assert len(row) == 100_004
+    docs = spark.createDataFrame([(k, f"alpha {k}") for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 0), (3, 1), (4, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
+    found = {r.doc_id: r.toxic for r in toxicity.labelled(docs, labels).collect()}
+    assert found.get(3, 1) == 1 and found.get(4, 0) == 0 and None not in found
+    with pytest.raises(ValueError):
+        toxicity.scored(docs.withColumnRenamed("doc_id", "_toxicity"), None, None)
+
+
 def test_toxicity_of_one_class(spark):
     rows = spark.createDataFrame([(1, "a b", 0), (2, "c", 0)], "doc_id long, text string, toxic int")
     model, curve = toxicity.learn(rows)
