@@ -1,19 +1,22 @@
 """Licence scans with a positional rare-token index, in DataFrame functions alone.
 
 Every template is a sequence of words. Its rare words, those of highest inverse
-document frequency over all texts, stand in the index with their places in the
-template. A text's words that are in the index are looked up with their places;
-each posting says where the template would begin, and a place is a candidate if
-enough of the template's rare words agree on it. A candidate counts if the
-template's mandatory phrases stand where they should; the base phrases are
+document frequency over all texts, stand in the index, an inverted list of postings
+(template, place in the template) for each word (:func:`postings`). A text's words that are in the index
+are looked up with their places; each posting says where its template would begin. The
+candidates of a text are sorted, and one on which as many postings agree as the
+template has rare words is a place where all of them stand as they should: the
+intersection of their postings by relative position. It counts if the
+template's mandatory phrases stand there too; the base phrases are
 mandatory as a whole, so they are found wherever they stand, and nowhere else.
 
-The words of a text are taken apart only if the text holds the letters of one of
-the rare words at all. Frequencies are counted over all texts, for the words of the
-templates alone, so what is collected is as large as the templates.
+The words of a text are taken apart only if the text holds the rarest word of a
+template at all. Frequencies are counted over all texts, for the words of the
+templates alone, so what is collected and the index in the plan are as large as the templates.
 
 Defined cases: a null text is empty; a text without words has no place, label or
-score; repeated rows are scanned alike; other columns take no part.
+score; a very long text is looked up like any other, in time that grows with its words and the
+postings they have; repeated rows are scanned alike; other columns take no part, and a column of the name that is added is an error.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import free, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -85,10 +88,22 @@ NOTICES = (
     notice("gnu [general public license version 3]", "gpl-3.0"),
     notice("[permission is hereby granted free of charge to any person] obtaining a copy of [this software]", "mit"),
     notice("[redistribution and use in source and binary forms] with or without modification are permitted", "bsd"),
+    notice("[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted", "isc"),
+    notice("[this software is provided as is without any express or implied warranty] in no event will the authors be held liable", "zlib"),
+    notice("[this is free and unencumbered software released into the public domain]", "unlicense"),
+    notice("[this source code form is subject to the terms of the mozilla public license] v 2 0", "mpl-2.0"),
+    notice("you may not use this file except in [compliance with the license] you may [obtain a copy of the license at]", "apache-2.0"),
+    notice("you can redistribute it and or modify it under the terms of the [gnu general public license as published by the free software foundation]", "gpl"),
+    notice("you can redistribute it and or modify it under the terms of the [gnu lesser general public license as published by the free software foundation]", "lgpl"),
+    notice("you can redistribute it and or modify it under the terms of the [gnu affero general public license as published by] the free software foundation", "agpl"),
+    notice("[neither the name of] the copyright holder [nor the names of its contributors may be used to endorse or promote products]", "bsd-3-clause"),
+    notice("[boost software license version 1 0]", "boost-1.0"),
+    notice("this program and the accompanying materials are made available [under the terms of the eclipse public license]", "epl"),
+    notice("[this work is licensed under a creative commons attribution]", "cc-by"),
 )
 TEMPLATES = BASE + NOTICES
 #: Rare words of a template that stand in the index, at most.
-RARE = 2
+RARE = 3
 
 
 def lowered(text: Column) -> Column:
@@ -115,60 +130,50 @@ def frequencies(df: DataFrame, templates: tuple[Template, ...], text_col: str =
     return df.count(), found
 
 
+def postings(templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """The index, (template, place) of each rare word, and how many rare words each template has; the rarest mandatory words are taken."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    sizes = []
+    for k, t in enumerate(templates):
+        must = [i for begin, length in t.mandatory for i in range(begin, begin + length)]
+        places = sorted(must, key=lambda i, t=t: (-idf[t.words[i]], t.words[i], i))[:RARE]
+        sizes.append(len(places))
+        for i in places:
+            index.setdefault(t.words[i], []).append((k, i))
+    return index, sizes
+
+
 def scanned(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text", into: str = "_scan") -> DataFrame:
-    """``df`` with an array ``into`` of struct(template int, start int, agreement double), in no set order."""
+    """``df`` with an array ``into`` of struct(template int, start int), by template and place."""
+    free(df, into, "_words", "_found")
     n, found = frequencies(df, templates, text_col)
     idf = {w: math.log((n + 1) / (found.get(w, 0) + 0.5)) for w in vocabulary(templates)}
-    rare: list[list[int]] = []  # places of each template's index words, the rarest first
-    for t in templates:
-        must = [i for begin, length in t.mandatory for i in range(begin, begin + length)]
-        rare.append(sorted(must, key=lambda i, t=t: (-idf[t.words[i]], t.words[i], i))[:RARE])
+    index, sizes = postings(templates, idf)
     # A text can hold a template only if it holds its rarest word: that is looked for before words are taken apart.
-    anchors = sorted({t.words[rare[k][0]] for k, t in enumerate(templates)})
+    rarest = sorted({max((w for w in index if any(p[0] == k for p in index[w])), key=lambda w: (idf[w], w)) for k in range(len(templates))})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    maybe = text.rlike(_any_word(anchors))
-    words = F.when(maybe, F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    known = F.array(*[F.lit(w) for w in sorted({t.words[i] for k, t in enumerate(templates) for i in rare[k]})])
-    hits = F.filter(
-        F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: F.array_contains(known, h["word"])
+    none = F.array().cast("array<struct<template:int,start:int>>")
+    words = F.when(text.rlike(_any_word(rarest)), F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    lists = ", ".join(f"'{w}', array({', '.join(f'struct({k} AS template, {i} AS place)' for k, i in index[w])})" for w in sorted(index))
+    held = F.expr(f"map({lists})")
+    known = F.array(*[F.lit(w) for w in sorted(index)])
+    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: F.array_contains(known, h["word"]))
+    begins = F.flatten(
+        F.transform(hits, lambda h: F.transform(F.try_element_at(held, h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["place"]).cast("int").alias("start"))))
     )
+    needed = F.array(*[F.lit(x) for x in sizes])
+    # sorted, postings that agree stand on end: the last of as many as needed tells
+    agreed = F.filter("_found", lambda c, i: (c["start"] >= 0) & (i + 1 >= F.get(needed, c["template"])) & (F.get("_found", i + 1 - F.get(needed, c["template"])) == c))
+    phrases = F.expr("array(" + ", ".join("array(" + ", ".join(f"struct({b} AS begin, array({', '.join(repr(w) for w in t.words[b : b + m])}) AS words)" for b, m in t.mandatory) + ")" for t in templates) + ")")
 
-    def places(k: int, t: Template) -> Column:
-        def starts(i: int) -> Column:
-            """Where the template would begin for its word ``i`` to stand where the text has it."""
-            same = F.filter("_hits", lambda h: h["word"] == F.lit(t.words[i]))
-            return F.transform(same, lambda h: (h["at"] - F.lit(i)).cast("int"))
-
-        found = starts(rare[k][0])
-        for i in rare[k][1:]:
-            found = F.array_intersect(found, starts(i))
-
-        def stands(c: Column) -> Column:
-            ok = c >= 0
-            for begin, length in t.mandatory:
-                for j in range(begin, begin + length):
-                    ok = ok & F.coalesce(F.get("_words", c + F.lit(j)) == F.lit(t.words[j]), F.lit(False))
-            return ok
-
-        def agreement(c: Column) -> Column:
-            """The share of the template's inverse document frequencies that the text has there."""
-            total = sum(idf[w] for w in t.words) or 1.0
-            out = F.lit(0.0)
-            for j, w in enumerate(t.words):
-                out = out + F.when(F.get("_words", c + F.lit(j)) == F.lit(w), F.lit(idf[w] / total)).otherwise(F.lit(0.0))
-            return F.least(out, F.lit(1.0))
-
-        return F.transform(
-            F.filter(found, stands), lambda c: F.struct(F.lit(k).alias("template"), c.alias("start"), agreement(c).alias("agreement"))
-        )
+    def stands(c: Column) -> Column:
+        return F.forall(F.get(phrases, c["template"]), lambda p: F.slice("_words", c["start"] + p["begin"] + 1, F.size(p["words"])) == p["words"])
 
-    each = F.concat(*[places(k, t) for k, t in enumerate(templates)])
-    none = F.array().cast("array<struct<template:int,start:int,agreement:double>>")
     keep = df.columns
     return (
         df.withColumn("_words", words)
-        .withColumn("_hits", hits)
-        .withColumn(into, F.when(F.size("_hits") > 0, each).otherwise(none))
+        .withColumn("_found", F.when(F.size("_words") > 0, F.array_sort(begins)).otherwise(none))
+        .withColumn(into, F.when(F.size("_found") > 0, F.filter(agreed, stands)).otherwise(none))
         .select(*keep, into)
     )
 

@@ -476,7 +476,9 @@ def test_licences_match_sql(spark, tmp_path):
     rnd = random.Random(8)
     words = "mit license apache general public gnu version 2 3 0 licensed under the all rights reserved cc by nc lesser and".split()
     rows = [(k, rnd.choice([" ", "-", "\n"]).join(rnd.choice([w, w.upper(), w.title()]) for w in rnd.choices(words, k=rnd.randint(0, 60)))) for k in range(300)]
-    rows += [(900, None), (901, ""), (902, "permission is hereby granted free of charge to any person using a copy of this software"), (903, "MİT license K")]
+    rows += [(900, None), (901, ""), (902, "permission is hereby granted free of charge to any person using a copy of this software"), (903, "MİT license K"), (904, "mit license " * 30_000), (904, "mit license " * 30_000)]
+    rows += [(910 + k, "So: " + " ".join(t.words).upper() + ". End") for k, t in enumerate(licences.TEMPLATES)]
+    rows += [(960 + k, " ".join(w if rnd.random() < 0.9 else "other" for w in t.words)) for k, t in enumerate(licences.NOTICES)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = licences.op9_license_scan(spark, str(tmp_path))
     with duckdb.connect() as c:
