@@ -197,6 +197,15 @@ def test_packing_round_trip(spark, table, corpus):
     assert len(by) <= -(-sum(r.length for r in rows) // 2048) + 1
 
 
+def test_packing_of_a_very_long_word():
+    """A text without a break is tokenised as a whole, in time that grows with it."""
+    tok = packing.tokenizer(P.path("byte_bpe_50k.json"))
+    rnd = random.Random(2)
+    for text in ("a" * 200_000, "".join(rnd.choice("abcdefgh") for _ in range(200_000)), "x" * 50_000 + " é " + "y" * 50_000):
+        ids, per = tok.encode([text, "", text[:10]])
+        assert ids[: per[0]].tolist() == tok.whole.encode(text, add_special_tokens=False).ids and per[1] == 0
+
+
 def test_packing_plan_uses_every_piece():
     rng = np.random.default_rng(0)
     for mean in (3.0, 5.5, 7.0):

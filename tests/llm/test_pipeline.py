@@ -1,14 +1,23 @@
 """The pipeline's stages on a small corpus."""
 
 import random
+import zlib
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from celltrail.llm import ngram_jaccard
+from celltrail.llm import language_id as languages
+from celltrail.llm import ngram_jaccard, toxicity
+from celltrail.llm.suffix_dedup import PASSAGE
 
-from .test_operators import prose
+from .test_operators import components, prose
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +55,79 @@ def test_stages(spark, folder, tmp_path):
     assert kept["suffix_dedup"] == kept["ngram_jaccard"]
 
 
+def by_hand(spark, rows, labels):
+    """The five stages in plain Python over (doc_id, text, lang, source, n_chars); only the learned models are the operators' own."""
+    held_out = lambda d, m: zlib.crc32(("" if d is None else str(d)).encode()) % m
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    told = languages.learn(spark.createDataFrame([r for r in rows if held_out(r[0], 4) != 2], schema))
+    rows = [r for r in rows if not told.predict(r[1])[2]]
+
+    toxic = {d: y for d, _, y in labels}
+    known = [(r[0], r[1], toxic[r[0]]) for r in rows if r[0] in toxic and held_out(r[0], 3) != 1]
+    model, curve = toxicity.learn(spark.createDataFrame(known, "doc_id long, text string, toxic int"))
+
+    def score(text):
+        words = toxicity.words_of(*toxicity.lowered(pa.array([text])))
+        return curve(toxicity.features(words, *model.ratios(words), 1))[0]
+
+    rows = [r for r in rows if score(r[1]) < toxicity.THRESHOLD]
+
+    groups = {}
+    for (k, _, root), r in zip(components([(k, r[1]) for k, r in enumerate(rows)], 80, 5), rows, strict=True):
+        groups.setdefault(root, []).append(((r[0] is None, r[0] or 0, k), r))
+    rows = [min(g, key=lambda x: x[0])[1] for g in groups.values()]
+
+    length, count = PASSAGE.length, Counter()
+    raw = [(r[1] or "").encode() for r in rows]
+    for t in raw:
+        count.update(t[i : i + length] for i in range(len(t) - length + 1))
+    kept = []
+    for r, t in zip(rows, raw, strict=True):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        left = np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        if left or not gone.any():
+            kept.append((r[0], left))
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = []
+    for d, t in kept:
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
+        head = len(ids) % 2048 or 2048
+        cuts = [(0, min(head, len(ids)))] + [(s, 2048) for s in range(head, len(ids), 2048)]
+        pieces += [(d, k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for k, (s, n) in enumerate(cuts)]
+    return pieces
+
+
+def test_run_against_brute_force(spark, folder, tmp_path):
+    """Rows of run(): every piece is due and where it says; sequences are filled from 0 without gaps, and are as few as can be but one."""
+    rnd = random.Random(14)
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    passage = prose(rnd, 55)
+    rows += [(700 + k, prose(rnd, 30 + k) + " " + passage + " " + prose(rnd, 40), "en", "s", 0) for k in range(3)]
+    rows += [(710, prose(rnd, 4000), "en", "s", 0), (None, prose(rnd, 50), "en", "s", 0), (711, rows[5][1], "en", "s", 0), (5, rows[5][1], "en", "s", 0)]
+    labels = [tuple(r) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    due = by_hand(spark, rows, labels)
+    assert sorted((tuple(r)[:5] for r in found), key=str) == sorted(due, key=str)
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in by.values():
+        assert [o for o, _ in sorted(held)] == [sum(n for o2, n in held if o2 < o) for o, _ in sorted(held)] and sum(n for _, n in held) <= 2048
+    assert len(by) <= -(-sum(r.length for r in found) // 2048) + 1
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_duplicates_keep_one(spark):
     rows = [(5, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (3, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1"), (9, "other"), (10, None), (None, "lone text")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
