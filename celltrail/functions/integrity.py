@@ -12,12 +12,16 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import with_before
+
 SEPARATOR, ABSENT = "\u001f", "\u0000"
 GENESIS = "0" * 64
+#: Entries of a chain that one task tests.
+ENTRIES = 100_000
 
 
 def row_hash(raw: Column) -> Column:
@@ -135,11 +139,11 @@ def chained(df: DataFrame, chain: str, key: str | None = None) -> DataFrame:
 
 def verified_chain(df: DataFrame, chain: str, key: str | None = None) -> DataFrame:
     """(chain, valid, checked, broken_at_seq, message) of each chain; all entries are tested at once, each against the one before."""
-    w = Window.partitionBy(chain).orderBy("seq")
+    held = with_before(df, chain, ["seq"], F.floor(F.col("seq") / ENTRIES), ["seq", "entry_hash"])
     due = keyed_hash(joined(*[F.col(f) for f in ("seq", "at", "actor_id", "action", "payload_hash", "previous_hash")]), key)
-    before = F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS))
-    ok = (F.col("entry_hash") == due) & (F.col("previous_hash") == before) & (F.col("seq") == F.coalesce(F.lag("seq").over(w) + 1, F.lit(1)))
-    tested = df.withColumn("_bad", F.when(~F.coalesce(ok, F.lit(False)), F.col("seq")))
+    before = F.coalesce("_before.entry_hash", F.lit(GENESIS))
+    ok = (F.col("entry_hash") == due) & (F.col("previous_hash") == before) & (F.col("seq") == F.coalesce(F.col("_before.seq") + 1, F.lit(1)))
+    tested = held.withColumn("_bad", F.when(~F.coalesce(ok, F.lit(False)), F.col("seq")))
     return tested.groupBy(chain).agg(
         F.count("_bad").alias("n"), F.count("*").alias("checked"), F.min("_bad").alias("broken_at_seq")
     ).select(chain, (F.col("n") == 0).alias("valid"), "checked", "broken_at_seq", _verdict().alias("message"))

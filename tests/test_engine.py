@@ -1,6 +1,7 @@
 """Identifiers, times, geometry, integrity and normalization on cases worked out by hand."""
 
 import math
+import random
 import time
 from collections import Counter
 from datetime import datetime, timedelta
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from celltrail import queries as engine
-from celltrail.functions import geodesy, identifiers as ids, integrity, times
+from celltrail.functions import geodesy, identifiers as ids, integrity, ordered, times
 from celltrail.operators import correlate, evidence, normalize
 from celltrail.plans import detect, formats, profile
 
@@ -254,6 +255,24 @@ def test_chains_stream(spark):
     assert all(v.valid and v.message == "all 5 entries hold" for v in verdict)
 
 
+def test_histories_in_pieces(spark):
+    """The row before, and the last version, across pieces of a history; null keys and instants included."""
+    rng = random.Random(3)
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, rng.choice([1, 1, 1, 2, None]), t0 + timedelta(hours=rng.randint(0, 900)) if k % 17 else None, rng.choice([None, k])) for k in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, device long, t timestamp, v long")
+    day = F.floor(F.col("t").cast("double") / 86_400)
+    first = lambda x: (x is not None, x or t0)
+    before, last = {}, {}
+    for device in (1, 2, None):
+        seen, value = None, None
+        for e, _, t, v in sorted((r for r in rows if r[1] == device), key=lambda r: (first(r[2]), r[0])):
+            value = value if v is None else v
+            before[e], last[e], seen = seen, value, e
+    assert {r.event_id: r.b.event_id if r.b else None for r in ordered.with_before(df, "device", ["t", "event_id"], day, ["event_id"], "b").collect()} == before
+    assert {r.event_id: r.w for r in ordered.with_last(df, "device", ["t", "event_id"], day, "v", "w").collect()} == last
+
+
 def test_windows_of_every_length(spark):
     t0 = datetime(2024, 1, 1)
     events = spark.createDataFrame([(k, t0 + timedelta(hours=k * 7)) for k in range(300)], "event_id long, ts_utc timestamp")
