@@ -11,7 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark puts into one Arrow batch. With texts of several kB a batch stays at a few MB.
@@ -30,11 +31,23 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def free(df: DataFrame, *names: str) -> None:
-    """An operator adds columns of these names: a caller's column of one of them is an error, not a crash further on."""
+def column(name: str) -> Column:
+    """A column by its name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__`` and so on that ``df`` has no column of."""
     taken = {c.lower() for c in df.columns}
-    if clash := [n for n in names if n.lower() in taken]:
-        raise ValueError(f"columns {', '.join(clash)} stand in the table already; choose another name for the result")
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of ``names``: a result's column takes the place of a caller's of the same name."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,7 +103,7 @@ def cleaned(spark: SparkSession, path: str) -> None:
     try:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # the application has ended: its folder is the cluster's to clear
+    except (Py4JError, OSError):  # the application has ended: its folder is the cluster's to clear
         return
 
 

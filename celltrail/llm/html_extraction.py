@@ -17,8 +17,8 @@ Defined cases: a null or empty page has empty text; what cannot be read as a tag
 text; unclosed tags close with their parents, a head that is not closed with the first element
 that it may not hold; formulas and drawings stand in a line of text; a page of one block is
 classified like any other; a very long page is read once, in time that grows with its length;
-repeated rows give equal rows; other columns take no part, and columns named ``text`` or
-``n_chars`` are an error.
+repeated rows give equal rows; other columns take no part, but those named ``text`` or
+``n_chars`` give way to the result.
 """
 
 from __future__ import annotations
@@ -33,10 +33,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free, prepare, table
+from ._common import column, others, prepare, table, unused
 from ._words import prefix_sums, span_hash, spans
 
 PATH_SLOTS, WORD_SLOTS, NUMBERS = 96, 32, 8
@@ -540,8 +539,7 @@ def extract(pages: list[str | None], net: Labeller) -> list[str]:
 def extracted(df: DataFrame, net: Labeller, html_col: str = "html") -> DataFrame:
     """``df`` without its pages' source, with ``text`` and ``n_chars``."""
     prepare(df.sparkSession)
-    keep = [c for c in df.columns if c != html_col]
-    free(df.select(*keep), "text", "n_chars")
+    keep = others(df, html_col, "text", "n_chars")
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,7 +550,7 @@ def extracted(df: DataFrame, net: Labeller, html_col: str = "html") -> DataFrame
                 own = [part.column(k) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return df.select(*keep, F.col(html_col)).mapInArrow(run, schema)
+    return df.select(*map(column, keep), column(html_col).alias(unused(df, "_html"))).mapInArrow(run, schema)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ Defined cases: a null text, or one without a letter (Unicode category L), is ``u
 rejected; equal codes go to the language with more labelled rows, then to the
 first name, and are rejected; with no labelled row every text is ``und``. Rows
 with a null id or label are predicted like others, repeated rows alike; other columns
-take no part, and a column of the name that is added is an error.
+take no part, but one of the name that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_bucket, free, prepare, table
+from ._common import column, crc_bucket, others, prepare, table, unused
 
 #: Bounds of what is learned, for each language: bytes of dictionary, and of the rows read for it.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 1 << 16, 400, 1000
@@ -120,18 +120,17 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def predicted(df: DataFrame, languages: Languages, text_col: str = "text", into: str = "_language") -> DataFrame:
     """``df`` with a struct ``into`` of ``lang_pred``, ``score`` and ``rejected``."""
     prepare(df.sparkSession)
-    free(df, into)
-    place = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))])
+    keep = others(df, into)
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(into, T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))])
     names = ["lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [languages.predict(t) for t in batch.column(place).to_pylist()]
+            found = [languages.predict(t) for t in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, names)], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays(columns, names)], names=[*keep, into])
 
-    return df.mapInArrow(run, schema)
+    return df.select(*map(column, keep), column(text_col).alias(unused(df, "_text"))).mapInArrow(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +143,5 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by a clear margin."""
-    columns = docs.columns
-    languages = learn(docs.filter(crc_bucket("doc_id", 4) != 2))
-    return predicted(docs, languages).filter(~F.col("_language.rejected")).select(*columns)
+    languages, into = learn(docs.filter(crc_bucket("doc_id", 4) != 2)), unused(docs, "_language")
+    return predicted(docs, languages, into=into).filter(~F.col(f"{into}.rejected")).select(*map(column, docs.columns))

@@ -16,7 +16,8 @@ templates alone, so what is collected and the index in the plan are as large as
 
 Defined cases: a null text is empty; a text without words has no place, label or
 score; a very long text is looked up like any other, in time that grows with its words and the
-postings they have; repeated rows are scanned alike; other columns take no part, and a column of the name that is added is an error.
+postings they have; repeated rows are scanned alike; other columns take no part, but one of the name
+that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import free, table
+from ._common import column, others, table, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -122,7 +123,7 @@ def _any_word(words: list[str]) -> str:
 
 def frequencies(df: DataFrame, templates: tuple[Template, ...], text_col: str = "text") -> tuple[int, dict[str, int]]:
     """Texts in all, and how many hold each word of the templates."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     words = vocabulary(templates)
     holds = F.array_distinct(F.regexp_extract_all(text, F.lit(_any_word(words)), F.lit(0)))
     each = df.select(F.explode(F.array_distinct(F.transform(holds, lowered))).alias("word"))
@@ -145,36 +146,34 @@ def postings(templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[di
 
 def scanned(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text", into: str = "_scan") -> DataFrame:
     """``df`` with an array ``into`` of struct(template int, start int), by template and place."""
-    free(df, into, "_words", "_found")
+    words_, found_ = unused(df, "_words"), unused(df, "_found")
     n, found = frequencies(df, templates, text_col)
     idf = {w: math.log((n + 1) / (found.get(w, 0) + 0.5)) for w in vocabulary(templates)}
     index, sizes = postings(templates, idf)
     # A text can hold a template only if it holds its rarest word: that is looked for before words are taken apart.
     rarest = sorted({max((w for w in index if any(p[0] == k for p in index[w])), key=lambda w: (idf[w], w)) for k in range(len(templates))})
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     none = F.array().cast("array<struct<template:int,start:int>>")
     words = F.when(text.rlike(_any_word(rarest)), F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
     lists = ", ".join(f"'{w}', array({', '.join(f'struct({k} AS template, {i} AS place)' for k, i in index[w])})" for w in sorted(index))
     held = F.expr(f"map({lists})")
     known = F.array(*[F.lit(w) for w in sorted(index)])
-    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: F.array_contains(known, h["word"]))
+    hits = F.filter(F.transform(words_, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: F.array_contains(known, h["word"]))
     begins = F.flatten(
         F.transform(hits, lambda h: F.transform(F.try_element_at(held, h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["place"]).cast("int").alias("start"))))
     )
     needed = F.array(*[F.lit(x) for x in sizes])
     # sorted, postings that agree stand on end: the last of as many as needed tells
-    agreed = F.filter("_found", lambda c, i: (c["start"] >= 0) & (i + 1 >= F.get(needed, c["template"])) & (F.get("_found", i + 1 - F.get(needed, c["template"])) == c))
+    agreed = F.filter(found_, lambda c, i: (c["start"] >= 0) & (i + 1 >= F.get(needed, c["template"])) & (F.get(found_, i + 1 - F.get(needed, c["template"])) == c))
     phrases = F.expr("array(" + ", ".join("array(" + ", ".join(f"struct({b} AS begin, array({', '.join(repr(w) for w in t.words[b : b + m])}) AS words)" for b, m in t.mandatory) + ")" for t in templates) + ")")
 
     def stands(c: Column) -> Column:
-        return F.forall(F.get(phrases, c["template"]), lambda p: F.slice("_words", c["start"] + p["begin"] + 1, F.size(p["words"])) == p["words"])
+        return F.forall(F.get(phrases, c["template"]), lambda p: F.slice(words_, c["start"] + p["begin"] + 1, F.size(p["words"])) == p["words"])
 
-    keep = df.columns
     return (
-        df.withColumn("_words", words)
-        .withColumn("_found", F.when(F.size("_words") > 0, F.array_sort(begins)).otherwise(none))
-        .withColumn(into, F.when(F.size("_found") > 0, F.filter(agreed, stands)).otherwise(none))
-        .select(*keep, into)
+        df.withColumn(words_, words)
+        .withColumn(found_, F.when(F.size(words_) > 0, F.array_sort(begins)).otherwise(none))
+        .select(*map(column, others(df, into)), F.when(F.size(found_) > 0, F.filter(agreed, stands)).otherwise(none).alias(into))
     )
 
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prepare, steps, stored, table, utf8
+from ._common import column, prepare, steps, stored, table, utf8
 from ._graph import components, roots
 from ._words import mix, prefix_sums, span_hash, spans
 
@@ -519,8 +519,9 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     id are grouped by their texts like any others.
     """
     columns = docs.columns
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = F.struct(*map(column, columns)).alias("own")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", own), "rows")
     groups = joined(rows, Similarity(80, 100, 5), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("least"))
-    return rows.join(kept.select("least._row"), "_row", "left_semi").select(*columns)
+    return rows.join(kept.select("least._row"), "_row", "left_semi").select("own.*")

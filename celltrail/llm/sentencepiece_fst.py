@@ -23,7 +23,7 @@ character maps is refused: no such model is at hand to test one with.
 Defined cases: a null or empty text has no id and decodes to the empty text; repeated
 rows encode alike; a model
 without byte pieces gives its unknown id, which decodes to U+2047; other columns take no
-part, and a column of the name that is added is an error.
+part, but one of the name that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import free, prepare, steps, table
+from ._common import column, others, prepare, steps, table, unused
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a Python worker remembers, at most.
@@ -371,22 +371,20 @@ def encoded(df: DataFrame, path: str, text_col: str = "text", into: str = "ids")
     from pyspark.sql import types as T
 
     prepare(df.sparkSession)
-    free(df, into)
-    place = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    keep = others(df, into)
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(len(keep)).to_pylist()
             for lo, hi in steps(np.array([len(x or "") for x in texts], np.int64)):
                 raw = [t.encode(x or "") for x in texts[lo:hi]]
                 cut = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*batch.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], ids], names=[*keep, into])
 
-    return df.mapInArrow(run, schema)
+    return df.select(*map(column, keep), column(text_col).alias(unused(df, "_text"))).mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, path: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
@@ -394,16 +392,16 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids", into: str = "text")
     from pyspark.sql import types as T
 
     prepare(df.sparkSession)
-    free(df, into)
-    place = df.columns.index(ids_col)
+    keep = others(df, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in batches:
-            texts = [None if ids is None else t.decode(ids) for ids in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            texts = [None if ids is None else t.decode(ids) for ids in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(into, T.StringType())])
+    return df.select(*map(column, keep), column(ids_col).alias(unused(df, "_ids"))).mapInArrow(run, schema)
 
 
 def op8_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:

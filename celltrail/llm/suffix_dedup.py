@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prepare, steps, stored, table, utf8
+from ._common import column, prepare, steps, stored, table, utf8
 from ._words import mix, prefix_sums, ranges, span_hash
 
 U = np.uint64
@@ -459,7 +459,7 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     columns, schema = docs.columns, docs.schema
     place, count = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
-    own = keyed(docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    own = keyed(docs.select(F.struct(*map(column, columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

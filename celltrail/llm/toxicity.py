@@ -19,8 +19,8 @@ Defined cases: a null or empty text, or one without a word, has no ratio and get
 the curve's value for zero words; with labels of one class only, every score is
 0.0 (none toxic) or 1.0 (none ordinary); a null id or label teaches nothing but is
 scored; of labels of one id that differ, toxic counts; repeated rows score alike; words and
-texts may be of any length; other columns take no part, and a column of the name that is
-added is an error.
+texts may be of any length; other columns take no part, but one of the name that is added
+gives way to it.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, free, prepare, steps, table, utf8
+from ._common import column, crc_bucket, others, prepare, steps, table, unused, utf8
 from ._words import distinct, prefix_sums, ranges, span_hash, spans
 
 U = np.uint64
@@ -325,19 +325,19 @@ def scored(df: DataFrame, model: Model, curve, text_col: str = "text", into: str
 
     spark = df.sparkSession
     prepare(spark)
-    free(df, into)
-    place = df.columns.index(text_col)
+    keep = others(df, into)
     shared = spark.sparkContext.broadcast((model, curve))  # grows with the distinct grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, curve = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, hi, words in _stepped(batch.column(place)):
+            for lo, hi, words in _stepped(batch.column(len(keep))):
                 out[lo:hi] = curve(features(words, *model.ratios(words), hi - lo))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*keep, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.DoubleType())]))
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(into, T.DoubleType())])
+    return df.select(*map(column, keep), column(text_col).alias(unused(df, "_text"))).mapInArrow(run, schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,6 +360,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
-    columns = docs.columns
     model, curve = learn(labelled(docs, table(spark, sf_dir, "labels")))
-    return scored(docs, model, curve).filter(F.col("_toxicity") < THRESHOLD).select(*columns)
+    into = unused(docs, "_toxicity")
+    return scored(docs, model, curve, into=into).filter(F.col(into) < THRESHOLD).select(*map(column, docs.columns))

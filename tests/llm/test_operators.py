@@ -409,8 +409,46 @@ def test_toxicity_of_long_words_and_clashing_labels(spark):
     labels = spark.createDataFrame([(3, 0), (3, 1), (4, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
     found = {r.doc_id: r.toxic for r in toxicity.labelled(docs, labels).collect()}
     assert found.get(3, 1) == 1 and found.get(4, 0) == 0 and None not in found
-    with pytest.raises(ValueError):
-        toxicity.scored(docs.withColumnRenamed("doc_id", "_toxicity"), None, None)
+
+
+def test_columns_of_clashing_names(spark, tmp_path):
+    """A result's column takes the place of a caller's of the same name; columns that operators use inside may stand in the input."""
+    inside = ["_words", "_found", "_text", "_html", "_ids", "_Row", "h1", "h2", "anchor", "whole", "found"]
+    rows = [(k, f"mit license number {k} of many", *[f"{c}{k}" for c in inside], 5.0) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in inside) + ", own double")
+    path = P.path("piece_bpe_32k.model")
+    languages_ = languages.learn(spark.createDataFrame([(1, "number of many", "en"), (2, "qué ñol", "es")], "doc_id long, text string, lang string"))
+    model, curve = toxicity.learn(spark.createDataFrame([(1, "a b", 0), (2, "c", 1)], "doc_id long, text string, toxic int"))
+    made = {
+        "own": [
+            lambda d: languages.predicted(d, languages_, into="own"), lambda d: toxicity.scored(d, model, curve, into="own"),
+            lambda d: pieces.encoded(d, path, into="own"), lambda d: licences.scanned(d, into="own"),
+        ],
+        "text": [lambda d: pieces.encoded(d, path, into="text"), lambda d: licences.scanned(d, into="text")],
+    }
+    for into, each in made.items():
+        for make in each:
+            out = make(df)
+            assert sorted(out.columns) == sorted(df.columns)
+            found = {r.doc_id: r for r in out.collect()}
+            assert all(found[r[0]][c] == r[2 + k] for r in rows for k, c in enumerate(inside)) and all(r[into] != 5.0 and r[into] is not None for r in found.values())
+    back = pieces.decoded(pieces.encoded(df, path, into="own"), path, ids_col="own", into="own")
+    assert {r.doc_id: r.own for r in back.collect()} == {r[0]: r[1] for r in rows}
+    html = df.withColumnRenamed("own", "n_chars").withColumn("html", licences.F.concat(licences.F.lit("<article><h1>title</h1><p>"), "text", licences.F.lit(", told at some length.</p></article>")))
+    assert all(r.n_chars == len(r.text) and r["_html"].startswith("_html") for r in pages.extracted(html, pages.trained()).collect())
+
+
+def test_shared_folder_of_a_cluster():
+    """Without a folder that all machines share, a cluster is an error, not a folder of one machine."""
+    from types import SimpleNamespace as Of
+
+    from celltrail.llm import _common
+
+    unset = Of(getCheckpointDir=lambda: Of(isDefined=lambda: False))
+    spark = lambda master: Of(conf=Of(get=lambda *_: None), sparkContext=Of(master=master, _jsc=Of(sc=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        _common.shared_dir(spark("spark://host:7077"))
+    assert _common.shared_dir(spark("local[2]")).startswith("file:")
 
 
 def test_toxicity_of_one_class(spark):

@@ -155,6 +155,19 @@ def test_repeated_rows_and_null_ids_leave_one(spark, folder, tmp_path):
     assert {None, 1000, 1001, 1002, 1005} <= packed and 1006 not in packed
 
 
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Columns that a stage uses inside come through unchanged."""
+    inside = ["_row", "_toxicity", "_language", "own", "row", "h1", "whole", "component_id", "node"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 60")
+    for c in inside:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, folder)
+        assert left.columns == docs.columns
+        found = left.collect()
+        assert len(found) > 50 and all(r[c] == f"{c}{r.doc_id}" for r in found for c in inside)
+
+
 def test_passages_of_fifty_words_go(spark):
     """Passages of 51 to 60 words in texts that differ otherwise are cut out; texts that share a line of 30 words stay."""
     rnd = random.Random(13)
