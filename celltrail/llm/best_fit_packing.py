@@ -10,7 +10,9 @@ lengths, under the counts still available), and what finds no exact complement
 takes the longest pieces that fit. The plan says which sequence the r-th piece of
 a length goes to; executors number their pieces by length and look their places up.
 
-Defined cases: a null or empty text is one end mark; repeated rows are packed as
+Defined cases: a null or empty text is one end mark; a very long text is as many pieces as
+it needs, and one without a break is merged as a single word; pieces of equal length are
+interchangeable, so which of them stands in which sequence is free; repeated rows are packed as
 often as they stand there; an empty table gives no rows; other columns take no part.
 """
 

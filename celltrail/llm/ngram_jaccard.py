@@ -58,8 +58,10 @@ BLOCK = 1024
 #: Bytes that one matrix of a cell takes.
 CELL_BYTES = 1 << 26
 LEAST_SLOTS, MOST_SLOTS, ROWS, STRIPES = 18, 23, 2, 32
-#: Bits of the filter of clustered ids, as a power of two.
-MOST_BITS = 27
+#: Bytes of text that one task counts, at most, where there are more of them than tasks at once.
+COUNTED_BYTES = 1 << 30
+#: Bits of the filter of clustered ids, as a power of two; ids that one task marks.
+MOST_BITS, MARKED = 27, 1 << 26
 
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
@@ -160,7 +162,10 @@ class Frequent:
 
 def frequent_shingles(df: DataFrame, s: Similarity) -> Frequent:
     """Hashed counts of the shingles of all texts; how wide they are follows the number of texts up to a bound."""
-    bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(df.count()).bit_length() + 1))
+    texts, held = df.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(texts).bit_length() + 1))
+    # every task sends all counters, so a task counts much text, but no more than so much
+    wide = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-(held or 0) // COUNTED_BYTES))
     size, step = 1 << bits, (1 << bits) // STRIPES
 
     def piece(stripe: int, counts: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +192,7 @@ def frequent_shingles(df: DataFrame, s: Similarity) -> Frequent:
             yield piece(stripe, np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     shape = "stripe int, counts binary"
-    parts = df.select("text").coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, shape)
+    parts = df.select("text").coalesce(wide).mapInArrow(count, shape)
     counts = np.zeros((ROWS, size), np.int32)
     for row in parts.repartition(STRIPES, "stripe").mapInArrow(total, shape).collect():  # of one size
         i = row["stripe"]
@@ -376,7 +381,8 @@ class Among:
 
 def among(nodes: DataFrame) -> Among:
     """The filter of a table's ids (its first column)."""
-    bits = min(MOST_BITS, max(16, int(nodes.count()).bit_length() + 4))
+    n = int(nodes.count())
+    bits = min(MOST_BITS, max(16, n.bit_length() + 4))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(1 << bits, np.uint8)
@@ -387,7 +393,7 @@ def among(nodes: DataFrame) -> Among:
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["marks"])
 
     marks = np.zeros(1 << bits, np.uint8)
-    tasks = nodes.coalesce(8)
+    tasks = nodes.coalesce(max(8, n // MARKED))  # every task sends all marks
     for row in tasks.mapInArrow(mark, "marks binary").collect():
         marks |= np.unpackbits(np.frombuffer(row["marks"], np.uint8))
     return Among(bits, marks)

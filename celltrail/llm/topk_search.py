@@ -43,6 +43,8 @@ MOST_CHUNKS = 2048
 LEADING = 0.25
 _EXACT = 2.0**52
 LARGEST = 1.7e308
+#: Vectors of which one task sums the outer products.
+SUMMED = 1 << 22
 #: How many times more chunks a round takes than the one before.
 FASTER = 4
 
@@ -89,8 +91,8 @@ def matrix(raw: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def rotation(vectors: DataFrame, width: int) -> np.ndarray:
-    """The right singular vectors of all rows, those of large singular values first; what is collected has width^2 numbers a task."""
+def rotation(vectors: DataFrame, width: int, size: int = 0) -> np.ndarray:
+    """The right singular vectors of all rows, those of large singular values first; what a task sends are width^2 numbers, summed in a tree."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -101,9 +103,17 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["outer"])
 
-    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw).reshape(width, width)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["outer"])
+
+    tasks = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, size // SUMMED)
+    parts = vectors.select("vector").coalesce(tasks).mapInArrow(outer, "outer binary")
     total = np.zeros((width, width))
-    for row in vectors.select("vector").coalesce(tasks).mapInArrow(outer, "outer binary").collect():
+    for row in parts.repartition(16).mapInArrow(summed, "outer binary").collect():
         total += np.frombuffer(row["outer"]).reshape(width, width)
     _, basis = np.linalg.eigh(total)
     return np.ascontiguousarray(basis[:, ::-1])
@@ -220,7 +230,7 @@ def searched(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: st
     ).first()
     if not size or not width:
         return none
-    basis = rotation(vectors, width)
+    basis = rotation(vectors, width, size)
     shift = 0 if longest < 2.0**26 else math.frexp(longest)[1]
     chunks = max(1, min(MOST_CHUNKS, -(-size // CHUNK)))
     bounds = sorted({bounds[-(i * MOST_CHUNKS // chunks)] for i in range(1, chunks)}, reverse=True)
