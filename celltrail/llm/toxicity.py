@@ -49,6 +49,8 @@ TOP = 10
 THRESHOLD = 0.7
 #: Bytes of labelled text that one task counts, at most, where there are more of them than tasks at once.
 TASK_BYTES = 1 << 28
+#: A column of texts' sizes that labelled rows may have.
+SIZE = "_bytes"
 
 KINDS = [f"n{k}" for k in range(4)]
 _WORD = np.zeros(256, bool)
@@ -266,8 +268,10 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     spark = labelled.sparkSession
     prepare(spark)
     h = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1 << 20))
+    # measured below a join, so that the sum of sizes moves no text
+    size = F.col(SIZE) if SIZE in labelled.columns else F.octet_length(text_col).cast("long")
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), (h % 2).cast("int").alias("fold"), h.alias("h")
+        F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), (h % 2).cast("int").alias("fold"), h.alias("h"), size.alias("size")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +291,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         if held:
             yield from _pieces(*summed(held))
 
-    per = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    per = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
     wide = max(2 * spark.sparkContext.defaultParallelism, -(-sum(r["bytes"] or 0 for r in per) // TASK_BYTES))
     parts = rows.coalesce(wide).mapInArrow(count, "gram long, " + ", ".join(f"{n} long" for n in KINDS))
     found = parts.groupBy("gram").agg(*[F.sum(n).alias(n) for n in KINDS]).toArrow()  # grows with the distinct grams
@@ -343,7 +347,8 @@ def scored(df: DataFrame, model: Model, curve, text_col: str = "text", into: str
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with their labels, without the rows that are held out."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").filter(crc_bucket("doc_id", 3) != 1).join(known.hint("merge"), "doc_id")  # labels grow with the texts
+    own = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias(SIZE))
+    return own.filter(crc_bucket("doc_id", 3) != 1).join(known.hint("merge"), "doc_id")  # labels grow with the texts
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
