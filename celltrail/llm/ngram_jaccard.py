@@ -49,8 +49,8 @@ from ._words import mix, prefix_sums, span_hash, spans
 U = np.uint64
 #: Keys of at most so many classes give all pairs.
 FEW = 128
-#: Shingles from which on a set is long.
-LONG = 1000
+#: Shingles from which on a set is long: neighbours are more keys than a prefix has, and fewer than pairs only there.
+LONG = 20_000
 #: Index keys that are sent on together.
 SENT = 1 << 18
 #: Classes in a block of a large cluster.
@@ -526,8 +526,9 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     columns = docs.columns
     own = F.struct(*map(column, columns)).alias("own")
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", own), "rows")
-    groups = joined(rows, Similarity(80, 100, 5), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), own), "rows")
+    texts = rows.select("_row", F.col("own.text").alias("text"))
+    groups = joined(texts, Similarity(80, 100, 5), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("least"))
+    kept = groups.join(rows.select("_row", F.col("own.doc_id").alias("doc_id")), "_row").groupBy("component_id").agg(first.alias("least"))
     return rows.join(kept.select("least._row"), "_row", "left_semi").select("own.*")

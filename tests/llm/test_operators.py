@@ -129,7 +129,7 @@ def test_similar_long_sets_share_neighbours():
 
 def test_jaccard_keys_of_long_texts_grow_with_them(spark):
     rng = np.random.default_rng(0)
-    rows = [(k, n, rng.integers(0, 2**63, 10).tobytes(), rng.integers(0, 2**63, int(0.21 * n)).tobytes()) for k, n in enumerate((2000, 20_000, 100_000))]
+    rows = [(k, n, rng.integers(0, 2**63, 10).tobytes(), rng.integers(0, 2**63, int(0.21 * n)).tobytes()) for k, n in enumerate((30_000, 60_000, 300_000))]
     df = spark.createDataFrame(rows, "node long, n long, rare binary, often binary")
     counts = {r.node: r["count"] for r in jaccard.keys(df, jaccard.Similarity(90, 100, 3)).groupBy("node").count().collect()}
     assert all(counts[k] < 0.25 * n for k, n, *_ in rows)
