@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -142,6 +143,50 @@ def test_suffix_array():
         assert dedup.suffix_array(a).tolist() == sorted(range(len(a)), key=lambda i: a[i:].tolist())
 
 
+class Taken:
+    """Stands for a table and hands out what would run on it."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def traced(f):
+    """What ``f`` returns, and MB that it held at once beyond what stood before."""
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, most
+
+
+def test_suffix_dedup_holds_little_at_once():
+    """A worker's share: anchors of a batch of 2 MB, and a full buffer of contexts, most of which repeat."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(20_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 330)) for _ in range(1000)]
+    one = pa.array(np.arange(1000))
+    batch = pa.RecordBatch.from_arrays([one, one, one, pa.array(texts)], names=["h1", "h2", "weight", "text"])
+    run = dedup.anchored(Taken(), dedup.PASSAGE)
+    list(run(iter([batch])))  # fills the tables of powers
+    rows, most = traced(lambda: list(run(iter([batch]))))
+    data, offsets = dedup.utf8(batch.column(3))
+    assert sum(r.num_rows for r in rows) == len(dedup.anchors(data, offsets, dedup.PASSAGE)[0]) > 1000
+    assert most < 60
+
+    contexts = []
+    for k in range(2500):
+        base = texts[k // 25].encode()
+        at = int(rng.integers(0, 300))
+        contexts.append(base[at : at + 598] + bytes([97 + k % 26]))
+    found, most = traced(lambda: dedup.repeated_windows(contexts, 200))
+    seen = Counter(hash(t[i : i + 200]) for t in contexts for i in range(len(t) - 199))
+    assert all(hit.tolist() == [seen[hash(t[i : i + 200])] > 1 for i in range(len(hit))] for t, hit in zip(contexts, found, strict=True))
+    assert most < 80
+
+
 def removed_by_hand(rows, length):
     count, texts = Counter(), [(t or "").encode() for _, t in rows]
     for t in texts:
